@@ -78,8 +78,10 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     # a token that follows itself is one feature whatever the token: no sample holds all of them
     pair = np.where(token[:-1] == token[1:], REPEAT, _mix(token[:-1] * np.uint64(3) + token[1:]))
     together = of[:-1] == of[1:]
-    slot = np.concatenate([token, pair[together]]) & np.uint64((1 << BITS) - 1)
-    return slot.astype(np.int64), np.concatenate([of, of[:-1][together]])
+    # the same with one sign between, as in "word. word."
+    over = np.flatnonzero((token[:-2] == token[2:]) & (token[:-2] != token[1:-1]) & (of[:-2] == of[2:]))
+    slot = np.concatenate([token, pair[together], np.full(len(over), REPEAT + np.uint64(1))]) & np.uint64((1 << BITS) - 1)
+    return slot.astype(np.int64), np.concatenate([of, of[:-1][together], of[over]])
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, epochs: int = 4) -> np.ndarray:
