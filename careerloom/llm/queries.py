@@ -13,7 +13,9 @@ from .byte_bpe import byte_bpe
 from .common import held_out, table
 from .fingerprint import fingerprints
 from .html_text import html_text
+from .ngram_join import ngram_join
 from .packing import best_fit_packing
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 
 
@@ -29,6 +31,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(table(spark, sf_dir, "pages"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), length=400)
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -50,7 +56,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
-_QUERIES = (op1_token_counts, op2_byte_bpe, op4_html_text, op6_fingerprints, op7_language_id, op8_quality, op9_packing)
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+_QUERIES = (op1_token_counts, op2_byte_bpe, op4_html_text, op5_suffix_dedup, op6_fingerprints, op7_language_id, op8_quality, op9_packing, op10_ngram_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
