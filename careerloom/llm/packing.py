@@ -12,67 +12,137 @@ the buckets before added on, so a length that many pieces share is not gathered
 from __future__ import annotations
 
 import bisect
+import itertools
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids, slices, strings, written
+from .common import ids, slices, written
 
 #: Chunks whose ids a worker keeps.
 CACHE = 300_000
 #: Pieces of one length that are ranked together.
 BUCKET = 10_000
-_tokenizers: dict[str, tuple[object, dict[str, bytes]]] = {}
+#: Text bytes that a task encodes at once.
+SLICE = 8 << 20
+_models: dict[str, _Words] = {}
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
-
-        _tokenizers[path] = (Tokenizer.from_file(path), {"": b""})
-    return _tokenizers[path]
+class _Words:
+    """Ids of single words of a word-end BPE model, and the distinct chunks a worker has met.
 
+    The model's merges stand in the order of their ids, so a word's ids are those of a rank table whose
+    byte strings end in an extra byte for the word's end; that byte never occurs in UTF-8.
+    """
 
-def _as_bytes(token_ids: list[int]) -> bytes:
-    return np.array(token_ids, dtype="<u4").tobytes()
+    END = b"\xff"
 
+    def __init__(self, path: str):
+        import regex
+        import tiktoken
+        from tokenizers import Tokenizer
 
-def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        names = {c: bytes([b]) for b, c in _byte_names().items()}
+        ranks = {}
+        for token, i in spec["model"]["vocab"].items():
+            ends = token.endswith("</w>") and len(token) > 4
+            if token not in self.special:
+                ranks[b"".join(names[c] for c in (token[:-4] if ends else token)) + self.END * ends] = i
+        self.word = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.normal = self.tokenizer.normalizer.normalize_str
+        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.kept: dict[str, tuple[int, ...]] = {}
+
+    def encode(self, chunk: str) -> list[int]:
+        if chunk.isascii() and chunk.isalpha():
+            return self.word(chunk.lower().encode() + self.END)
+        out: list[int] = []
+        for w in self.split(self.normal(chunk)):
+            out += self.word(w.encode() + self.END)
+        return out
+
+    def lookup(self, chunks: list[str]) -> list[list[int]]:
+        kept, encode = self.kept, self.encode
+        out = []
+        for c in chunks:
+            got = kept.get(c)
+            if got is None:
+                got = encode(c)
+                if len(kept) >= CACHE:
+                    kept.clear()
+                kept[c] = got
+            out.append(got)
+        return out
+
+
+def _byte_names() -> dict[int, str]:
+    """The characters that byte-level vocabularies write for bytes: printable ones stand for themselves."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def _words(path: str) -> _Words:
+    if path not in _models:
+        _models[path] = _Words(path)
+    return _models[path]
+
+
+def token_bytes(text: pa.Array, path: str) -> Iterator[bytes]:
     """Little-endian unsigned 32-bit ids of each text, without special tokens added.
 
     The tokenizer drops white space and never joins across it, so each distinct chunk between
-    spaces is encoded once. A text that may hold a special token's string is encoded whole.
+    spaces is encoded once. A text that holds a special token's string is encoded whole.
     """
-    tokenizer, cache = _tokenizer(path)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    whole = [any(s in t for s in special) for t in texts]
-    chunks = [[] if w else t.replace("\n", " ").split(" ") for t, w in zip(texts, whole, strict=True)]
-    new = list({c for p in chunks for c in p if c not in cache})
-    if len(cache) + len(new) > CACHE:
-        cache.clear()
-        new = list({c for p in chunks for c in p})
-    for k in range(0, len(new), 20_000):
-        part = new[k : k + 20_000]
-        for c, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-            cache[c] = _as_bytes(e.ids)
-    for t, w, p in zip(texts, whole, chunks, strict=True):
-        yield _as_bytes(tokenizer.encode(t, add_special_tokens=False).ids) if w else b"".join([cache[c] for c in p])
+    model = _words(path)
+    whole = np.zeros(len(text), bool)
+    for s in model.special:
+        whole |= np.asarray(pc.match_substring(text, s))
+    if whole.any():
+        shown = pa.array(["" if w else t for w, t in zip(whole, text.to_pylist(), strict=True)], pa.string())
+    else:
+        shown = text
+    plain = pc.replace_substring(shown, "\n", " ")
+    parts = pc.split_pattern(plain, " ")
+    coded = parts.flatten().dictionary_encode()
+    got = model.lookup(coded.dictionary.to_pylist())
+    size = np.fromiter(map(len, got), np.int64, len(got))
+    flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum())).astype("<u4")
+    first = np.cumsum(size) - size
+    index = np.asarray(coded.indices, dtype=np.int64)
+    n = size[index]
+    ends = np.cumsum(n)
+    stream = flat[np.repeat(first[index] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+    bound = np.asarray(parts.offsets, dtype=np.int64)
+    bound -= bound[0]
+    at = np.concatenate([[0], ends])[bound] * 4
+    for k in range(len(text)):
+        if whole[k]:
+            yield np.array(model.tokenizer.encode(text[k].as_py(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        else:
+            yield stream[at[k] : at[k + 1]]
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """Pieces of every document: ``doc_id, piece, start, length, ids_crc32`` (and ``ids``)."""
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    end = _as_bytes([end_id])
+    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             rows = []
-            for k, raw in enumerate(token_bytes(strings(batch), tokenizer_path)):
+            for k, raw in enumerate(token_bytes(pc.fill_null(ids(batch, "text"), ""), tokenizer_path)):
                 raw += end
                 rows += [(k, i, i * capacity, len(cut) // 4, zlib.crc32(cut), cut) for i, cut in enumerate(raw[a : a + 4 * capacity] for a in range(0, len(raw), 4 * capacity))]
             of, piece, start, length, crc, cut = zip(*rows, strict=True)
