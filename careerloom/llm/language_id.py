@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids, slices
+from .common import filtered, ids, slices, strings
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -211,31 +211,39 @@ USUAL, NEAR, SPREAD = 2.6, 1.2, 12.0
 WEIGHT = 64.0
 
 
+def judged(texts: list[str], models: Models) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, confidence, cross-entropy and rejection of each text."""
+    ce, n = models.entropy(texts) if models.langs and texts else (np.full((len(texts), 1), 99.0), np.zeros(len(texts)))
+    none = n < 2 if models.langs else np.ones(len(texts), bool)
+    best = ce.argmin(axis=1)
+    least = ce[np.arange(len(texts)), best]
+    score = 1 / np.exp(-(ce - least[:, None]) * np.minimum(n, WEIGHT)[:, None]).sum(axis=1)
+    over = least > USUAL + NEAR + SPREAD / np.sqrt(np.maximum(n, 1))
+    pred = [UNKNOWN if u else models.langs[b] for u, b in zip(none, best, strict=True)]
+    return pred, np.where(none, 0.0, score), np.where(none, np.nan, least), none | over
+
+
 def language_id(docs: DataFrame, models: Models) -> DataFrame:
     """``doc_id, lang_pred, score, entropy, rejected`` for ``docs(doc_id, text)``.
 
     A null text and a text without letters are ``und`` with score 0, and rejected; without any
-    trained language every text is. ``score`` is the softmax over languages of the evidence of at most ``WEIGHT``
-    characters. Ties go to the first language by name. Repeated rows and null ids stay;
-    further columns are not read; texts are scored whole.
+    trained language every text is. ``score`` is the softmax over languages of the evidence of at
+    most ``WEIGHT`` characters. Ties go to the first language by name. Repeated rows and null ids
+    stay; further columns are not read; texts are scored whole.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(models)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in slices(batches, limit=SLICE):
-            texts = ["" if x is None else x for x in batch.column(1).to_pylist()]
-            ce, n = m.entropy(texts) if m.langs else (np.full((len(texts), 1), 99.0), np.zeros(len(texts)))
-            none = n < 2 if m.langs else np.ones(len(texts), bool)
-            best = ce.argmin(axis=1)
-            least = ce[np.arange(len(texts)), best]
-            score = 1 / np.exp(-(ce - least[:, None]) * np.minimum(n, WEIGHT)[:, None]).sum(axis=1)
-            over = least > USUAL + NEAR + SPREAD / np.sqrt(np.maximum(n, 1))
-            pred = [UNKNOWN if u else m.langs[b] for u, b in zip(none, best, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [ids(batch), pa.array(pred, pa.string()), pa.array(np.where(none, 0.0, score)), pa.array(np.where(none, np.nan, least), from_pandas=True), pa.array(none | over)],
-                ["doc_id", "lang_pred", "score", "entropy", "rejected"],
-            )
+            pred, score, entropy, rejected = judged(strings(batch), shared.value)
+            yield pa.RecordBatch.from_arrays([ids(batch), pa.array(pred, pa.string()), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(rejected)], ["doc_id", "lang_pred", "score", "entropy", "rejected"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
+
+
+def keep_known(docs: DataFrame, models: Models) -> DataFrame:
+    """The documents that are not rejected, with all columns; all where no language was learned."""
+    if not models.langs:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    return filtered(docs, lambda texts: ~judged(texts, shared.value)[3], limit=SLICE)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids, slices, strings
+from .common import filtered, ids, slices, strings
 
 BITS = 18
 SCALE = 12.0
@@ -133,25 +133,34 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> np.ndarray
     return ftrl(rows)
 
 
+def scores(texts: list[str], weights: np.ndarray | None) -> np.ndarray:
+    """The chance of label 1 of each text; 0.5 without a model."""
+    if weights is None:
+        return np.full(len(texts), 0.5)
+    slot, of = features(texts)
+    total, n = np.bincount(of, weights[slot], len(texts)), np.bincount(of, minlength=len(texts))
+    return 1 / (1 + np.exp(-np.clip(weights[-1] + SCALE * total / np.maximum(n, 1), -35, 35)))
+
+
 def quality(docs: DataFrame, weights: np.ndarray | None, threshold: float = 0.7) -> DataFrame:
     """``doc_id, score, predicted`` for ``docs(doc_id, text)``: the chance of label 1.
 
     Null and empty texts get the model's bias. Without a trained model every score is 0.5.
     Repeated rows and null ids stay; further columns are not read; texts are read whole.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(None if weights is None else weights.astype(np.float64))
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
         for batch in slices(batches, limit=SLICE):
-            texts = strings(batch)
-            if w is None:
-                score = np.full(len(texts), 0.5)
-            else:
-                slot, of = features(texts)
-                total, n = np.bincount(of, w[slot], len(texts)), np.bincount(of, minlength=len(texts))
-                score = 1 / (1 + np.exp(-np.clip(w[-1] + SCALE * total / np.maximum(n, 1), -35, 35)))
+            score = scores(strings(batch), shared.value)
             yield pa.RecordBatch.from_arrays([ids(batch), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def keep_quality(docs: DataFrame, weights: np.ndarray | None, threshold: float = 0.7) -> DataFrame:
+    """The documents that the classifier does not reject, with all columns; all without a model."""
+    if weights is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    return filtered(docs, lambda texts: scores(texts, shared.value) >= threshold, limit=SLICE)

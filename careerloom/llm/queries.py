@@ -13,6 +13,7 @@ from .byte_bpe import byte_bpe
 from .common import held_out, table
 from .fingerprint import fingerprints
 from .html_text import html_text
+from .near_vectors import near_vectors
 from .ngram_join import ngram_join
 from .packing import best_fit_packing
 from .suffix_dedup import suffix_dedup
@@ -27,6 +28,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(table(spark, sf_dir, "pages"))
 
@@ -60,7 +65,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
-_QUERIES = (op1_token_counts, op2_byte_bpe, op4_html_text, op5_suffix_dedup, op6_fingerprints, op7_language_id, op8_quality, op9_packing, op10_ngram_join)
+_QUERIES = (op1_token_counts, op2_byte_bpe, op3_near_vectors, op4_html_text, op5_suffix_dedup, op6_fingerprints, op7_language_id, op8_quality, op9_packing, op10_ngram_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -74,5 +79,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: shipped(f) for f in _QUERIES}
 
 
+_NEAR_VECTORS = """
+with recursive unit as (
+  select vec_id, embedding::double[] as v from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link as (select a.vec_id as a, b.vec_id as b from unit a join unit b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(v, c) as (select vec_id, vec_id from unit union select reach.v, link.b from reach join link on link.a = reach.c),
+comp as (select v, min(c) as component_id from reach group by v),
+degree as (select a, count(*) as n from link group by a)
+select e.vec_id, coalesce(degree.n, 0) as n_links, coalesce(comp.component_id, e.vec_id) as component_id, e.vec_id = coalesce(comp.component_id, e.vec_id) as kept
+from embeddings e left join degree on degree.a = e.vec_id left join comp on comp.v = e.vec_id
+"""
+
+_NGRAM_JOIN = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+grams as (
+  select doc_id, case when len(w) >= 4 then list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as g from words),
+item as (select doc_id, len(g) as n, unnest(g) as s from grams),
+link as (
+  select a.doc_id as a, b.doc_id as b from item a join item b on a.s = b.s and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(v, c) as (select doc_id, doc_id from grams union select reach.v, link.b from reach join link on link.a = reach.c)
+select grams.doc_id, len(g) as n_shingles, (select min(c) from reach where v = grams.doc_id) as component_id from grams
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can express; the others are tested against brute force."""
+    return {"op3_near_vectors": _NEAR_VECTORS, "op10_ngram_join": _NGRAM_JOIN}
