@@ -64,9 +64,10 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
             # a single space between words, as nearly always: the parts are the pre-tokens
             odd = np.asarray(pc.or_(pc.or_(pc.match_substring(text, "  "), pc.match_substring(text, "▁")), pc.starts_with(text, " ")))
             odd |= n_bytes == 0
-            plain = pc.split_pattern(pc.if_else(pa.array(odd), pa.scalar(None, pa.string()), text), " ")
-            words = plain.flatten().dictionary_encode() if n else None
-            docs_of = np.asarray(pc.list_parent_indices(plain), dtype=np.int64)
+            at_plain = np.flatnonzero(~odd)
+            plain = pc.split_pattern(text.take(pa.array(at_plain)), " ")
+            words = plain.flatten().dictionary_encode()
+            docs_of = at_plain[np.asarray(pc.list_parent_indices(plain), dtype=np.int64)]
             vocabulary = [" " + x for x in words.dictionary.to_pylist()]
             index = np.asarray(words.indices, dtype=np.int64)
             extra, at = [], {w: i for i, w in enumerate(vocabulary)} if odd.any() else {}
