@@ -5,16 +5,17 @@ A document's set is its distinct word n-grams, as 64-bit hashes. Sets are joined
 1. A bounded counting sketch over all sets puts n-grams in one global order, rare ones first.
    The order only steers the work: any fixed order gives whole results.
 2. Equal sets become one class. A class's prefix, its first n-grams in the order, must share an
-   n-gram with the prefix of each class it links to. So the prefixes form an inverted index whose
-   lists are in blocks by position of size; a block border that no link can cross is where one size is too small for the next.
-   What stays in one block is tied to one leader. Ties in a block of equal sizes are made before
-   the shuffle, so a list sends a row for each task and size, not for each document.
-3. Tied classes form groups, and only their sets are fetched, each once (in large groups, once for
+   n-gram with the prefix of each class it links to. So the prefixes form an inverted index.
+   Its lists are in order of size, and what no other set of the list can reach by size is dropped.
+3. Within a list, blocks are skipped by size and by the n-gram's position: what stands before and behind it in
+   two sets bounds their overlap. Pairs left are held against bitmaps of the sets: the bits in
+   which two bitmaps differ are at most the n-grams in which the sets differ. What passes is a tie.
+4. Ties form groups, and only grouped sets are fetched, each once (in large groups, once for
    each pair of blocks). Within a group the overlaps of one set with all others come from
    index lists. A set close to one already answered derives its overlaps from those, by
    the lists of the few n-grams in which the two differ; a set whose possible partners are all
    connected to it is skipped.
-4. Links form components. Only as many links as connect them leave a task.
+5. Links form components. Only as many links as connect them leave a task.
 """
 
 from __future__ import annotations
@@ -23,8 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, ids, slices, strings, written
@@ -35,6 +35,12 @@ SLICE = 1 << 20
 CELLS = 1 << 20
 #: The sketch travels in so many parts.
 PARTS = 64
+#: Bits of a set's bitmap, and of the second bitmap of sets over ``LARGE`` n-grams.
+BITS, MORE_BITS, LARGE = 1024, 8192, 1000
+#: Rows of a list that one task compares: two blocks of half as many.
+LIST = 2048
+#: Rows of a list up to which its pairs are compared with those of other lists.
+SHORT = 24
 #: Sets that a task compares with each other: two blocks of half as many.
 GROUP = 1600
 _odd = np.uint64(0x9E3779B97F4A7C15)
@@ -156,8 +162,14 @@ def _parts(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([_packed(x) for x in total.reshape(PARTS, -1)], pa.binary())], ["part", "counts"])
 
 
+def bitmap(grams: np.ndarray, bits: int) -> bytes:
+    """The parity of the n-grams that fall on each bit."""
+    n = np.bincount(((grams >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((n & 1).astype(np.uint8)).tobytes()
+
+
 def _prefixes(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """``doc_id, n, node, prefix``: set size, class, and the n-grams that a linked set's prefix must meet."""
+    """``doc_id, n, node, prefix, bits, more``: set size, class, the n-grams that a linked set's prefix must meet, and bitmaps."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,73 +181,130 @@ def _prefixes(docs: DataFrame, width: int, percent: int, common: np.ndarray) ->
                 x = level[(s & np.uint64(CELLS - 1)).astype(np.int64)]
                 by = s[np.argsort(x, kind="stable")] if x.any() else s
                 prefix.append(by[: len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0].view(np.int64))
+            more = [bitmap(s, MORE_BITS) if len(s) > LARGE else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [ids(batch), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["doc_id", "n", "node", "prefix"],
+                [ids(batch), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array([bitmap(s, BITS) for s in sets], pa.binary()), pa.array(more, pa.binary())],
+                ["doc_id", "n", "node", "prefix", "bits", "more"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, prefix array<long>")
-
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, prefix array<long>, bits binary, more binary")
 
-_TIES = "token long, n long, node long, other long"
 
+def _lists(classes: DataFrame, percent: int) -> DataFrame:
+    """``token, n, pos, node``: index rows that have a neighbour in their list within reach of size."""
 
-def _tie(token: np.ndarray, n: np.ndarray, node: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ties within the lists of rows sorted by token and size: (leader, node) pairs.
-
-    A list breaks where no link can cross: each size on one side is less than ``percent`` of each on the other.
-    """
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])
-    first = np.flatnonzero(new)
-    leader = np.repeat(np.minimum.reduceat(node, first), np.diff(np.append(first, len(token))))
-    tied = leader != node
-    pair = np.unique(np.stack([leader[tied], node[tied]], axis=1), axis=0)
-    return pair[:, 0], pair[:, 1]
-
-
-def _rows(token, n, node, other) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(other, pa.int64(), from_pandas=True)], ["token", "n", "node", "other"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None  # the row before, and whether it is out already
+        out = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            token, n = (np.asarray(rows.column(k), dtype=np.int64) for k in (0, 1))
+            near = (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            keep = np.concatenate([near, [False]]) | np.concatenate([[False], near])
+            end = bool(keep[-1])
+            if last is not None and out:
+                keep[0] = False
+            last, out = rows.take(pa.array([rows.num_rows - 1])), end
+            if keep.any():
+                yield rows.filter(pa.array(keep))
+
+    rows = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "n", "pos", "node")
+    return rows.repartition("token").sortWithinPartitions("token", "n").mapInArrow(run, "token long, n long, pos int, node long")
+
+
+def may_link(n: np.ndarray, pos: np.ndarray, bits: np.ndarray, more: np.ndarray | None, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows (a, b) of a list may link, by size, position and bitmaps."""
+    na, nb = n[a], n[b]
+    need = -(-percent * (na + nb) // (100 + percent))
+    keep = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+    keep &= np.minimum(pos[a], pos[b]) + 1 + np.minimum(na - pos[a], nb - pos[b]) - 1 >= need
+    at = np.flatnonzero(keep)
+    differ = np.bitwise_count(bits[a[at]] ^ bits[b[at]]).sum(axis=1, dtype=np.int64)
+    at = at[differ <= (na + nb - 2 * need)[at]]
+    if more is not None:
+        both = at[(na[at] > LARGE) & (nb[at] > LARGE)]
+        differ = np.bitwise_count(more[a[both]] ^ more[b[both]]).sum(axis=1, dtype=np.int64)
+        bad = both[differ > (na + nb - 2 * need)[both]]
+        at = np.setdiff1d(at, bad, True)
+    out = np.zeros(len(a), bool)
+    out[at] = True
+    return out
 
 
 def _candidate_ties(classes: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: ties that connect all classes that may link, through lists of the prefix index."""
+    """``a, b``: ties that connect all classes that may link."""
+    lists = written(_lists(classes, percent), "lists")
+    sizes = lists.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > LIST)
+    placed = lists.join(sizes, "token", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / (LIST // 2)), F.lit(1)).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(classes.select("node", "bits", "more"), "node")
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "pos", "node", "bits", "more")
 
-    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # equal sizes of a list that meet in one task are tied here; one row of them goes on
-        for batch in batches:
-            lists = batch.column(2)
-            of = np.asarray(pc.list_parent_indices(lists), dtype=np.int64)
-            token = np.asarray(lists.flatten(), dtype=np.int64)
-            node, n = (np.asarray(batch.column(k), dtype=np.int64)[of] for k in (0, 1))
-            by = np.lexsort((node, n, token))
-            token, n, node = token[by], n[by], node[by]
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (n[1:] != n[:-1])
-            first = np.flatnonzero(new)
-            leader = np.repeat(node[first], np.diff(np.append(first, len(token))))
-            pair = np.unique(np.stack([leader[~new], node[~new]], axis=1), axis=0)
-            pair = pair[pair[:, 0] != pair[:, 1]]
-            k = len(pair)
-            yield _rows(np.concatenate([token[first], pair[:, 1]]), np.concatenate([n[first], np.zeros(k, np.int64)]), np.concatenate([node[first], pair[:, 0]]), pa.array([None] * len(first) + pair[:, 1].tolist(), pa.int64()))
-
-    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((3, 0), np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for batch in batches:
-            done = np.asarray(batch.column(3).is_valid())
-            if done.any():
-                yield pa.RecordBatch.from_arrays([batch.column(2).filter(pa.array(done)), batch.column(3).filter(pa.array(done))], ["a", "b"])
-            rows = np.stack([np.asarray(batch.column(k), dtype=np.int64)[~done] for k in range(3)])
-            rows = np.concatenate([rest, rows], axis=1)
-            if rows.shape[1]:
-                a, b = _tie(*rows, percent)
-                # the last row comes again: its list may go on
-                rest = rows[:, -1:]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    dealt = classes.select("node", "n", "prefix").mapInArrow(ahead, _TIES).repartition("token").sortWithinPartitions("token", "n")
-    return dealt.mapInArrow(tie, "a long, b long").distinct()
+            if not batch.num_rows:
+                continue
+            # whole lists are compared; the last one may go on in the next batch
+            key = np.stack([np.asarray(batch.column(k), dtype=np.int64) for k in range(3)])
+            other = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))
+            first = held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in range(3))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if (first or cut) and rows:
+                yield ties([*held, batch.slice(0, cut)] if cut else held)
+                held, rows = [], 0
+            elif cut:
+                yield ties([batch.slice(0, cut)])
+            held.append(batch.slice(cut))
+            rows += batch.num_rows - cut
+        if rows:
+            yield ties(held)
+
+    def ties(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches([b for b in batches if b.num_rows])
+        token, i, j, block, n, pos, node = (np.asarray(t.column(k), dtype=np.int64) for k in range(7))
+        bits = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint64).reshape(len(n), -1)
+        more = None
+        if t.column(8).null_count < len(n):
+            more = np.frombuffer(b"".join(x or bytes(MORE_BITS // 8) for x in t.column(8).to_pylist()), np.uint64).reshape(len(n), -1)
+        new = np.ones(len(n), bool)
+        new[1:] = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(n)))
+        found: list[np.ndarray] = []
+
+        def hold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            ok = (i[a] == j[a]) | (block[a] != block[b])
+            ok[ok] = may_link(n, pos, bits, more, a[ok], b[ok], percent)
+            found.append(np.stack([node[a[ok]], node[b[ok]]], axis=1))
+            return ok
+
+        for m in np.unique(size[size <= SHORT]).tolist():
+            x, y = np.triu_indices(m, 1)
+            at = start[size == m]
+            for k in range(0, len(at), max(1, 50_000 // max(1, len(x)))):
+                part = at[k : k + max(1, 50_000 // max(1, len(x)))]
+                hold((part[:, None] + x).ravel(), (part[:, None] + y).ravel())
+        for a, m in zip(start[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
+            label = np.arange(m)
+            for x in range(1, m):
+                # rows are in order of size: those before are no larger; what is connected already is skipped
+                low = np.searchsorted(100 * n[a : a + x], percent * n[a + x], "left")
+                y = low + np.flatnonzero(label[low:x] != label[x])
+                if len(y):
+                    ok = hold(np.full(len(y), a + x), a + y)
+                    roots = np.unique(label[y[ok]])
+                    if len(roots):
+                        label[np.isin(label, roots)] = label[x]
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    keys = ["token", "i", "j"]
+    return sent.repartition(*keys).sortWithinPartitions(*keys, "n").mapInArrow(run, "a long, b long").distinct()
 
 
 def connect(sets: list[np.ndarray], nodes: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -356,7 +425,7 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     found = written(_prefixes(docs, width, percent, _sketch(docs, width)), "prefixes")
-    classes = found.where("n > 0").select("node", "n", "prefix").dropDuplicates(["node"])
+    classes = written(found.where("n > 0").select("node", "n", "prefix", "bits", "more").dropDuplicates(["node"]), "classes")
     ties = _candidate_ties(classes, percent)
     groups = written(components(ties, "ties"), "groups")
     members = written(found.where("n > 0").select("doc_id", "node").join(groups, "node").groupBy("node", "comp").agg(F.min("doc_id").alias("doc_id")), "members")
@@ -368,3 +437,17 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     with_words = rows.where("n > 0").join(of_node, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     without = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return with_words.unionByName(without)
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component, that of the smallest id, with all columns.
+
+    Of repeated rows (same id and text) one stays.
+    """
+    joined = written(ngram_join(docs, width, percent).select("doc_id", "component_id"), "joined")
+    named = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("named_id")).distinct()
+    out = docs.join(named.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("named_id")), "left_semi")
+    if joined.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
+        same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
+        out = out.withColumn("_row", F.row_number().over(same)).where("_row = 1").drop("_row")
+    return out
