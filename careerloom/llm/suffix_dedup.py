@@ -31,6 +31,8 @@ from .common import ids, slices, strings, written
 
 LENGTH = 400
 ANCHOR = 160
+#: Windows of a span at most.
+RUN = 2048
 #: Spans of one name that one suffix array takes.
 GROUP = 256
 #: Bytes of spans that go into one suffix array, unless one name has more.
@@ -99,19 +101,23 @@ def spans(data: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> tuple
     new = np.ones(len(at), bool)
     new[1:] = (names[at[1:]] != names[at[:-1]]) | (of[at[1:]] != of[at[:-1]])
     first = np.flatnonzero(new)
+    # a long run, of a text that goes on repeating, is cut by its length from its beginning
+    age = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    first = np.flatnonzero(age % RUN == 0)
     count = np.diff(np.append(first, len(at)))
     twice = np.add.reduceat(left[at] != right[at], first) > 0
     return of[at[first]], at[first], count, names[at[first]], twice | (count > width)
 
 
-def suffix_array(data: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """All suffixes in order by two-stage sorting.
+def suffix_array(data: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
+    """All suffixes in the order of their first ``depth`` values, by two-stage sorting.
 
     ``data``: values over 0, with a 0 after each string; ``stop``: where each place's string
-    has its 0. A suffix ends with its string; equal suffixes are in any order.
+    has its 0. A suffix ends with its string; those equal so far are in any order.
     """
     n = len(data)
     raw = (data - 1).astype(np.uint8).tobytes()
+    ends = stop.tolist()
     following = np.append(data[1:], 0)
     # a suffix is smaller than its successor if the next different value is greater
     change = np.flatnonzero(data != following)
@@ -119,7 +125,7 @@ def suffix_array(data: np.ndarray, stop: np.ndarray) -> np.ndarray:
     smaller = following[upcoming] > data[upcoming]
     smaller[data == 0] = True
     direct = np.flatnonzero(smaller & (data > 0))
-    ordered = np.array(sorted(direct.tolist(), key=lambda i: raw[i : stop[i]]), dtype=np.int64)
+    ordered = np.array(sorted(direct.tolist(), key=lambda i: raw[i : min(ends[i], i + depth)]), dtype=np.int64)
     rank = np.full(n, -1, np.int64)
     zeros = np.flatnonzero(data == 0)
     sizes = np.bincount(data, minlength=257)
@@ -157,7 +163,7 @@ def repeated(strings_: list[bytes], length: int) -> list[np.ndarray]:
     keep[ends] = False
     data[keep] = np.frombuffer(b"".join(strings_), np.uint8).astype(np.int64) + 1
     stop = np.repeat(ends, sizes + 1)
-    order = suffix_array(data, stop)
+    order = suffix_array(data, stop, length)
     order = order[stop[order] - order >= length]
     equal = shared_prefix(data, order, length)
     group = np.concatenate([[0], np.cumsum(~equal)]) if len(order) else np.zeros(0, np.int64)
