@@ -233,6 +233,24 @@ def may_link(n: np.ndarray, pos: np.ndarray, bits: np.ndarray, more: np.ndarray
     return out
 
 
+def _stars(pairs: np.ndarray) -> np.ndarray:
+    """Pairs that connect the same: each class with the least class it is connected to."""
+    if not len(pairs):
+        return pairs
+    nodes, index = np.unique(pairs, return_inverse=True)
+    x, y = index.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, x, label[y])
+        np.minimum.at(label, y, label[x])
+        label = label[label]
+        if (label == before).all():
+            break
+    tied = label != np.arange(len(nodes))
+    return np.stack([nodes[label[tied]], nodes[tied]], axis=1)
+
+
 def _candidate_ties(classes: DataFrame, percent: int) -> DataFrame:
     """``a, b``: ties that connect all classes that may link."""
     lists = written(_lists(classes, percent), "lists")
@@ -243,6 +261,24 @@ def _candidate_ties(classes: DataFrame, percent: int) -> DataFrame:
     sent = sent.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "pos", "node", "bits", "more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task sends a star for each group of its ties: a row for each class, not for each tie."""
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = y
+            return x
+
+        for pairs in found(batches):
+            for a, b in pairs.tolist():
+                a, b = root(a), root(b)
+                up[max(a, b)] = min(a, b)
+        tied = [(root(x), x) for x in list(up)]
+        tied = [t for t in tied if t[0] != t[1]]
+        yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in tied], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         held: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:
@@ -263,7 +299,7 @@ def _candidate_ties(classes: DataFrame, percent: int) -> DataFrame:
         if rows:
             yield ties(held)
 
-    def ties(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def ties(batches: list[pa.RecordBatch]) -> np.ndarray:
         t = pa.Table.from_batches([b for b in batches if b.num_rows])
         token, i, j, block, n, pos, node = (np.asarray(t.column(k), dtype=np.int64) for k in range(7))
         bits = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint64).reshape(len(n), -1)
@@ -274,12 +310,12 @@ def _candidate_ties(classes: DataFrame, percent: int) -> DataFrame:
         new[1:] = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(n)))
-        found: list[np.ndarray] = []
+        passed: list[np.ndarray] = []
 
         def hold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             ok = (i[a] == j[a]) | (block[a] != block[b])
             ok[ok] = may_link(n, pos, bits, more, a[ok], b[ok], percent)
-            found.append(np.stack([node[a[ok]], node[b[ok]]], axis=1))
+            passed.append(np.stack([node[a[ok]], node[b[ok]]], axis=1))
             return ok
 
         for m in np.unique(size[size <= SHORT]).tolist():
@@ -299,9 +335,8 @@ def _candidate_ties(classes: DataFrame, percent: int) -> DataFrame:
                     roots = np.unique(label[y[ok]])
                     if len(roots):
                         label[np.isin(label, roots)] = label[x]
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        pairs = np.concatenate(passed) if passed else np.zeros((0, 2), np.int64)
+        return _stars(pairs[pairs[:, 0] != pairs[:, 1]])
 
     keys = ["token", "i", "j"]
     return sent.repartition(*keys).sortWithinPartitions(*keys, "n").mapInArrow(run, "a long, b long").distinct()
