@@ -12,13 +12,16 @@ A string of ``length`` bytes that starts at two places is found in these steps.
    bytes fetched and is sent to its name's task. There, suffix arrays of the spans are
    built by two-stage sorting: only suffixes smaller than their successors are sorted directly, the
    others are induced from these by scanning the buckets of first bytes; adjacent suffixes that share
-   ``length`` bytes are repeats. Names of more than ``GROUP`` spans are dealt to several tasks;
-   windows that are single in their task are then counted over all tasks of the name.
+   ``length`` bytes are repeats. The windows of names of more than ``GROUP`` spans are renamed by the bytes that
+   neighbouring windows share, ``FINER`` by ``FINER``, which leaves apart what only has the name's gram in common. Names that stay
+   large are dealt to several tasks; windows that are single in their task are then counted over all
+   tasks of the name.
 4. A document's repeats become byte ranges, and the ranges are cut from its text.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -35,6 +38,8 @@ ANCHOR = 160
 RUN = 2048
 #: Spans of one name that one suffix array takes.
 GROUP = 256
+#: Windows that are renamed together in large names, in turn.
+FINER = (80, 8)
 #: Bytes of spans that go into one suffix array, unless one name has more.
 SORTED_BYTES = 1 << 18
 #: Text bytes hashed at once: each takes about eighty bytes of memory.
@@ -209,9 +214,12 @@ def _named_spans(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     return docs.mapInArrow(run, "name long, content long, doc_id long, text_hash long, start int, n int, twice boolean")
 
 
+_SPAN = "name long, gram long, doc_id long, text_hash long, start int, bytes binary"
+
+
 def _fetched(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of ``wanted`` spans, cut from their documents."""
-    lists = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("name", "salt", "start", "n")).alias("spans"))
+    lists = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("name", "start", "n")).alias("spans"))
     # repeated rows: one of them gives the bytes
     joined = docs.join(lists.hint("shuffle_hash"), (docs["doc_id"].eqNullSafe(lists["doc_id"])) & (docs["text_hash"] == lists["text_hash"])).select(docs["doc_id"], docs["text_hash"], "text", "spans")
 
@@ -220,12 +228,42 @@ def _fetched(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             rows: list[tuple] = []
             for k, (text, found) in enumerate(zip(strings(batch), ids(batch, "spans").to_pylist(), strict=True)):
                 raw = text.encode()
-                rows += [(k, s["name"], s["salt"], s["start"], raw[s["start"] : s["start"] + s["n"] + length - 1]) for s in found]
-            of, name, salt, start, cut = zip(*rows, strict=True)
+                rows += [(k, s["name"], s["start"], raw[s["start"] : s["start"] + s["n"] + length - 1]) for s in found]
+            of, name, start, cut = zip(*rows, strict=True)
+            take = pa.array(of)
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(name, pa.int64()), ids(batch).take(take), ids(batch, "text_hash").take(take), pa.array(start, pa.int32()), pa.array(cut, pa.binary())], ["name", "gram", "doc_id", "text_hash", "start", "bytes"])
+
+    return joined.mapInArrow(run, _SPAN)
+
+
+def _refined(large: DataFrame, width: int, length: int, anchor: int) -> DataFrame:
+    """Spans of large names, cut and renamed by the bytes that ``width`` neighbouring windows share.
+
+    Equal windows hold their name's gram first at the same place, so they fall into the same
+    range of ``width`` places, and all windows of a range hold the bytes in its middle.
+    """
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "bytes", SLICE):
+            rows: list[tuple] = []
+            for k, (gram, start, raw) in enumerate(zip(*(ids(batch, c).to_pylist() for c in ("gram", "start", "bytes")), strict=True)):
+                n = len(raw) - length + 1
+                at = np.flatnonzero(gram_hashes(np.frombuffer(raw, np.uint8), anchor).view(np.int64) == gram)
+                first = at[np.searchsorted(at, np.arange(n))]
+                block = (first - np.arange(n)) // width
+                edge = np.flatnonzero(np.diff(first, prepend=-1) | np.diff(block, prepend=-1)).tolist()
+                for a, b in zip(edge, [*edge[1:], n], strict=True):
+                    core = int(first[a]) - int(block[a]) * width
+                    h = xxhash.xxh3_64_intdigest(raw[core : core + length - width + 1], seed=int(block[a])) ^ (gram & (1 << 64) - 1)
+                    rows.append((k, h - (1 << 64) if h >> 63 else h, start + a, raw[a : b + length - 1]))
+            of, name, start, cut = zip(*rows, strict=True)
             take = pa.array(of)
-            yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(salt, pa.int32()), ids(batch).take(take), ids(batch, "text_hash").take(take), pa.array(start, pa.int32()), pa.array(cut, pa.binary())], ["name", "salt", "doc_id", "text_hash", "start", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), *(ids(batch, c).take(take) for c in ("gram", "doc_id", "text_hash")), pa.array(start, pa.int32()), pa.array(cut, pa.binary())], ["name", "gram", "doc_id", "text_hash", "start", "bytes"])
+
+    return large.mapInArrow(run, _SPAN)
+
 
-    return joined.mapInArrow(run, "name long, salt int, doc_id long, text_hash long, start int, bytes binary")
 
 
 def _compared(fetched: DataFrame, length: int) -> DataFrame:
@@ -238,14 +276,20 @@ def _compared(fetched: DataFrame, length: int) -> DataFrame:
     import xxhash
 
     def emit(group: list[tuple]) -> pa.RecordBatch:
-        rows = []
+        rows, seen = [], set()
         for (_, salt, doc, text_hash, start, raw), label, count in zip(group, *_labels([g[5] for g in group], length), strict=True):
             held = count > 1
             if salt < 0:
                 edge = np.flatnonzero(np.diff(held.astype(np.int8), prepend=0, append=0))
                 rows += [(doc, text_hash, start + a, start + b, None, True) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
             else:
-                rows += [(doc, text_hash, start + k, start + k + 1, xxhash.xxh3_128_digest(raw[k : k + length]), bool(held[k])) for k in range(len(label))]
+                edge = np.flatnonzero(np.diff(held.astype(np.int8), prepend=0, append=0))
+                rows += [(doc, text_hash, start + a, start + b, None, True) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+                for k, (own, again) in enumerate(zip(label.tolist(), held.tolist(), strict=True)):
+                    if own not in seen:
+                        # one row for each kind of window of the task
+                        seen.add(own)
+                        rows.append((doc, text_hash, start + k, start + k + 1, xxhash.xxh3_128_digest(raw[k : k + length]), again))
         doc, text_hash, start, stop, window, repeat = zip(*rows, strict=True) if rows else ((),) * 6
         return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(text_hash, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(window, pa.binary()), pa.array(repeat, pa.bool_())], ["doc_id", "text_hash", "start", "stop", "window", "repeat"])
 
@@ -263,7 +307,7 @@ def _compared(fetched: DataFrame, length: int) -> DataFrame:
         if group:
             yield emit(group)
 
-    dealt = fetched.repartition("name", "salt").sortWithinPartitions("name", "salt")
+    dealt = fetched.select("name", "salt", "doc_id", "text_hash", "start", "bytes").repartition("name", "salt").sortWithinPartitions("name", "salt")
     return dealt.mapInArrow(run, "doc_id long, text_hash long, start int, stop int, window binary, repeat boolean")
 
 
@@ -284,10 +328,27 @@ def repeat_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -
     kinds = same.groupBy("name").agg(F.count("*").alias("different"))
     same = written(same.join(kinds, "name").where("copies > 1 or different > 1 or one.twice"), "contents")
     whole = found.join(same.where("copies > 1").select("name", "content"), ["name", "content"]).select("doc_id", "text_hash", "start", (F.col("start") + F.col("n")).alias("stop"))
-    # a name of few spans has one task (salt -1); others are dealt by content
-    salt = F.when(F.col("different") <= GROUP, -1).otherwise(F.pmod("content", F.ceil(F.col("different") / GROUP))).cast("int")
-    wanted = same.where("different > 1 or (one.twice and copies = 1)").select("name", salt.alias("salt"), "one.*")
-    compared = written(_compared(_fetched(docs, wanted, length), length), "compared")
+    wanted = same.where("different > 1 or (one.twice and copies = 1)").select("name", "one.*")
+    sent = written(_fetched(docs, wanted, length), "fetched")
+    # a name of few spans has one task (salt -1); larger ones are renamed, then dealt
+    sizes = same.where(F.col("different") > GROUP).select("name", "different").distinct()
+    ready = []
+    for width in FINER:
+        if not sizes.limit(1).count():
+            break
+        ready.append(sent.join(sizes, "name", "left_anti").withColumn("salt", F.lit(-1)))
+        pieces = written(_refined(sent.join(sizes, "name", "left_semi"), width, length, anchor).withColumn("content", F.xxhash64("bytes")), "refined")
+        # equal pieces are repeats, one of them goes on; equal windows of one span hold the gram at different
+        # places, so they are in different pieces of one name
+        kinds = written(pieces.groupBy("name", "content").agg(F.count("*").alias("copies"), F.first(F.struct("gram", "doc_id", "text_hash", "start", "bytes")).alias("one")), "kinds")
+        whole = whole.union(pieces.join(kinds.where("copies > 1").select("name", "content"), ["name", "content"]).select("doc_id", "text_hash", "start", (F.col("start") + F.length("bytes") - (length - 1)).alias("stop")))
+        counts = kinds.groupBy("name").agg(F.count("*").alias("different")).where("different > 1")
+        sent = kinds.join(counts.select("name"), "name").select("name", "one.*")
+        sizes = counts.where(F.col("different") > GROUP)
+    salted = F.when(F.col("different").isNull(), -1).otherwise(F.pmod(F.xxhash64("bytes"), F.ceil(F.col("different") / GROUP))).cast("int")
+    ready.append(sent.join(sizes, "name", "left").withColumn("salt", salted).drop("different"))
+    every = functools.reduce(DataFrame.unionByName, ready)
+    compared = written(_compared(every, length), "compared")
     near = compared.where("repeat").select("doc_id", "text_hash", "start", "stop")
     windows = compared.where("window is not null")
     across = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").join(windows.where("not repeat"), "window").select("doc_id", "text_hash", "start", "stop")
