@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import corpus_queries, link_queries, score_queries, text_queries  # noqa: F401  (their queries register themselves)
+from .plans import analysis_queries, corpus_queries, link_queries, score_queries, text_queries  # noqa: F401  (their queries register themselves)
 from .plans.registry import QUERIES, SQL
 
 

@@ -138,3 +138,38 @@ def test_sources(spark, tmp_path):
     (tmp_path / "t.csv").write_bytes("Name,Hours\nJosé,10-20\nBo,n/a\n".encode("latin1"))
     assert [tuple(r) for r in S.read_csv(spark, str(tmp_path / "t.csv"), "ISO-8859-1").collect()] == [("José", "10-20"), ("Bo", None)]
     assert S.resolve_column(rows, ["x", "level"]) == "level" and S.resolve_column(rows, [], ["country", "CODE"]) == "country_code"
+
+
+def test_documents(spark):
+    from careerloom.operators import docparse as D
+
+    df = spark.createDataFrame([(1, "Ann\nx\n## Skills\nsql\ngit\n##  Work"), (2, ""), (3, None)], "id int, text string")
+    got = {(r.id, r.pos): (r.title, r.body) for r in D.sections(df, "id", "text").collect()}
+    assert got[1, 1] == ("Skills", "sql\ngit") and got[1, 2] == ("Work", "") and got[1, 0][0] is None
+    assert values(spark, ["a github.com/login b github.com/ann-x", None], lambda c: D.code_user(c)) == ["ann-x", None]
+    assert values(spark, ["Data Analyst at Acme", "\nSenior Data Engineer | Acme", "none"], D.job_title) == ["Data Analyst", "Senior Data Engineer", None]
+    assert values(spark, ["0f8fad5b-d9cb-469f-a165-70867728950e", "Acme"], D.company) == ["", "Acme"]
+    text = 'x {"a": {"score": 1}} {"score": 2, "b": {}}'
+    assert D.keyed_json(spark.createDataFrame([(text,), (None,)], "t string"), "t", "score").collect()[0].json == '{"score": 1}'
+
+
+def test_scorer_retries_and_falls_back(spark):
+    from careerloom.operators import scorer
+
+    df = spark.createDataFrame([("a long enough text",), ("",), (None,), ("a long enough text",)], "t string")
+
+    def broken(texts):
+        raise RuntimeError("no network")
+
+    assert sorted(r.score for r in scorer.score_texts(df, "t").collect()) == [0.0, 0.0, 0.6, 0.6]
+    assert {r.score for r in scorer.score_texts(df, "t", broken, default=0.5, wait=0.0).where("t <> ''").collect()} == {0.5}
+    assert {r.score for r in scorer.score_texts(df, "t", lambda texts: [7.0] * len(texts)).where("t <> ''").collect()} == {1.0}
+
+
+def test_enrichment(spark):
+    from careerloom.operators import enrich as E
+
+    got = values(spark, [None], lambda c: F.struct(*[v.alias(k) for k, v in E.from_profile(F.lit(16), F.lit(4), F.lit(4), F.lit(9), F.lit(True)).items()]))[0]
+    assert (got.pursue, got.stronger, got.prepared, got.ready, got.more_prepared, got.community, got.diverse) == (7, 9, 8, 4, "True", 7, "True")
+    assert values(spark, ["Chef", None], lambda c: E.goal_sentence(c, F.lit(None).cast("string"))) == ["Career goal: Chef.", None]
+    assert values(spark, [["a", "b", "c", "d", "e"]], lambda c: F.size(E.kept_inferences(c, F.array(*[F.lit(k) for k in range(4)]))), "array<string>") == [3]
