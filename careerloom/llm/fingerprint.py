@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Words of a shingle.
 WIDTH = 5
 #: One in ``2 ** KEEP_BITS`` shingle hashes is kept.
-KEEP_BITS = 3
+KEEP_BITS = 2
 #: Ids of one window that finds each document's successor.
 SPAN = 1024
 
