@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plans import analysis_queries, corpus_queries, link_queries, score_queries, text_queries  # noqa: F401  (their queries register themselves)
 from .plans.registry import QUERIES, SQL
+from .session import ship
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +17,14 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    def shipped(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        return run
+
+    return {name: shipped(f) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
