@@ -6,20 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of values that are ranked apart.
+RANGES = 256
+
+
 def percentile_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Average rank over the number of values, in (0, 1]; null where the value is null.
 
-    Equal values share the mean of their ranks. Counts per value are made first, so the window runs
-    over distinct values, and the whole column is never put in order.
+    Equal values share the mean of their ranks. Counts per value are made first. Values are cut into ranges at
+    approximate quantiles; a window ranks within a range, and the ranges before it are added on,
+    so no task gets the whole column. The cuts only steer the work.
     """
     by = by or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_same"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    upto = F.sum("_same").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.select(*by, F.col(value).alias("_value"), ((upto - (F.col("_same") - 1) / 2) / F.sum("_same").over(w)).alias(out))
+    cuts = df.select(F.percentile_approx(F.col(value).cast("double"), [k / RANGES for k in range(1, RANGES)], 10_000).alias("c")).first()["c"] or []
+    span = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: c < F.col("_value").cast("double")))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value")).agg(F.count("*").alias("_same")).withColumn("_span", span)
+    sums = counts.groupBy(*by, "_span").agg(F.sum("_same").alias("_in"))
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # a row for each range
+    before = F.coalesce(F.sum("_in").over(w.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_span").alias("_of"), before.alias("_before"), F.sum("_in").over(w).alias("_all"))
+    on = counts["_span"] == sums["_of"]
+    for c in by:
+        on = on & counts[c].eqNullSafe(sums[f"_by_{c}"])
+    upto = F.sum("_same").over(Window.partitionBy(*by, "_span").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = counts.join(sums, on).select(*[F.col(c).alias(f"_by_{c}") for c in by], "_value", ((F.col("_before") + upto - (F.col("_same") - 1) / 2) / F.col("_all")).alias(out))
     on = df[value].eqNullSafe(ranks["_value"])
     for c in by:
-        on = on & df[c].eqNullSafe(ranks[c])
+        on = on & df[c].eqNullSafe(ranks[f"_by_{c}"])
     return df.join(ranks, on, "left").select(*[df[c] for c in df.columns], ranks[out])
 
 

@@ -73,6 +73,22 @@ def test_percentile_equals_pandas(spark, items):
     assert [None if math.isnan(x) else pytest.approx(x) for x in want] == got
 
 
+def test_percentile_within_groups(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else "ab"[i % 2], float(i % 37)) for i in range(700)], "i int, g string, v double")
+    got = [r.p for r in W.percentile_rank(df, "v", "p", ["g"]).orderBy("i").collect()]
+    pdf = df.orderBy("i").toPandas()
+    assert got == pytest.approx(pdf.groupby(pdf.g.fillna("-"))["v"].rank(pct=True).tolist())
+
+
+def test_similar_in_blocks(spark, monkeypatch):
+    queries = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(9)], "doc long, q array<double>")
+    items = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(5)], "occ long, v array<double>")
+    want = {(d, o): float(d + o) for d in range(9) for o in range(5)}
+    for bound in (2000, 2):
+        monkeypatch.setattr(M, "QUERIES", bound)
+        assert {(r.doc, r.occ): r.score for r in M.similar(queries, items).collect()} == want
+
+
 def test_frequency_and_information(spark):
     rows = [("A", ["sql", "git"]), ("B", ["sql"]), ("C", ["sql", "git", "go"]), ("D", None)]
     listed = spark.createDataFrame([("f", p, s) for p, ss in rows for s in ss or []], "grp string, posting string, skill string")
