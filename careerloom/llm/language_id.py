@@ -26,8 +26,8 @@ ORDER = 4
 DISCOUNT = 0.75
 #: Characters taken as equally likely where nothing is known of a character.
 ALPHABET = 500
-#: Text bytes scored at once: each takes about a hundred bytes of memory.
-SLICE = 1 << 20
+#: Text bytes scored at once: each takes about two hundred bytes of memory.
+SLICE = 1 << 18
 UNKNOWN = "und"
 _lut: list[np.ndarray] = []
 
@@ -73,25 +73,45 @@ def mixed(h: np.ndarray, c: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+#: Characters of the sample that are counted at once.
+COUNTED = 200_000
+
+
 def train(texts: list[str]) -> dict:
     """Counts of one language: per order the distinct n-grams (rows of code points) and their counts."""
+    rows, counts, part, size = np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64), [], 0
+    for k, t in enumerate(texts):
+        part.append(t)
+        size += len(t)
+        if size >= COUNTED or k == len(texts) - 1:
+            more = _counted(part)
+            rows, counts = _summed(np.concatenate([rows, more[0]]), np.concatenate([counts, more[1]]))
+            part, size = [], 0
+    grams = {}
+    for order in range(ORDER, 0, -1):
+        grams[order] = (rows, counts.astype(np.float64))
+        # lower orders count the distinct characters that stand before, as Kneser and Ney do
+        rows, counts = np.unique(rows[:, 1:], axis=0, return_counts=True)
+    return grams
+
+
+def _summed(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, at = np.unique(rows, axis=0, return_inverse=True)
+    return distinct, np.bincount(at.ravel(), counts, len(distinct)).astype(np.int64)
+
+
+def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of the highest order and their counts."""
     points, start = characters(texts)
     inside = np.ones(len(points), bool)
     inside[start] = False  # a document's first space predicts nothing of the document before
-    grams = {}
     padded = np.concatenate([np.full(ORDER - 1, 32, np.uint32), points])
-    windows = np.lib.stride_tricks.sliding_window_view(padded, ORDER)[inside]
+    windows = np.lib.stride_tricks.sliding_window_view(padded, ORDER)[inside].copy()
     # positions near a document's start would look into the document before: their context is spaces
     age = (np.arange(len(points)) - np.repeat(start, np.diff(np.append(start, len(points)))))[inside]
-    windows = windows.copy()
     for k in range(ORDER - 1):
         windows[age < ORDER - 1 - k, k] = 32
-    rows, counts = np.unique(windows, axis=0, return_counts=True)
-    for order in range(ORDER, 0, -1):
-        grams[order] = (rows, counts.astype(np.float64))
-        # lower orders count the distinct characters that stand before, as Kneser and Ney do
-        rows, counts = np.unique(rows[:, 1:], axis=0, return_counts=True)
-    return grams
+    return np.unique(windows, axis=0, return_counts=True)
 
 
 def _hash_rows(rows: np.ndarray) -> np.ndarray:

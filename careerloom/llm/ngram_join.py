@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import components, ids, slices, strings, written
 
 #: Text bytes hashed at once: each takes about eighty bytes of memory.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Cells of the counting sketch; it is 4 MB at any size of the corpus.
 CELLS = 1 << 20
 #: The sketch travels in so many parts.

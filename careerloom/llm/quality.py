@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from .common import filtered, ids, slices, strings
 BITS = 18
 SCALE = 12.0
 #: Text bytes hashed at once: each takes about a hundred bytes of memory.
-SLICE = 1 << 20
+SLICE = 1 << 19
 REPEAT = np.uint64(0x5EED)
 _base = np.uint64(0x9E3779B97F4A7C15)
 _tables: dict[str, np.ndarray] = {}
@@ -128,8 +129,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> np.ndarray
                 share.append(SCALE * c / max(1, c.sum()))
             yield pa.RecordBatch.from_arrays([ids(batch), ids(batch, "quality"), pa.array(at, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float64()))], ["doc_id", "quality", "at", "share"])
 
-    got = picked.mapInArrow(run, "doc_id long, quality int, at array<int>, share array<double>").toArrow()
-    rows = [(np.array(a, np.int64), np.array(x), q) for _, q, a, x in sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "quality", "at", "share")), strict=True), key=lambda r: (hash((r[0], 8)), r[0]))]
+    got = picked.mapInArrow(run, "doc_id long, quality int, at array<int>, share array<double>").toArrow().combine_chunks()
+    at, share = (got.column(c).combine_chunks() if isinstance(got.column(c), pa.ChunkedArray) else got.column(c) for c in ("at", "share"))
+    bound = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(at)))]).astype(np.int64)
+    slots, shares = np.asarray(at.flatten(), dtype=np.int64), np.asarray(share.flatten())
+    ids_, labels_ = got.column("doc_id").to_pylist(), got.column("quality").to_pylist()
+    order = sorted(range(len(ids_)), key=lambda k: (hash((ids_[k], 8)), ids_[k]))
+    rows = [(slots[bound[k] : bound[k + 1]], shares[bound[k] : bound[k + 1]], labels_[k]) for k in order]
     return ftrl(rows)
 
 

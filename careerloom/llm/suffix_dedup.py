@@ -43,7 +43,7 @@ FINER = (80, 8)
 #: Bytes of spans that go into one suffix array, unless one name has more.
 SORTED_BYTES = 1 << 18
 #: Text bytes hashed at once: each takes about eighty bytes of memory.
-SLICE = 1 << 20
+SLICE = 1 << 19
 _base = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[str, np.ndarray] = {}
 
