@@ -39,6 +39,9 @@ _HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|sidebars?|side-?bar|menus?|nav|navbar|navigation|breadcrumbs?|footers?|site-?header|page-?header|masthead|topbar|cookies?|consent|notices?|alerts?|popups?|modal|overlay|subscribe|subscription|newsletter|signup|login|related|recommended|share|sharing|social|widgets?|pagination|pager|skip|copyright|legal|disclaimer|complementary|contentinfo|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: An article of its own that is an advert or a teaser.
+_TEASER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsored|promo|related|recommended|teaser)(?:$|[\s_-])", re.IGNORECASE)
+_HEADER = re.compile(r"(?:^|\s)header(?:\s|$)", re.IGNORECASE)
 _COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|comment\w+|disqus\w*|replies|reply|respond|responses)(?:$|[\s_-])", re.IGNORECASE)
 
 
@@ -88,8 +91,9 @@ class _Page(HTMLParser):
             whole = tag in ("html", "body", "article", "main")
             hidden = "hidden" in said or said.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", said.get("style") or ""))
             inside = self._within(up, ("article", "main"))
-            boiler = tag in BOILER or hidden or (tag == "header" and not inside) or bool(not whole and words and _HINT.search(words))
-            if tag in ("article", "main") and not talk:
+            boiler = tag in BOILER or hidden or (not inside and (tag == "header" or bool(words and not whole and _HEADER.search(words))))
+            boiler |= bool(words and (_TEASER if tag == "article" else _HINT).search(words) and (tag == "article" or not whole))
+            if tag in ("article", "main") and not talk and not boiler:
                 self._free(up)
             self.parent.append(up)
             self.name.append(tag)

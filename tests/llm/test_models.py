@@ -26,6 +26,8 @@ def test_main_text():
     assert html_text.main_text("") == "" and html_text.main_text("<nav>a</nav>") == ""
     body = "<div class=menu>" + "<a href=x>m</a> " * 9 + "</div><div id=content>" + "<p>A paragraph of plain words here.</p>" * 5 + "<p>End.</p></div><div class=footer>f</div>"
     assert html_text.main_text(body).split("\n") == ["A paragraph of plain words here."] * 5 + ["End."]
+    around = '<div class="header">Site name</div><article class="ad"><p>Buy this very fine thing today, it is cheap.</p></article><form><article><header><h1>T</h1></header>' + "<p>A paragraph of plain words here.</p>" * 3 + "</article></form>"
+    assert html_text.main_text(around).split("\n") == ["T"] + ["A paragraph of plain words here."] * 3
     assert html_text.main_text("just text, no tags") == "just text, no tags"
 
 
