@@ -14,6 +14,10 @@ from careerloom.llm.suffix_dedup import suffix_dedup
 from careerloom.session import ship
 
 
+#: Bytes of a repeated passage: fewer than fifty words have in the languages at hand, more than a line of boilerplate.
+PASSAGE = 250
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the labels, does not reject."""
     ship(spark)
@@ -35,9 +39,9 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the 400-byte strings that stand at two places."""
+    """All documents, without the strings of ``PASSAGE`` bytes that stand at two places."""
     ship(spark)
-    cut = suffix_dedup(docs, length=400, keep=True)
+    cut = suffix_dedup(docs, length=PASSAGE, anchor=PASSAGE * 2 // 5, keep=True)
     return cut.select(*[F.col("kept_text").alias("text") if c == "text" else F.char_length("kept_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
