@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filtered, ids, slices, strings
+from .common import filtered, ids, pieces, slices, strings
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -28,6 +28,8 @@ DISCOUNT = 0.75
 ALPHABET = 500
 #: Text bytes scored at once: each takes about two hundred bytes of memory.
 SLICE = 1 << 18
+#: Characters of one text that are scored at once.
+PIECE = 1 << 19
 UNKNOWN = "und"
 _lut: list[np.ndarray] = []
 
@@ -173,7 +175,21 @@ class Models:
         return out
 
     def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy in nats a character by language, and the characters scored, of each text."""
+        """Cross-entropy in nats a character by language, and the characters scored, of each text.
+
+        Texts of over ``PIECE`` characters are scored part by part; a part knows nothing of the one before.
+        """
+        if all(len(t) <= PIECE for t in texts):
+            return self._entropy(texts)
+        ce, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        for k, t in enumerate(texts):
+            for part in pieces(t, PIECE):
+                c, m = self._entropy([part])
+                ce[k] += c[0] * m[0]
+                n[k] += m[0]
+        return ce / np.maximum(n, 1)[:, None], n
+
+    def _entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         points, start = characters(texts)
         stop = np.append(start[1:], len(points))
         keys = [gram_keys(points, k) for k in range(1, ORDER + 1)] if len(texts) else []

@@ -68,12 +68,35 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
+    """Sorted distinct n-gram hashes of each text; those of a long one are found part by part."""
+    if all(len(t) <= 2 * SLICE for t in texts):
+        return _shingle_sets([t.encode() for t in texts], width)
+    out = []
+    for t in texts:
+        raw, at, found = t.encode(), 0, []
+        while len(raw) - at > 2 * SLICE:
+            cut = max(raw.rfind(b" ", at + SLICE, at + 2 * SLICE), raw.rfind(b"\n", at + SLICE, at + 2 * SLICE))
+            if cut < 0:
+                break  # one word
+            part = raw[at:cut]
+            if len(part.split(None, width)) > width:
+                found.append(_shingle_sets([part], width)[0])
+            # the next part begins with the words that its first n-grams share with this one
+            keep = part.rsplit(None, width - 1)
+            at = at + len(keep[0]) if len(keep) == width else at
+            if len(keep) < width:
+                break  # a few words fill the part
+        found.append(_shingle_sets([raw[at:]], width)[0])
+        out.append(np.unique(np.concatenate(found)))
+    return out
+
+
+def _shingle_sets(raw: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text.
 
     A-Z are lower-cased; words are what ASCII white space parts. A text of fewer words than
     ``width`` has its whole sequence as one n-gram; a text without words has none.
     """
-    raw = [t.encode() for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     space = _SPACE[data]
     inside = np.concatenate([[False], ~space])

@@ -18,13 +18,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filtered, ids, slices, strings
+from .common import filtered, ids, pieces, slices, strings
 
 BITS = 18
 SCALE = 12.0
 #: Text bytes hashed at once: each takes about a hundred bytes of memory.
 SLICE = 1 << 19
 REPEAT = np.uint64(0x5EED)
+#: Characters of one text that are read at once.
+PIECE = 1 << 20
 _base = np.uint64(0x9E3779B97F4A7C15)
 _tables: dict[str, np.ndarray] = {}
 
@@ -143,8 +145,15 @@ def scores(texts: list[str], weights: np.ndarray | None) -> np.ndarray:
     """The chance of label 1 of each text; 0.5 without a model."""
     if weights is None:
         return np.full(len(texts), 0.5)
-    slot, of = features(texts)
-    total, n = np.bincount(of, weights[slot], len(texts)), np.bincount(of, minlength=len(texts))
+    # long texts are read part by part; the pair of tokens at a cut is left out
+    parts = [(k, p) for k, t in enumerate(texts) for p in (pieces(t, PIECE) if len(t) > PIECE else [t])]
+    total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    groups = [parts] if len(parts) == len(texts) else [[p] for p in parts]
+    for group in groups:
+        slot, of = features([p for _, p in group])
+        own = np.array([k for k, _ in group], np.int64)
+        total += np.bincount(own[of], weights[slot], len(texts))
+        n += np.bincount(own[of], minlength=len(texts))
     return 1 / (1 + np.exp(-np.clip(weights[-1] + SCALE * total / np.maximum(n, 1), -35, 35)))
 
 

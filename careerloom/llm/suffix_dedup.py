@@ -44,6 +44,8 @@ FINER = (80, 8)
 SORTED_BYTES = 1 << 18
 #: Text bytes hashed at once: each takes about eighty bytes of memory.
 SLICE = 1 << 19
+#: Bytes of one text that are hashed at once.
+PIECE = 1 << 20
 _base = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[str, np.ndarray] = {}
 
@@ -200,16 +202,20 @@ def _named_spans(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
             raw = [t.encode() for t in strings(batch)]
-            joined = b"".join(raw)
-            ends = np.cumsum([len(r) for r in raw])
-            of, at, n, name, twice = spans(np.frombuffer(joined, np.uint8), ends, length, anchor)
-            content = np.fromiter((xxhash.xxh3_64_intdigest(joined[a : a + k]) for a, k in zip(at.tolist(), (n + length - 1).tolist(), strict=True)), np.uint64, len(at))
-            begins = ends - np.array([len(r) for r in raw], np.int64)
-            take = pa.array(of)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), ids(batch).take(take), ids(batch, "text_hash").take(take), pa.array((at - begins[of]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(twice)],
-                ["name", "content", "doc_id", "text_hash", "start", "n", "twice"],
-            )
+            # a long text is read part by part; parts share all but one byte of a window, so each window is in one part
+            parts = [(k, a, r[a : a + PIECE + length - 1]) for k, r in enumerate(raw) for a in range(0, max(1, len(r) - length + 1), PIECE)]
+            for group in [parts] if len(parts) == len(raw) else [[p] for p in parts]:
+                joined = b"".join(p[2] for p in group)
+                size = np.array([len(p[2]) for p in group], np.int64)
+                ends = np.cumsum(size)
+                of, at, n, name, twice = spans(np.frombuffer(joined, np.uint8), ends, length, anchor)
+                content = np.fromiter((xxhash.xxh3_64_intdigest(joined[a : a + k]) for a, k in zip(at.tolist(), (n + length - 1).tolist(), strict=True)), np.uint64, len(at))
+                start = at - (ends - size)[of] + np.array([p[1] for p in group], np.int64)[of]
+                take = pa.array(np.array([p[0] for p in group], np.int64)[of])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), ids(batch).take(take), ids(batch, "text_hash").take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(twice)],
+                    ["name", "content", "doc_id", "text_hash", "start", "n", "twice"],
+                )
 
     return docs.mapInArrow(run, "name long, content long, doc_id long, text_hash long, start int, n int, twice boolean")
 

@@ -107,8 +107,9 @@ def brute_repeats(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("group", "run"), [(256, 2048), (20, 300)])
-def test_suffix_dedup(spark, monkeypatch, group, run):
+@pytest.mark.parametrize(("group", "run", "piece"), [(256, 2048, 1 << 20), (20, 300, 700)])
+def test_suffix_dedup(spark, monkeypatch, group, run, piece):
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
     monkeypatch.setattr(suffix_dedup, "RUN", run)
     rng = random.Random(1)

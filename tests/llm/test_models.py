@@ -130,3 +130,21 @@ def test_pipeline(spark):
     assert all(r.n_chars == len(r.text) for r in kept.values())
     packed = corpus_pipeline.run(spark, SMALL).collect()
     assert {r.doc_id for r in packed} == set(kept)
+
+
+def test_long_texts_are_read_in_parts(spark, monkeypatch):
+    from careerloom.llm import ngram_join
+    from careerloom.llm.common import pieces
+
+    docs = table(spark, SMALL, "documents")
+    text = " ".join(r.text for r in docs.select("text").limit(30).collect())
+    assert "".join(pieces(text, 1000)) == text and "".join(pieces("x" * 5000, 1000)) == "x" * 5000
+    models = language_id.fit(docs)
+    weights = quality.fit(docs, table(spark, SMALL, "labels"))
+    whole = models.entropy([text, "a b"]), quality.scores([text, "a b"], weights), ngram_join.shingle_sets([text, "a b", "y" * 9000], 4)
+    monkeypatch.setattr(language_id, "PIECE", 5000)
+    monkeypatch.setattr(quality, "PIECE", 5000)
+    monkeypatch.setattr(ngram_join, "SLICE", 500)
+    parts = models.entropy([text, "a b"]), quality.scores([text, "a b"], weights), ngram_join.shingle_sets([text, "a b", "y" * 9000], 4)
+    assert np.allclose(whole[0][0], parts[0][0], atol=0.01) and np.allclose(whole[1], parts[1], atol=0.01)
+    assert all(np.array_equal(a, b) for a, b in zip(whole[2], parts[2], strict=True))
