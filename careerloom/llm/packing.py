@@ -12,9 +12,9 @@ the buckets before added on, so a length that many pieces share is not gathered
 from __future__ import annotations
 
 import bisect
-import itertools
 import json
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -62,7 +62,7 @@ class _Words:
         self.word = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.normal = self.tokenizer.normalizer.normalize_str
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept: dict[str, bytes] = {}
 
     def encode(self, chunk: str) -> list[int]:
         if chunk.isascii() and chunk.isalpha():
@@ -72,13 +72,14 @@ class _Words:
             out += self.word(w.encode() + self.END)
         return out
 
-    def lookup(self, chunks: list[str]) -> list[list[int]]:
+    def lookup(self, chunks: list[str]) -> list[bytes]:
+        """Native unsigned 32-bit ids of each chunk."""
         kept, encode = self.kept, self.encode
         out = []
         for c in chunks:
             got = kept.get(c)
             if got is None:
-                got = encode(c)
+                got = array("I", encode(c)).tobytes()
                 if len(kept) >= CACHE:
                     kept.clear()
                 kept[c] = got
@@ -117,8 +118,8 @@ def token_bytes(text: pa.Array, path: str) -> Iterator[bytes]:
     parts = pc.split_pattern(plain, " ")
     coded = parts.flatten().dictionary_encode()
     got = model.lookup(coded.dictionary.to_pylist())
-    size = np.fromiter(map(len, got), np.int64, len(got))
-    flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum())).astype("<u4")
+    size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+    flat = np.frombuffer(b"".join(got), np.uint32).astype("<u4")
     first = np.cumsum(size) - size
     index = np.asarray(coded.indices, dtype=np.int64)
     n = size[index]
