@@ -169,6 +169,27 @@ def test_near_vectors(spark, monkeypatch):
     assert near_vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def two_groups(rng, each, across):
+    """Vectors in two dense groups whose cosine is a little over the threshold for pairs across."""
+    a, b = np.zeros(64), np.zeros(64)
+    a[0], b[0], b[1] = 1, across, np.sqrt(1 - across**2)
+    out = []
+    for k in range(2 * each):
+        x = np.concatenate([np.zeros(2), rng.standard_normal(62)])
+        x = x / np.linalg.norm(x)
+        out.append((k, [float(c) for c in (a, b)[k // each] + 0.07 * x]))
+    return out
+
+
+def test_links_across_dense_groups(spark, monkeypatch):
+    rows = two_groups(np.random.default_rng(3), 150, 0.9576)
+    monkeypatch.setattr(near_vectors, "GROUP", 64)
+    want = brute_vectors(rows, 0.95)
+    assert {r[2] for r in want} == {0} and min(r[1] for r in want) > 150
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(map(tuple, near_vectors.near_vectors(df).collect()), key=str) == want
+
+
 @pytest.mark.parametrize("name", sorted(corpus_queries.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     df = corpus_queries.queries()[name](spark, SMALL)
