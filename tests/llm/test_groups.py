@@ -190,6 +190,28 @@ def test_links_across_dense_groups(spark, monkeypatch):
     assert sorted(map(tuple, near_vectors.near_vectors(df).collect()), key=str) == want
 
 
+def test_small_pairs_missed_beside_a_hot_group(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    c = rng.standard_normal(64)
+    rows = [(k, [float(x) for x in c + 0.05 * rng.standard_normal(64)]) for k in range(120)]
+    for k in range(60):
+        x = rng.standard_normal(64)
+        rows += [(1000 + 2 * k + m, [float(y) for y in x + m * 0.15 * rng.standard_normal(64)]) for m in range(2)]
+    hot = {k for k, _ in rows[:120]}
+    whole = near_vectors.descend
+
+    def only_hot(nodes, n, threshold, tables, before=None):
+        lists = whole(nodes, n, threshold, tables, before)
+        return lists.join(nodes.where(nodes.least.isin(*hot)).select(nodes.node.alias("a")), "a", "left_semi")
+
+    monkeypatch.setattr(near_vectors, "descend", only_hot)
+    monkeypatch.setattr(near_vectors, "STARTS", 1, raising=False)
+    want = brute_vectors(rows, 0.95)
+    assert len({r[2] for r in want}) < 80
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(map(tuple, near_vectors.near_vectors(df).collect()), key=str) == want
+
+
 @pytest.mark.parametrize("name", sorted(corpus_queries.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     df = corpus_queries.queries()[name](spark, SMALL)
