@@ -3,8 +3,8 @@
 The standard library's parser streams through a page once. A line is the text of one block;
 its ratio is its characters over the tags met in and around it. The ratios are smoothed along
 the page with a Gaussian, and lines whose smoothed ratio reaches a threshold form the content
-cluster. The innermost element that holds most of the cluster's text is the content region:
-all its blocks are kept, short ones too. Blocks within elements that by their name or their
+cluster. The innermost element that leaves out no line of the cluster and no heading, or the first article or
+main on the way to it, is the content region: all its blocks are kept, short ones too. Blocks within elements that by their name or their
 class, id or role are menus, page headers, footers, sidebars, notices, adverts, forms or
 reader comments count as zero and are never kept.
 """
@@ -25,8 +25,6 @@ from .common import ids, slices, strings
 SIGMA = 1.5
 #: Share of the mean smoothed ratio from which a line is in the content cluster.
 LEVEL = 0.5
-#: Share of the cluster's text that the content region holds.
-SHARE = 0.7
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -165,16 +163,14 @@ def main_text(html: str) -> str:
     ratios = smoothed(np.array([0.0 if barred[e] else len(t) / max(1, n) for t, n, e in page.lines]))
     kept = np.array([not barred[e] for _, _, e in page.lines])
     cluster = kept & (ratios >= LEVEL * ratios[kept].mean())
-    mass = [0] * len(page.name)
-    for (t, _, e), inside in zip(page.lines, cluster, strict=True):
-        if inside:
-            mass[e] += len(t)
-    total = sum(mass)
+    needed = [0] * len(page.name)
+    for (_, _, e), inside, is_open in zip(page.lines, cluster, kept, strict=True):
+        needed[e] += bool(inside or (is_open and page.name[e] in ("h1", "h2", "h3", "h4", "h5", "h6")))
     for k in range(len(page.name) - 1, 0, -1):
-        mass[page.parent[k]] += mass[k]
+        needed[page.parent[k]] += needed[k]
     region = 0
     for k in range(1, len(page.name)):  # the innermost is the last that its parent's region leads to
-        if mass[k] >= SHARE * total and page.parent[k] == region and page.name[k] not in ("li", "td", "th", "tr", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "ul", "ol", "table", "tbody"):
+        if needed[k] == needed[0] and page.parent[k] == region and page.name[region] not in ("article", "main") and page.name[k] not in ("li", "td", "th", "tr", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "ul", "ol", "table", "tbody"):
             region = k
     inside = [False] * len(page.name)
     inside[region] = True

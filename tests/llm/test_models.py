@@ -31,6 +31,12 @@ def test_main_text():
     assert html_text.main_text("just text, no tags") == "just text, no tags"
 
 
+def test_heading_and_lead_beside_a_long_part():
+    lead, long = "<h1>T</h1><p>A lead paragraph of plain words here.</p>", "<p>A paragraph of plain words here, longer than the lead.</p>" * 30
+    for page in (f"<article>{lead}<div>{long}</div></article>", f"<div><div>{lead}</div><section>{long}</section></div>"):
+        assert html_text.main_text(page).split("\n")[:2] == ["T", "A lead paragraph of plain words here."]
+
+
 def test_pages_with_nulls(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>" + "word " * 50_000 + "</p>", "y"), (1, "u", "", "z")], "page_id long, url string, html string, text string")
     got = sorted(html_text.html_text(df).collect(), key=lambda r: r.n_chars)
