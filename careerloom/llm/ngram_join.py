@@ -79,7 +79,7 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
             if cut < 0:
                 break  # one word
             part = raw[at:cut]
-            if len(part.split(None, width)) > width:
+            if len(part.split(None, width)) >= width:
                 found.append(_shingle_sets([part], width)[0])
             # the next part begins with the words that its first n-grams share with this one
             keep = part.rsplit(None, width - 1)

@@ -138,6 +138,15 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed} == set(kept)
 
 
+def test_part_of_exactly_width_words(monkeypatch):
+    from careerloom.llm import ngram_join
+
+    text = " ".join(c * 180 for c in "abcdefgh")
+    whole = ngram_join.shingle_sets([text], 4)
+    monkeypatch.setattr(ngram_join, "SLICE", 400)
+    assert np.array_equal(ngram_join.shingle_sets([text], 4)[0], whole[0]) and len(whole[0]) == 5
+
+
 def test_long_texts_are_read_in_parts(spark, monkeypatch):
     from careerloom.llm import ngram_join
     from careerloom.llm.common import pieces
