@@ -12,8 +12,8 @@ A document's set is its distinct word n-grams, as 64-bit hashes. Sets are joined
    which two bitmaps differ are at most the n-grams in which the sets differ. What passes is a tie.
 4. Ties form groups, and only grouped sets are fetched, each once (in large groups, once for
    each pair of blocks). Within a group the overlaps of one set with all others come from
-   index lists. A set close to one already answered derives its overlaps from those, by
-   the lists of the few n-grams in which the two differ; a set whose possible partners are all
+   index lists. A set derives its overlaps from those of the closest set already answered, by
+   the lists of the few n-grams in which the two differ, where that is less work; a set whose possible partners are all
    connected to it is skipped.
 5. Links form components. Only as many links as connect them leave a task.
 """
@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, ids, slices, strings, written
+from .common import components, dropped, ids, slices, strings, written
 
 #: Text bytes hashed at once: each takes about eighty bytes of memory.
 SLICE = 1 << 19
@@ -192,7 +192,7 @@ def bitmap(grams: np.ndarray, bits: int) -> bytes:
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """``doc_id, n, node, prefix, bits, more``: set size, class, the n-grams that a linked set's prefix must meet, and bitmaps."""
+    """``doc_id, text_hash, n, node, prefix, bits, more``: set size, class, the n-grams that a linked set's prefix must meet, and bitmaps."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,11 +206,11 @@ def _prefixes(docs: DataFrame, width: int, percent: int, common: np.ndarray) ->
                 prefix.append(by[: len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0].view(np.int64))
             more = [bitmap(s, MORE_BITS) if len(s) > LARGE else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [ids(batch), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array([bitmap(s, BITS) for s in sets], pa.binary()), pa.array(more, pa.binary())],
-                ["doc_id", "n", "node", "prefix", "bits", "more"],
+                [ids(batch), ids(batch, "text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array([bitmap(s, BITS) for s in sets], pa.binary()), pa.array(more, pa.binary())],
+                ["doc_id", "text_hash", "n", "node", "prefix", "bits", "more"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, prefix array<long>, bits binary, more binary")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, n long, node long, prefix array<long>, bits binary, more binary")
 
 
 def _lists(classes: DataFrame, percent: int) -> DataFrame:
@@ -274,9 +274,8 @@ def _stars(pairs: np.ndarray) -> np.ndarray:
     return np.stack([nodes[label[tied]], nodes[tied]], axis=1)
 
 
-def _candidate_ties(classes: DataFrame, percent: int) -> DataFrame:
+def _candidate_ties(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """``a, b``: ties that connect all classes that may link."""
-    lists = written(_lists(classes, percent), "lists")
     sizes = lists.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > LIST)
     placed = lists.join(sizes, "token", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / (LIST // 2)), F.lit(1)).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(classes.select("node", "bits", "more"), "node")
@@ -398,7 +397,8 @@ def connect(sets: list[np.ndarray], nodes: np.ndarray, side: np.ndarray, percent
         at = np.repeat(bound[tokens] - (np.cumsum(n) - n), n) + np.arange(total)
         return np.bincount(lists[at], minlength=m)
 
-    answered: list[tuple[np.ndarray, np.ndarray]] = []  # codes and overlaps of a few sets that stand for many
+    held = np.zeros((m, m), np.int32)  # overlaps with all sets, of each set answered so far
+    answered: list[int] = []
     for x in range(m):
         near = slice(low[x], high[x])
         open_ = label[near] != label[x]
@@ -406,16 +406,15 @@ def connect(sets: list[np.ndarray], nodes: np.ndarray, side: np.ndarray, percent
             open_ &= side[near] != side[x]
         if not open_.any():
             continue  # its partners are all connected to it
-        overlap = None
-        for their, held in answered:
-            more, less = np.setdiff1d(codes[x], their, True), np.setdiff1d(their, codes[x], True)
-            if len(more) + len(less) <= len(codes[x]) // 2:
-                overlap = held + counts(more) - counts(less)
-                break
-        if overlap is None:
+        # in how many n-grams each answered set differs: the closest one's overlaps need the fewest lists
+        differ = size[answered] + size[x] - 2 * held[answered, x] if answered else np.zeros(0, np.int64)
+        if len(differ) and differ.min() <= size[x] // 2:
+            y = answered[int(differ.argmin())]
+            overlap = held[y] + counts(np.setdiff1d(codes[x], codes[y], True)) - counts(np.setdiff1d(codes[y], codes[x], True))
+        else:
             overlap = counts(codes[x])
-            if len(answered) < 4:
-                answered.append((codes[x], overlap))
+        held[x] = overlap
+        answered.append(x)
         o = overlap[near]
         linked = open_ & (100 * o >= percent * (size[near] + size[x] - o))
         for root in np.unique(label[near][linked]).tolist():
@@ -430,15 +429,16 @@ def _links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Dat
     sizes = members.groupBy("comp").agg(F.count("*").alias("size"))
     blocks = F.ceil(F.col("size") / (GROUP // 2)).cast("int")
     placed = members.join(sizes, "comp").withColumn("blocks", F.when(F.col("size") <= GROUP, 1).otherwise(blocks))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select(F.col("doc_id").alias("of_doc"), "node", "comp", "blocks", "block")
-    joined = docs.select("doc_id", "text").join(placed.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("of_doc"))).select("text", "node", "comp", "blocks", "block")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"), "node", "comp", "blocks", "block")
+    # a text stands for a class; the hash keeps null ids and repeated ids apart
+    joined = docs.join(placed, docs["doc_id"].eqNullSafe(F.col("of_doc")) & (docs["text_hash"] == F.col("of_text"))).select("text", "node", "comp", "blocks", "block")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
             rows = []
             for s, node, comp, blocks, block in zip(shingle_sets(strings(batch), width), *(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
                 if _node(s) != node:
-                    continue  # another text of a repeated id
+                    continue  # another text of the same hash
                 raw = s.tobytes()
                 for other in range(blocks):
                     if blocks == 1 or other != block:
@@ -472,6 +472,23 @@ def _links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Dat
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def _joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``doc_id, text_hash, n, node, comp``: each row's set size and class, and the class that names its component."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    found = written(_prefixes(docs, width, percent, _sketch(docs, width)), "prefixes")
+    classes = written(found.where("n > 0").select("node", "n", "prefix", "bits", "more").dropDuplicates(["node"]), "classes")
+    lists = written(_lists(classes, percent), "lists")
+    groups = components(_candidate_ties(lists, classes, percent), "ties")
+    dropped(lists, classes)
+    # of each class, one row stands for all: its text is fetched
+    one = found.where("n > 0").select("doc_id", "text_hash", "node").join(groups, "node").groupBy("node", "comp").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
+    members = written(one.select("node", "comp", "one.*"), "members")
+    links = components(_links(docs, members, width, percent), "links")
+    dropped(groups, members)
+    rows = found.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    return rows.join(links, "node", "left").select("doc_id", "text_hash", "n", "node", F.coalesce("comp", "node").alias("comp"))
+
+
 def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for ``docs(doc_id, text)``.
 
@@ -479,33 +496,29 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     a component is what links connect, named by its smallest id. Null texts and texts without
     words have no n-grams and link with nothing. Repeated rows each have a row; rows of one id
     with different texts are joined apart; null ids are kept and name no component if another
-    id is there. An empty table gives no rows. Further columns are not read. Texts are read whole.
+    id is there. An empty table gives no rows. Further columns are not read. Every n-gram of a
+    text counts; those of a long text are found part by part.
     """
-    docs = docs.select("doc_id", "text")
-    found = written(_prefixes(docs, width, percent, _sketch(docs, width)), "prefixes")
-    classes = written(found.where("n > 0").select("node", "n", "prefix", "bits", "more").dropDuplicates(["node"]), "classes")
-    ties = _candidate_ties(classes, percent)
-    groups = written(components(ties, "ties"), "groups")
-    members = written(found.where("n > 0").select("doc_id", "node").join(groups, "node").groupBy("node", "comp").agg(F.min("doc_id").alias("doc_id")), "members")
-    links = components(_links(docs, members, width, percent), "links")
-    named = found.where("n > 0").select("doc_id", "node").join(links, "node", "left").groupBy("node", F.coalesce("comp", "node").alias("comp")).agg(F.min("doc_id").alias("least"))
-    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_node = named.join(least, "comp").select("node", "component_id")
-    rows = found.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    with_words = rows.where("n > 0").join(of_node, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    rows = written(_joined(docs, width, percent), "joined")
+    # the least id of each class, then of each component: a common class is a partial aggregate
+    least = rows.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    with_words = rows.where("n > 0").join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     without = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return with_words.unionByName(without)
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, that of the smallest id, with all columns.
+    """One row of each component, with all columns as they are: that of the smallest id, a null id only where there is no other.
 
-    Of repeated rows (same id and text) one stays.
+    Of different texts of that id, and of null ids, the one of the least hash stays; of rows equal in id and text, any one.
+    Rows without words, null texts too, link with nothing and stay, but for repeated ones. An empty table gives no rows.
     """
-    joined = written(ngram_join(docs, width, percent).select("doc_id", "component_id"), "joined")
-    named = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("named_id")).distinct()
-    out = docs.join(named.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("named_id")), "left_semi")
-    if joined.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
-        same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-        out = out.withColumn("_row", F.row_number().over(same)).where("_row = 1").drop("_row")
-    return out
+    rows = written(_joined(docs, width, percent), "joined")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    best = rows.where("n > 0").groupBy("comp").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("of_doc"), F.col("x.text_hash").alias("of_text"))
+    best = best.unionByName(rows.where("n = 0").select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text")).distinct())
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_doc"), F.xxhash64("text").alias("own_text"))
+    out = whole.join(best, F.col("own_doc").eqNullSafe(F.col("of_doc")) & (F.col("own_text") == F.col("of_text")), "left_semi")
+    if rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
+        out = out.groupBy("own_doc", "own_text").agg(F.first("row").alias("row"))
+    return out.select("row.*")

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ids, slices, strings, written
 
@@ -46,6 +47,8 @@ SORTED_BYTES = 1 << 18
 SLICE = 1 << 19
 #: Bytes of one text that are hashed at once.
 PIECE = 1 << 20
+#: Low bits of a hash that give way to a place while the least is sought: places among so many bytes as are hashed at once.
+PLACE_BITS = np.uint64(22)
 _base = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[str, np.ndarray] = {}
 
@@ -94,7 +97,7 @@ def spans(data: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> tuple
         return nothing
     grams = gram_hashes(data, anchor)
     width = length - anchor + 1
-    bits = np.uint64(max(1, len(grams).bit_length()))
+    bits = PLACE_BITS
     high = (grams >> bits) << bits
     place = np.arange(len(grams), dtype=np.uint64)
     low = (np.uint64(1) << bits) - np.uint64(1)
@@ -227,7 +230,7 @@ def _fetched(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of ``wanted`` spans, cut from their documents."""
     lists = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("name", "start", "n")).alias("spans"))
     # repeated rows: one of them gives the bytes
-    joined = docs.join(lists.hint("shuffle_hash"), (docs["doc_id"].eqNullSafe(lists["doc_id"])) & (docs["text_hash"] == lists["text_hash"])).select(docs["doc_id"], docs["text_hash"], "text", "spans")
+    joined = docs.join(lists, (docs["doc_id"].eqNullSafe(lists["doc_id"])) & (docs["text_hash"] == lists["text_hash"])).select(docs["doc_id"], docs["text_hash"], "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
@@ -359,7 +362,8 @@ def repeat_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -
     windows = compared.where("window is not null")
     across = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").join(windows.where("not repeat"), "window").select("doc_id", "text_hash", "start", "stop")
     every = whole.unionByName(near).unionByName(across)
-    return every.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    # a set: repeated rows have the same ranges
+    return every.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
 
 
 def removed_ranges(ranges: list[dict], length: int) -> list[tuple[int, int]]:
@@ -377,16 +381,17 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, ke
     """Cuts every string of ``length`` bytes that starts at two places, from both.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for ``docs(doc_id, text)``; with
-    ``keep``, all of ``docs``'s columns, then ``n_removed`` and ``kept_text``: the bytes left, where a
+    ``keep``, all of ``docs``'s columns, the text being the bytes left, where a
     character that was cut in two is dropped. Null texts count as empty and stay null with
     ``keep``; texts shorter than ``length`` are never cut; repeated rows are copies of each
-    other; null ids are kept. Strings are judged on the input. Texts are read whole.
+    other; null ids are kept. Strings are judged on the input. Every byte is read; a long text is
+    hashed in parts that overlap, so that no string is lost between them.
     """
-    hashed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    others = [f for f in docs.schema.fields if f.name != "text"]
+    hashed = docs.select(F.struct(*[F.col(f"`{f.name}`") for f in others]).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     parts = repeat_ranges(hashed.select("doc_id", "text", "text_hash"), length, anchor)
-    parts = parts.select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"), "ranges").hint("shuffle_hash")
+    parts = parts.select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"), "ranges")
     joined = hashed.join(parts, hashed["doc_id"].eqNullSafe(parts["of_doc"]) & (hashed["text_hash"] == parts["of_text"]), "left")
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
@@ -403,11 +408,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, ke
                 else:
                     digest.append(hashlib.sha256(left).hexdigest())
             if keep:
-                yield pa.RecordBatch.from_arrays([*(ids(batch, c) for c in names), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], [*names, "n_removed", "kept_text"])
+                yield pa.RecordBatch.from_arrays([ids(batch, "row"), pa.array(texts, pa.string())], ["row", "text"])
             else:
                 yield pa.RecordBatch.from_arrays([ids(batch), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     if keep:
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_removed long, kept_text string"
-        return joined.select(*names, "ranges").mapInArrow(run, fields)
+        cut = joined.select("row", "text", "ranges").mapInArrow(run, T.StructType([T.StructField("row", T.StructType(others)), T.StructField("text", T.StringType())]))
+        return cut.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
     return joined.select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

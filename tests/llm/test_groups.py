@@ -87,9 +87,28 @@ def test_ngram_join(spark, monkeypatch, width, percent, group, short, listed):
     kept = ngram_join.keep_one(df, width, percent).collect()
     want = {c for _, n, c in brute_join(rows, width, percent)}
     assert {r.doc_id for r in kept} == want and kept[0].asDict().keys() == {"doc_id", "text", "node", "n"}
+    assert len(kept) == len(set(brute_kept(rows, width, percent)))
     assert ngram_join.ngram_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def brute_kept(rows, width, percent):
+    """Each component once, and each row without words, repeated ones once."""
+    named = brute_join([(k, t) for k, (_, t) in enumerate(rows)], width, percent)
+    return [(c,) if n else (c, *rows[i]) for i, n, c in named if n or rows[i] not in rows[:i]]
+
+
+def test_keep_one_of_odd_rows(spark):
+    a, b = " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(58))
+    rows = [(None, a), (None, b), (None, "x y z"), (7, "x y z"), (3, "p q r"), (3, "other text"), (4, "p q r"), (5, None), (5, None), (None, ""), (None, None)]
+    df = spark.createDataFrame([(*r, 1, 2, 3, "n") for r in rows], "doc_id long, text string, named_id int, _row int, text_hash int, own_doc string")
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted([(r.doc_id, r.text) for r in kept.collect()], key=str)
+    near = [r for r in got if r[1] in (a, b)]
+    assert len(near) == 1
+    assert [r for r in got if r not in near] == sorted([(7, "x y z"), (3, "p q r"), (3, "other text"), (5, None), (None, ""), (None, None)], key=str)
+
+
 def brute_repeats(rows, length):
     count = collections.Counter()
     for _, t in rows:
@@ -121,7 +140,10 @@ def test_suffix_dedup(spark, monkeypatch, group, run, piece):
     df = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, start int, content string").repartition(3)
     assert sorted(map(tuple, suffix_dedup.suffix_dedup(df).collect()), key=str) == brute_repeats(rows, 400)
     kept = suffix_dedup.suffix_dedup(df, keep=True)
-    assert kept.columns == [*df.columns, "n_removed", "kept_text"] and kept.where("kept_text is null").count() == 2
+    assert kept.columns == df.columns and kept.where("text is null").count() == 2
+    clash = df.selectExpr("doc_id", "text", "1 as ranges", "2 as text_hash", "3 as of_doc", "4 as n_removed", "5 as `row`", "array(6) as kept_text")
+    assert sorted(map(tuple, suffix_dedup.suffix_dedup(clash).collect()), key=str) == brute_repeats(rows, 400)
+    assert [tuple(r)[2:] for r in suffix_dedup.suffix_dedup(clash, keep=True).distinct().limit(3).collect()] == [(1, 2, 3, 4, 5, [6])] * 3
     assert suffix_dedup.suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
