@@ -42,7 +42,7 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """All documents, without the strings of ``PASSAGE`` bytes that stand at two places."""
     ship(spark)
     cut = suffix_dedup(docs, length=PASSAGE, anchor=PASSAGE * 2 // 5, keep=True)
-    return cut.select(*[F.col("kept_text").alias("text") if c == "text" else F.char_length("kept_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    return cut.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in cut.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
