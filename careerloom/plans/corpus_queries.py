@@ -28,7 +28,7 @@ _LISTED = """listed as (select o_orderpriority as grp, o_orderkey as posting, o_
 postings as (select o_orderpriority as grp, count(*) as n from orders group by 1),
 sets as (select distinct grp, posting, skill from listed),
 freq as (select grp, skill, df, n, ln(n / df::double) as idf from (select grp, skill, count(*) as df from sets group by 1, 2) join postings using (grp)),
-heldg as (select distinct o_custkey as cand, min(grp) over (partition by o_custkey) as grp, skill from listed where o_custkey % 10 = 1 and skill like '%brand%')"""
+heldg as (select distinct o_custkey as cand, min(grp) over (partition by o_custkey) as grp, skill from listed)"""
 
 
 def _parts(spark: SparkSession, sf_dir: str):
@@ -36,8 +36,8 @@ def _parts(spark: SparkSession, sf_dir: str):
     sets = listed.select("grp", "posting", "skill").distinct()
     postings = S.read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("grp")).agg(F.count("*").alias("n"))
     freq = C.document_frequency(sets, postings)
-    # candidates: customers, with the brands they ordered; their function is their first priority
-    rows = listed.where((F.col("o_custkey") % 10 == 1) & F.col("skill").contains("brand")).select(F.col("o_custkey").alias("cand"), "grp", "skill").distinct()
+    # candidates: customers, with the skills of what they ordered; their function is their first priority
+    rows = listed.select(F.col("o_custkey").alias("cand"), "grp", "skill").distinct()
     first = rows.groupBy("cand").agg(F.min("grp").alias("grp"))
     held = rows.select("cand", "skill").distinct().join(first, "cand").select("cand", "grp", "skill")
     return listed, sets, freq, held
@@ -119,10 +119,11 @@ def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOKENS = f"tok as (select doc_id as doc, token, count(*) as c from (select doc_id, unnest({WORDS.format(t='text')}) as token from documents) group by 1, 2)"
 
 
-@query(f"with {_TOKENS}, vocab as (select distinct token from tok where doc % 7 = 3) select distinct t.doc, t.token from tok t semi join vocab v on v.token = t.token where length(t.token) >= 3")
+@query(f"with {_TOKENS}, vocab as (select distinct unnest({WORDS.format(t='text')}) as token from benchmark) select distinct t.doc, t.token from tok t semi join vocab v on v.token = t.token where length(t.token) >= 3")
 def vocab_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of documents that the benchmark's vocabulary has."""
     tokens = _tokens(spark, sf_dir)
-    vocabulary = tokens.where(F.col("doc") % 7 == 3).select("token").distinct()
+    vocabulary = S.read(spark, sf_dir, "benchmark").select(F.explode(T.words(F.col("text"))).alias("token")).distinct()
     return tokens.where(F.char_length("token") >= 3).join(vocabulary, "token", "left_semi").select("doc", "token")
 
 
