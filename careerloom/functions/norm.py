@@ -198,6 +198,15 @@ def multilingual(c: Column) -> Column:
     return (list_size(c) >= 2).cast("double")
 
 
+# What shows more than one language in an answer.
+LANGUAGE_MARKS = ("and", "&", "/", ",", "french", "spanish", "creole", "fulani", "yoruba", "haitian", "portuguese", "mandarin", "arabic", "hindi")
+
+
+def language_marks(c: Column) -> Column:
+    """1 where an answer holds a mark of a second language, within a word too."""
+    return F.coalesce(_any(F.lower(c), LANGUAGE_MARKS), F.lit(False)).cast("double")
+
+
 def longest_of(a: Column, b: Column) -> Column:
     """The longer text, the first on a tie; null counts as shortest."""
     n = lambda x: F.coalesce(F.char_length(x), F.lit(-1))

@@ -97,3 +97,38 @@ def containment(a: Column, b: Column) -> Column:
     """Share of the distinct words of ``a`` that are in ``b``; 0 without words."""
     n = F.size(F.array_distinct(a))
     return F.when(n > 0, F.size(F.array_intersect(a, b)) / n).otherwise(F.lit(0.0))
+
+
+# Answers in place of a name.
+NO_NAMES = ("i forgot", "forgot", "don't remember", "not sure", "n/a", "na", "none", "idk", "unknown")
+
+
+def valid_name(c: Column) -> Column:
+    """Whether an answer can be a name: four characters at least, and none of the stock answers."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    return (F.char_length(t) >= 4) & ~F.lower(t).isin(*NO_NAMES)
+
+
+def holds_word(c: Column, words: list[str], negate: bool = False) -> Column:
+    """Whether a text holds one of the words in any case; null counts as a text without them."""
+    hit = F.coalesce(F.lower(c).rlike("|".join(words)), F.lit(False))
+    return ~hit if negate else hit
+
+
+# Capitalised words that are no names.
+NOT_NAMES = ("The", "This", "His", "Her", "Their", "AI", "An", "In", "For", "By", "And", "Of", "To", "A", "On", "Is", "With", "From", "That", "It")
+
+
+def shared_names(a: Column, b: Column) -> Column:
+    """What two texts both name: capitalised words of three characters or more, and other shared words of five or more, sorted, with commas between."""
+    names = lambda t: F.regexp_extract_all(t, F.lit(r"\b[A-Z][A-Za-z0-9_-]{2,}\b"), 0)
+    words = lambda t: F.filter(F.split(F.lower(t), r"\s+"), lambda w: F.char_length(w) > 4)
+    capital = F.array_except(F.array_intersect(names(a), names(b)), F.array(*[F.lit(w) for w in NOT_NAMES]))
+    lower = F.transform(F.array_intersect(words(a), words(b)), lambda w: F.btrim(w, F.lit(".,;:\"'")))
+    return F.array_join(F.array_sort(F.array_union(capital, lower)), ", ")
+
+
+def flag_labels(columns: list[str], sep: str = ", ") -> Column:
+    """The labels in brackets in the names of the columns that are set: ``Languages [French]`` gives ``French``."""
+    label = lambda c: c[c.rindex("[") + 1 : c.rindex("]")] if "[" in c else c
+    return F.array_join(F.filter(F.array(*[F.when(F.col(f"`{c}`"), F.lit(label(c))) for c in columns]), lambda x: x.isNotNull()), sep)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import slug
+
 
 def resolve_entities(people: DataFrame, records: DataFrame) -> DataFrame:
     """``person, record, tier`` by the first tier that finds a record.
@@ -18,10 +20,12 @@ def resolve_entities(people: DataFrame, records: DataFrame) -> DataFrame:
     normalised. The smallest record of a tier wins.
     """
     two = lambda c: F.when(F.size(F.split(c, " ")) >= 2, F.array_join(F.slice(F.split(c, " "), 1, 2), " "))
-    one = people.join(records.select("record", "name"), "name").select("person", "record", F.lit(1).alias("tier"))
+    # the smallest record of each name and mail is enough: no name meets all records that bear it
+    least = lambda key: records.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("record").alias("record"))
+    one = people.join(least("name"), "name").select("person", "record", F.lit(1).alias("tier"))
     unique = records.select("record", two(F.col("name")).alias("pair")).where("pair is not null").groupBy("pair").agg(F.min("record").alias("record"), F.count("*").alias("c")).where("c = 1")
     second = people.select("person", two(F.col("name")).alias("pair")).join(unique, "pair").select("person", "record", F.lit(2).alias("tier"))
-    third = people.join(records.select("record", "mail"), "mail").select("person", "record", F.lit(3).alias("tier"))
+    third = people.join(least("mail"), "mail").select("person", "record", F.lit(3).alias("tier"))
     best = one.union(second).union(third).groupBy("person").agg(F.min(F.struct("tier", "record")).alias("x"))
     return best.select("person", "x.record", "x.tier")
 
@@ -54,18 +58,49 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / n)
 
 
-def fuzzy_best(left: DataFrame, right: DataFrame, block: str, cutoff: float = 0.8) -> DataFrame:
-    """``l, r, ratio``: the most similar name within a block, at least the cutoff; the first by name on a tie.
+def _bigrams(c: Column) -> Column:
+    """(bigram, which of its kind) of a text; of one of up to three characters, its characters too."""
+    two = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
+    every = F.when(F.char_length(c) <= 3, F.concat(two, F.filter(F.split(c, ""), lambda x: x != ""))).otherwise(two)
+    return F.transform(every, lambda g, i: F.concat_ws("#", g, F.size(F.filter(F.slice(every, 1, i), lambda h: h == g)).cast("string")))
+
+
+def _candidates(left: DataFrame, right: DataFrame, cutoff: float, prefix) -> DataFrame:
+    """``l, r``: pairs of distinct names that share one of their rarest bigrams and may be alike by length.
+
+    ``prefix``: a name's length to how many of its rarest bigrams must meet. Rare ones first, so lists stay short.
+    """
+    names = left.select(F.col("l").alias("name"), F.lit(0).alias("side")).union(right.select(F.col("r"), F.lit(1))).where("name is not null").distinct()
+    grams = names.select("name", "side", F.explode(_bigrams(F.col("name"))).alias("gram"))
+    common = grams.groupBy("gram").agg(F.count("*").alias("c"))
+    ranked = grams.join(common, "gram").groupBy("name", "side").agg(F.array_sort(F.collect_set(F.struct("c", "gram"))).alias("g"))
+    sent = ranked.select("name", "side", F.explode(F.slice("g", 1, prefix(F.char_length("name")))).alias("g")).select("name", "side", F.col("g.gram").alias("gram"))
+    a, b = (sent.where(F.col("side") == k).select(F.col("name").alias(x), "gram") for k, x in ((0, "l"), (1, "r")))
+    n, m = F.char_length("l"), F.char_length("r")
+    return a.join(b, "gram").where(F.least(n, m) >= cutoff / (2 - cutoff) * F.greatest(n, m) - 1e-9).select("l", "r").distinct()
+
 
-    ``left(l, block)``, ``right(r, block)``; only names of one block meet.
+def fuzzy_best(left: DataFrame, right: DataFrame, cutoff: float = 0.8) -> DataFrame:
+    """``l, r, ratio``: the most similar name by edit distance, at least the cutoff; the first by name on a tie.
+
+    ``left(l)``, ``right(r)``. Names within the cutoff are at most d = n (1 - cutoff) / cutoff edits apart, an edit spoils
+    two bigrams, so one of the 2 d + 1 rarest bigrams of each is shared: no similar pair is lost, and no all-pairs join made.
     """
-    pairs = left.join(right, block).withColumn("ratio", levenshtein_ratio(F.col("l"), F.col("r"))).where(F.col("ratio") >= cutoff)
-    best = pairs.groupBy("l").agg(F.min(F.struct((-F.col("ratio")).alias("s"), "r")).alias("x"))
-    return best.select("l", "x.r", (-F.col("x.s")).alias("ratio"))
+    if cutoff < 0.75:
+        raise ValueError("below 0.75, similar names need not share a bigram")
+    d = lambda n: F.floor(n * ((1 - cutoff) / cutoff) + 1e-9)
+    pairs = _candidates(left, right, cutoff, lambda n: (2 * d(n) + 1).cast("int"))
+    best = pairs.withColumn("ratio", levenshtein_ratio(F.col("l"), F.col("r"))).where(F.col("ratio") >= cutoff)
+    return best.groupBy("l").agg(F.min(F.struct((-F.col("ratio")).alias("s"), "r")).alias("x")).select("l", "x.r", (-F.col("x.s")).alias("ratio"))
+
 
+def sequence_best(left: DataFrame, right: DataFrame, cutoff: float = 0.8) -> DataFrame:
+    """As ``fuzzy_best``, with the matching-blocks ratio 2 M / T, which no expression has: pairs go to Python in batches.
 
-def sequence_best(left: DataFrame, right: DataFrame, block: str, cutoff: float = 0.8) -> DataFrame:
-    """As ``fuzzy_best``, with the matching-blocks ratio, which no expression has: pairs go to Python in batches."""
+    Names of that ratio share 3 M - T - 1 bigrams at least, T / 5 - 1 at 0.8, or a character where both are tiny.
+    """
+    if cutoff < 0.8:
+        raise ValueError("below 0.8, similar names need not share a bigram")
 
     def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -77,9 +112,11 @@ def sequence_best(left: DataFrame, right: DataFrame, block: str, cutoff: float =
                 out.append(m.ratio() if m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff else 0.0)
             yield pd.DataFrame({"l": b["l"], "r": b["r"], "ratio": out})
 
-    pairs = left.join(right, block).select("l", "r").mapInPandas(ratios, "l string, r string, ratio double").where(F.col("ratio") >= cutoff)
-    best = pairs.groupBy("l").agg(F.min(F.struct((-F.col("ratio")).alias("s"), "r")).alias("x"))
-    return best.select("l", "x.r", (-F.col("x.s")).alias("ratio"))
+    # T is five thirds of a name's length at least; tiny names send all they have
+    shared = lambda n: F.greatest(F.lit(1), F.ceil(n * (1 / 3) - 1 - 1e-9))
+    pairs = _candidates(left, right, cutoff, lambda n: F.when(n <= 3, n * 2).otherwise(n - shared(n)).cast("int"))
+    best = pairs.mapInPandas(ratios, "l string, r string, ratio double").where(F.col("ratio") >= cutoff)
+    return best.groupBy("l").agg(F.min(F.struct((-F.col("ratio")).alias("s"), "r")).alias("x")).select("l", "x.r", (-F.col("x.s")).alias("ratio"))
 
 
 def same_day(sessions: DataFrame, days: DataFrame) -> DataFrame:
@@ -113,3 +150,62 @@ def merge_fields(survey: DataFrame, docs: DataFrame) -> DataFrame:
     how = F.when(F.col("d").isNull(), "survey").when(none, "filled").when((yes & falsy) | F.coalesce(larger, F.lit(False)), "override").otherwise("survey")
     out = a.join(b, ["entity", "field"], "full").withColumn("merged_from", how)
     return out.select("entity", "field", F.when(F.col("merged_from") == "survey", F.col("s")).otherwise(F.col("d")).alias("value"), "merged_from")
+
+
+def champion_mails(links: DataFrame, champions: DataFrame) -> DataFrame:
+    """``person, mail``: mails of a person's champions by name, that of the champion's first row, if it is a mail.
+
+    ``links(person, champion)``, ``champions(row, name, mail)``.
+    """
+    first = champions.groupBy(F.lower(F.trim("name")).alias("_key")).agg(F.min_by(F.lower(F.trim("mail")), "row").alias("mail")).where(F.col("mail").contains("@"))
+    return links.join(first, F.lower(F.trim("champion")) == F.col("_key")).select("person", "mail").distinct()
+
+
+def person_sessions(people: DataFrame, mails: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``person, session``: sessions that a person's champions filed; of people without champions' mails, their own.
+
+    ``people(person, mail)``, ``mails(person, mail)``, ``sessions(session, mail)``.
+    """
+    own = people.join(mails.select("person").distinct(), "person", "left_anti").select("person", F.lower(F.trim("mail")).alias("mail")).where("mail <> ''")
+    filed = sessions.select("session", F.lower(F.trim("mail")).alias("mail"))
+    return mails.select("person", "mail").union(own).join(filed, "mail").select("person", "session").distinct()
+
+
+def folder_match(people: DataFrame, folders: DataFrame, least: float = 0.4) -> DataFrame:
+    """``person, folder, score``: the folder that holds the largest share of a name's words, over ``least``; the first by name on a tie.
+
+    ``people(person, name)``, ``folders(folder)``. Words are parts of the slug. Only folders that share a word meet a name.
+    """
+    words = lambda c: F.array_distinct(F.split(slug(c), "_"))
+    a = people.select("person", words(F.col("name")).alias("w")).select("person", F.size("w").alias("n"), F.explode("w").alias("word"))
+    b = folders.select("folder", F.explode(words(F.col("folder"))).alias("word"))
+    shares = a.join(b, "word").groupBy("person", "n", "folder").agg(F.count("*").alias("c")).withColumn("score", F.col("c") / F.col("n")).where(F.col("score") > least)
+    return shares.groupBy("person").agg(F.min(F.struct((-F.col("score")).alias("s"), "folder")).alias("x")).select("person", "x.folder", (-F.col("x.s")).alias("score"))
+
+
+def merge_parts(people: DataFrame, key: str, *parts: DataFrame) -> DataFrame:
+    """All people with the columns of each part by key; missing parts are null."""
+    for p in parts:
+        people = people.join(p, key, "left")
+    return people
+
+
+def chosen(df: DataFrame, key: str, only: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """Rows whose key is in ``only`` and not in ``exclude``; either may be left out."""
+    if only is not None:
+        df = df.join(only.select(key).distinct(), key, "left_semi")
+    return df if exclude is None else df.join(exclude.select(key).distinct(), key, "left_anti")
+
+
+def back_reference(answers: DataFrame, openings: DataFrame, by: str) -> DataFrame:
+    """The opening that each answer names by its place from 1: ``by, label, fit, opening``; places out of reach are dropped.
+
+    ``answers(by, place, label, fit)``, ``openings(by, items)``.
+    """
+    item = F.try_element_at("items", F.col("place").cast("int"))
+    return answers.where(F.col("place") >= 1).join(openings, by).select(by, "label", "fit", item.alias("opening")).where("opening is not null")
+
+
+def first_by(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key, in an order that leaves no ties."""
+    return df.groupBy(*key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("x")).select("x.*")

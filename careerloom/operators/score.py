@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import norm as N
+from .windows import numbered
 
 
 def _sum(terms: list[tuple[float, Column]]) -> Column:
@@ -87,20 +88,37 @@ def career_ready(c, variant: str = "agent", most_sessions: Column | None = None)
     return {"c1": c1, "c2": c2, "c3": c3, "c4": c4, "score": N.half_even((c1 + c2 + c3 + c4) / 4, 2)}
 
 
-def communicator(c) -> dict[str, Column]:
-    """Text items from 1 to 5: five times the text score, 1 at least."""
-    text = lambda x: F.greatest(F.lit(1.0), N.substance(c(x)) * 5)
-    n15 = lambda x: (x - 1) / 4
-    n17 = lambda x: N.scale(c(x), 1, 7)
-    eng = N.english(c("english")).cast("double")
-    v = _sum([(10, n15(eng)), (10, N.scale(c("rating"), 1, 10)), (5, n17("community")), (5, n15(text("suggestion")))])
-    w = _sum([(15, n15((text("suggestion") + text("touch") + text("careers")) / 3)), (5, n15(text("skills")))])
-    conflict = F.coalesce((N.number(c("conflict")) > 3).cast("double"), F.lit(0.0))
-    i = _sum([(10, n17("listen")), (10, n17("conflict")), (5, conflict)])
-    x = _sum([(10, n17("include")), (5, N.yes_no(c("diverse"), "communicator")), (3, N.multilingual(c("languages"))), (2, n15(eng))])
+def communicator(c, variant: str = "agent") -> dict[str, Column]:
+    """Text items from 1 to 5: ``agent`` takes five times the text score, 1 at least; ``batch`` shares of the span."""
+    eng = N.english(c("english"), within=variant == "batch").cast("double")
+    if variant == "agent":
+        text = lambda x: F.greatest(F.lit(1.0), N.substance(c(x)) * 5)
+        n15 = lambda x: (x - 1) / 4
+        n17 = lambda x: N.scale(c(x), 1, 7)
+        rating, suggestion = N.scale(c("rating"), 1, 10), n15(text("suggestion"))
+        written, skills = n15((text("suggestion") + text("touch") + text("careers")) / 3), n15(text("skills"))
+        languages, calm = N.multilingual(c("languages")), F.coalesce(N.number(c("conflict")), F.lit(0.0))
+    else:
+        n15 = lambda x: (x - 1) / 4
+        n17 = lambda x: N.scale(c(x), 1, 7, "midpoint")
+        rating = N.scale(c("rating"), 1, 10, "midpoint")
+        # one mean of the three texts serves as quality and as depth
+        suggestion = written = (N.substance(c("suggestion")) + N.substance(c("touch")) + N.substance(c("careers"))) / 3
+        skills, languages, calm = N.substance(c("skills")), N.language_marks(c("languages")), F.coalesce(N.number(c("conflict")), F.lit(4.0))
+    v = _sum([(10, n15(eng)), (10, rating), (5, n17("community")), (5, suggestion)])
+    w = _sum([(15, written), (5, skills)])
+    i = _sum([(10, n17("listen")), (10, n17("conflict")), (5, (calm > 3).cast("double"))])
+    x = _sum([(10, n17("include")), (5, N.yes_no(c("diverse"), "communicator")), (3, languages), (2, n15(eng))])
     return {"verbal": v, "written": w, "interpersonal": i, "cultural": x, "score": N.half_even(F.least(F.lit(100.0), F.greatest(F.lit(0.0), v + w + i + x)), 2)}
 
 
+def pillar_total(df: DataFrame, key: str, pillars: list[str]) -> DataFrame:
+    """``key, total, rank``: the mean of the pillars to two decimals, null and last where one is missing, best first."""
+    total = N.half_even(sum((F.col(p) for p in pillars[1:]), F.col(pillars[0])) / len(pillars), 2)
+    rows = df.select(key, total.alias("total")).withColumn("_down", F.coalesce(-F.col("total"), F.lit(1e18)))
+    return numbered(rows, "_down", "rank", key).drop("_down")
+
+
 def mean_of(parts: list[Column]) -> Column:
     """Mean of the parts that are there; null if none is."""
     have = sum((p.isNotNull().cast("int") for p in parts), F.lit(0))

@@ -63,3 +63,25 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def upper_median(values: Column) -> Column:
     """Element n // 2 of the sorted array, from 0."""
     return F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
+
+
+def numbered(df: DataFrame, key: str, out: str = "row", tie: str | None = None, parts: int = 64) -> DataFrame:
+    """Adds the row's number from 1 in the order of a numeric column, then of ``tie``; together they must be unique.
+
+    Rows are numbered within ranges of the key, cut at approximate quantiles, and the sizes of the ranges before are added on,
+    so no task gets the whole table. The cuts only steer the work.
+    """
+    cuts = df.select(F.percentile_approx(F.col(key), [k / parts for k in range(1, parts)], 10_000).alias("c")).first()["c"] or []
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(key))) if cuts else F.lit(0)
+    dealt = df.withColumn("_part", part)
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(key, *([tie] if tie else [])))
+    return dealt.withColumn("_at", at).join(before, "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def with_tail(top: DataFrame, rest: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """The top rows, and ``n`` of the other rows in the order of a seeded hash: ``top``'s columns and ``picked``."""
+    other = rest.join(top.select(key), key, "left_anti")
+    return top.withColumn("picked", F.lit("top")).unionByName(hash_sample(other, key, n, seed).withColumn("picked", F.lit("tail")), allowMissingColumns=True)

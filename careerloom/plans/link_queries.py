@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import link as L
+from ..operators import windows as W
 from ..sources import tables as S
 from .registry import query
 
-_NAME = "case when c_custkey % 4 = 0 then 'person ' || c_custkey % 97 || ' x' || c_custkey when c_custkey % 4 = 1 then 'ann lee ' || c_custkey else 'solo' || c_custkey end"
+_NAME = "case c_custkey % 4 when 0 then 'person ' || c_custkey % 97 || ' x' || c_custkey when 1 then 'ann lee ' || c_custkey when 2 then 'kim' || c_custkey || ' day' else 'solo' || c_custkey end"
+# what a record has in place of the name follows from the row's values: a suffix, or a nickname that matches nobody
+_RECORD = f"case when c_acctbal < 1000 then {_NAME} || ' jr' when c_mktsegment = 'BUILDING' then 'nick ' || c_nationkey || ' ' || c_custkey else {_NAME} end"
 
 
 @query(
-    f"""with p as (select c_custkey as person, {_NAME} as name, 'm' || c_custkey % 500 || '@x.org' as mail from customer where c_custkey % 3 = 0),
-    r as (select c_custkey as record, case when c_custkey % 5 = 0 then {_NAME} || ' jr' else {_NAME} end as name, 'm' || c_custkey % 700 || '@x.org' as mail from customer where c_custkey % 2 = 0),
+    f"""with p as (select c_custkey as person, {_NAME} as name, 'm' || c_custkey % 1500 || '@x.org' as mail from customer),
+    r as (select c_custkey as record, {_RECORD} as name, 'm' || c_custkey % 1300 || '@x.org' as mail from customer),
     two as (select record, array_to_string(string_split(name, ' ')[1:2], ' ') as pair from r where len(string_split(name, ' ')) >= 2),
     uniq as (select pair, min(record) as record from two group by 1 having count(*) = 1),
     hits as (select person, record, 1 as tier from p join r using (name) union all
@@ -24,11 +27,10 @@ _NAME = "case when c_custkey % 4 = 0 then 'person ' || c_custkey % 97 || ' x' ||
 )
 def entity_resolve_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    people = S.read(spark, sf_dir, "customer").select("c_custkey", F.expr(_NAME).alias("name"))
+    people = S.read(spark, sf_dir, "customer")
     mail = lambda m: F.concat(F.lit("m"), (k % m).cast("string"), F.lit("@x.org"))
-    left = people.where(k % 3 == 0).select(k.alias("person"), T.person_name(F.col("name")).alias("name"), T.email(mail(500)).alias("mail"))
-    name = F.when(k % 5 == 0, F.concat("name", F.lit(" jr"))).otherwise(F.col("name"))
-    right = people.where(k % 2 == 0).select(k.alias("record"), T.person_name(name).alias("name"), T.email(mail(700)).alias("mail"))
+    left = people.select(k.alias("person"), T.person_name(F.expr(_NAME)).alias("name"), T.email(mail(1500)).alias("mail"))
+    right = people.select(k.alias("record"), T.person_name(F.expr(_RECORD)).alias("name"), T.email(mail(1300)).alias("mail"))
     return L.resolve_entities(left, right)
 
 
@@ -50,29 +52,31 @@ def source_priority_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.priority_value(facts, registry)
 
 
-_LEFT = "select distinct c_custkey as l_key, lower(c_mktsegment) || c_custkey % 40 as l, substr(c_mktsegment, 1, 2) as block from customer where c_custkey % 7 = 0"
-_RIGHT = "select distinct lower(c_mktsegment) || 'x' || c_custkey % 30 as r, substr(c_mktsegment, 1, 2) as block from customer where c_custkey % 5 = 0"
+_LEFT = "select distinct lower(p_name || ' ' || p_type) || ' ' || p_size as l from part"
+_RIGHT = "select distinct replace(lower(p_name || ' ' || p_type), 'e', 'a') || '-' || p_size as r from part"
 
 
 def _names(spark: SparkSession, sf_dir: str):
-    people, seg, k = S.read(spark, sf_dir, "customer"), F.lower("c_mktsegment"), F.col("c_custkey")
-    block = F.substring("c_mktsegment", 1, 2).alias("block")
-    left = people.where(k % 7 == 0).select(F.concat(seg, (k % 40).cast("string")).alias("l"), block).distinct()
-    right = people.where(k % 5 == 0).select(F.concat(seg, F.lit("x"), (k % 30).cast("string")).alias("r"), block).distinct()
+    """Two spellings of the parts' names."""
+    part = S.read(spark, sf_dir, "part")
+    name = F.lower(F.concat("p_name", F.lit(" "), "p_type"))
+    left = part.select(F.concat(name, F.lit(" "), F.col("p_size").cast("string")).alias("l")).distinct()
+    right = part.select(F.concat(F.translate(name, "e", "a"), F.lit("-"), F.col("p_size").cast("string")).alias("r")).distinct()
     return left, right
 
 
 @query(
-    f"""with a as (select distinct l, block from ({_LEFT})), b as ({_RIGHT}), p as (select l, r, 1 - levenshtein(l, r) / greatest(length(l), length(r))::double as ratio from a join b using (block))
+    f"""with p as (select l, r, 1 - levenshtein(l, r) / greatest(length(l), length(r))::double as ratio from ({_LEFT}) a, ({_RIGHT}) b where abs(length(l) - length(r)) <= 0.2 * greatest(length(l), length(r)) + 1)
     select l, r, ratio from (select *, row_number() over (partition by l order by ratio desc, r) as k from p where ratio >= 0.8) where k = 1"""
 )
 def fuzzy_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.fuzzy_best(*_names(spark, sf_dir), "block")
+    return L.fuzzy_best(*_names(spark, sf_dir))
 
 
 @query()
 def fuzzy_sequence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.sequence_best(*_names(spark, sf_dir), "block")
+    """No SQL has the matching-blocks ratio; a test compares all pairs."""
+    return L.sequence_best(*_names(spark, sf_dir))
 
 
 _SOURCES = ("F", "1.0", "champion list"), ("O", "0.9", "intern list"), ("P", "0.9", "exit survey")
@@ -88,14 +92,14 @@ def link_union_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.union_links(*parts)
 
 
-_DAYS = "d as (select distinct user_id, cast(ts as date) as day from events where event_type = 'purchase' and user_id % 3 = 0), s as (select event_id, user_id, cast(ts as date) as day, event_type from events where event_type in ('view', 'click'))"
+_DAYS = "d as (select distinct user_id, cast(ts as date) as day from events where event_type = 'purchase' and value > 50), s as (select event_id, user_id, cast(ts as date) as day, event_type from events where event_type in ('view', 'click'))"
 
 
 @query(f"with {_DAYS}, m as (select s.*, d.day is not null as hit, count(d.day) over (partition by s.user_id) as hits from s left join d on d.user_id = s.user_id and d.day = s.day) select event_id, user_id, day from m where hit or hits = 0")
 def same_day_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = S.read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("person"), F.to_date("ts").alias("day"), "event_type")
-    days = events.where((F.col("event_type") == "purchase") & (F.col("person") % 3 == 0)).select("person", "day")
-    sessions = events.where(F.col("event_type").isin("view", "click"))
+    events = S.read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("person"), F.to_date("ts").alias("day"), "event_type", "value")
+    days = events.where((F.col("event_type") == "purchase") & (F.col("value") > 50)).select("person", "day")
+    sessions = events.where(F.col("event_type").isin("view", "click")).drop("value")
     return L.same_day(sessions, days).select("event_id", F.col("person").alias("user_id"), "day")
 
 
@@ -118,7 +122,7 @@ _DOCS = "case o_orderkey % 5 when 0 then '4' when 1 then 'True' when 2 then null
 
 
 @query(
-    f"""with s as (select o_custkey as entity, o_orderkey as field, {_PICK} as value from orders where o_orderkey % 3 > 0), d as (select o_custkey as entity, o_orderkey as field, {_DOCS} as value from orders where o_orderkey % 4 > 0),
+    f"""with s as (select o_custkey as entity, o_orderkey as field, {_PICK} as value from orders where o_orderstatus <> 'F'), d as (select o_custkey as entity, o_orderkey as field, {_DOCS} as value from orders where o_orderpriority <> '5-LOW'),
     j as (select coalesce(s.entity, d.entity) as entity, coalesce(s.field, d.field) as field, s.value as s, d.value as d from s full join d on s.entity = d.entity and s.field = d.field),
     h as (select *, case when d is null then 'survey' when s is null then 'filled' when (upper(trim(d)) in ('TRUE', 'YES') and lower(trim(s)) in ('', 'false', 'no', '0', '0.0', 'nan', 'none'))
       or coalesce(try_cast(trim(d) as double) > case when lower(trim(s)) in ('', 'false', 'no', '0', '0.0', 'nan', 'none') then 0.0 else try_cast(trim(s) as double) end, false) then 'override' else 'survey' end as merged_from from j)
@@ -127,8 +131,8 @@ _DOCS = "case o_orderkey % 5 when 0 then '4' when 1 then 'True' when 2 then null
 def field_merge_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, k = S.read(spark, sf_dir, "orders"), F.col("o_orderkey")
     base = [F.col("o_custkey").alias("entity"), k.alias("field")]
-    survey = orders.where(k % 3 > 0).select(*base, F.expr(_PICK).alias("value"))
-    docs = orders.where(k % 4 > 0).select(*base, F.expr(_DOCS).alias("value"))
+    survey = orders.where("o_orderstatus <> 'F'").select(*base, F.expr(_PICK).alias("value"))
+    docs = orders.where("o_orderpriority <> '5-LOW'").select(*base, F.expr(_DOCS).alias("value"))
     return L.merge_fields(survey, docs)
 
 
@@ -147,19 +151,111 @@ def set_intersect_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("conv_id", F.size(F.array_intersect("a", "b")).alias("shared"), F.size(F.array_except("a", "b")).alias("only_a"), F.size(F.array_union("a", "b")).alias("either"), T.containment(F.col("a"), F.col("b")).alias("containment"))
 
 
+_STOPS = ", ".join(f"'{w}'" for w in T.NOT_NAMES)
+_NAMES = r"list_distinct(regexp_extract_all({}, '\b[A-Z][A-Za-z0-9_-]{{2,}}\b'))"
+_LOW = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda w: length(w) > 4))"
+
+
 @query(
-    r"""with t as (select o_custkey, o_orderkey, 'Project' || o_custkey % 9 || ' The Alpha-' || o_custkey % 4 || ' and x' as ct, 'Alpha-' || o_orderkey % 4 || ' This Project' || o_orderkey % 9 as ci from orders),
-    x as (select o_orderkey, list_distinct(regexp_extract_all(ct, '[A-Z][A-Za-z0-9_-]{2,}')) as a, list_distinct(regexp_extract_all(ci, '[A-Z][A-Za-z0-9_-]{2,}')) as b from t)
-    select o_orderkey, array_to_string(list_sort(list_filter(list_intersect(a, b), lambda x: x not in ('The', 'This'))), ', ') as overlap from x"""
+    f"""with t as (select o_orderkey, 'Project' || o_custkey % 9 || ' The Alpha-' || o_custkey % 4 || ' and "model-' || o_custkey % 5 || '," x' as ct, 'Alpha-' || o_orderkey % 4 || ' This Project' || o_orderkey % 9 || ' with "model-' || o_orderkey % 5 || '," twice' as ci from orders),
+    x as (select o_orderkey, {_NAMES.format('ct')} as a, {_NAMES.format('ci')} as b, {_LOW.format('ct')} as c, {_LOW.format('ci')} as d from t)
+    select o_orderkey, array_to_string(list_sort(list_distinct(list_concat(list_filter(list_intersect(a, b), lambda w: w not in ({_STOPS})), list_transform(list_intersect(c, d), lambda w: trim(w, '.,;:"' || chr(39)))))), ', ') as overlap from x"""
 )
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, k = F.col("o_custkey"), F.col("o_orderkey")
     s = lambda x: x.cast("string")
-    ct = F.concat(F.lit("Project"), s(c % 9), F.lit(" The Alpha-"), s(c % 4), F.lit(" and x"))
-    ci = F.concat(F.lit("Alpha-"), s(k % 4), F.lit(" This Project"), s(k % 9))
-    names = lambda t: F.regexp_extract_all(t, F.lit("[A-Z][A-Za-z0-9_-]{2,}"), 0)
-    shared = F.array_except(F.array_intersect(names(ct), names(ci)), F.array(F.lit("The"), F.lit("This")))
-    return S.read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.array_sort(shared), ", ").alias("overlap"))
+    ct = F.concat(F.lit("Project"), s(c % 9), F.lit(" The Alpha-"), s(c % 4), F.lit(' and "model-'), s(c % 5), F.lit('," x'))
+    ci = F.concat(F.lit("Alpha-"), s(k % 4), F.lit(" This Project"), s(k % 9), F.lit(' with "model-'), s(k % 5), F.lit('," twice'))
+    return S.read(spark, sf_dir, "orders").select("o_orderkey", T.shared_names(ct, ci).alias("overlap"))
+
+
+_CHAMPIONS = "select s_suppkey as row, ' Champ ' || s_nationkey as name, case when s_acctbal < 0 then 'none' else ' C' || s_suppkey || '@X.org' end as mail from supplier"
+_LINKED = "select c_custkey as person, 'champ ' || c_nationkey as champion from customer where c_mktsegment in ('BUILDING', 'MACHINERY')"
+_CHAMPION_MAILS = f"""first as (select key, mail from (select lower(trim(name)) as key, lower(trim(mail)) as mail, row_number() over (partition by lower(trim(name)) order by row) as k from ({_CHAMPIONS})) where k = 1 and contains(mail, '@')),
+mails as (select distinct person, mail from ({_LINKED}) join first on key = lower(trim(champion)))"""
+
+
+def _champion_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    champions = S.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("row"), F.concat(F.lit(" Champ "), F.col("s_nationkey").cast("string")).alias("name"), F.when(F.col("s_acctbal") < 0, "none").otherwise(F.concat(F.lit(" C"), F.col("s_suppkey").cast("string"), F.lit("@X.org"))).alias("mail"))
+    linked = S.read(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select(F.col("c_custkey").alias("person"), F.concat(F.lit("champ "), F.col("c_nationkey").cast("string")).alias("champion"))
+    return L.champion_mails(linked, champions)
+
+
+@query(f"with {_CHAMPION_MAILS} select person, mail from mails")
+def champion_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _champion_mails(spark, sf_dir)
+
+
+@query(
+    f"""with {_CHAMPION_MAILS}, sessions as (select o_orderkey as session, case when o_orderstatus = 'F' then 'c' || o_orderkey % 200 || '@x.org' else 'P' || o_custkey || '@x.org ' end as mail from orders),
+    own as (select c_custkey as person, 'p' || c_custkey || '@x.org' as mail from customer where c_custkey not in (select person from mails))
+    select distinct person, session from (select * from mails union all select * from own) m join sessions s on lower(trim(s.mail)) = m.mail"""
+)
+def person_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = S.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person"), F.concat(F.lit("P"), F.col("c_custkey").cast("string"), F.lit("@x.org")).alias("mail"))
+    filed = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("c"), (F.col("o_orderkey") % 200).cast("string"), F.lit("@x.org"))).otherwise(F.concat(F.lit("P"), F.col("o_custkey").cast("string"), F.lit("@x.org ")))
+    return L.person_sessions(people, _champion_mails(spark, sf_dir), S.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session"), filed.alias("mail")))
+
+
+@query(
+    """with p as (select p_partkey as person, list_distinct(string_split(trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '_', 'g'), '_'), '_')) as w from part),
+    f as (select distinct p_type || ' ' || p_name as folder from part), g as (select folder, list_distinct(string_split(trim(regexp_replace(lower(folder), '[^a-z0-9]+', '_', 'g'), '_'), '_')) as w from f),
+    s as (select person, folder, len(list_intersect(p.w, g.w)) / len(p.w)::double as score from p, g)
+    select person, folder, score from (select *, row_number() over (partition by person order by score desc, folder) as k from s where score > 0.4) where k = 1"""
+)
+def folder_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = S.read(spark, sf_dir, "part")
+    people = part.select(F.col("p_partkey").alias("person"), F.concat_ws(" ", "p_name", "p_brand").alias("name"))
+    return L.folder_match(people, part.select(F.concat_ws(" ", "p_type", "p_name").alias("folder")).distinct())
+
+
+@query(
+    """select c_custkey, a.n as c1, b.n as c2, c.n as c3 from customer left join (select o_custkey as k, count(*) as n from orders where o_orderstatus = 'F' group by 1) a on a.k = c_custkey
+    left join (select o_custkey as k, count(*) as n from orders where o_orderstatus = 'P' group by 1) b on b.k = c_custkey left join (select o_custkey as k, count(*) as n from orders where o_orderpriority = '1-URGENT' group by 1) c on c.k = c_custkey"""
+)
+def component_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = S.read(spark, sf_dir, "orders")
+    part = lambda where, name: orders.where(where).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias(name))
+    return L.merge_parts(S.read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", part("o_orderstatus = 'F'", "c1"), part("o_orderstatus = 'P'", "c2"), part("o_orderpriority = '1-URGENT'", "c3"))
+
+
+@query(
+    r"""with survey as (select trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '_', 'g'), '_') as slug, c_acctbal as score from customer), docs as (select 'customer_' || lpad(cast(s_suppkey * 2 as varchar), 9, '0') as slug, s_name as document from supplier),
+    raw as (select 'customer_' || lpad(cast(s_suppkey * 3 as varchar), 9, '0') as slug, s_acctbal as field from supplier) select slug, score, document, field from survey left join docs using (slug) left join raw using (slug)"""
+)
+def profile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    survey = S.read(spark, sf_dir, "customer").select(T.slug(F.col("c_name")).alias("slug"), F.col("c_acctbal").alias("score"))
+    of = lambda n: F.concat(F.lit("customer_"), F.lpad((F.col("s_suppkey") * n).cast("string"), 9, "0")).alias("slug")
+    suppliers = S.read(spark, sf_dir, "supplier")
+    return L.merge_parts(survey, "slug", suppliers.select(of(2), F.col("s_name").alias("document")), suppliers.select(of(3), F.col("s_acctbal").alias("field")))
+
+
+@query(
+    """with o as (select o_custkey, list(o_orderkey order by o_orderkey)[1:5] as items from orders group by 1), a as (select o_custkey, o_orderkey % 8 - 1 as place, case when o_orderstatus = 'F' then 'ready' else 'target' end as label, o_orderkey % 101 as fit from orders)
+    select a.o_custkey, label, fit, items[place] as opening from a join o on o.o_custkey = a.o_custkey where place >= 1 and items[place] is not null"""
+)
+def job_back_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, k = S.read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    openings = orders.groupBy("o_custkey").agg(F.slice(F.array_sort(F.collect_list("o_orderkey")), 1, 5).alias("items"))
+    answers = orders.select("o_custkey", (k % 8 - 1).alias("place"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("target").alias("label"), (k % 101).alias("fit"))
+    return L.back_reference(answers, openings, "o_custkey")
+
+
+@query("select c_custkey, c_name from customer where c_nationkey in (select n_nationkey from nation where n_regionkey < 3) and c_nationkey not in (select s_nationkey from supplier where s_acctbal < 0)")
+def only_and_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    only = S.read(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("c_nationkey"))
+    exclude = S.read(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("c_nationkey"))
+    return L.chosen(S.read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), "c_nationkey", only, exclude).select("c_custkey", "c_name")
+
+
+@query("select o_orderkey, row_number() over (order by o_orderkey) as row from orders")
+def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.numbered(S.read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query("select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as k from orders) where k = 1")
+def first_rows_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.first_by(S.read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
 @query("select user_id, time_bucket(interval '1 day', ts) as day, count(*) as n, round(sum(value), 6) as total from events group by 1, 2")

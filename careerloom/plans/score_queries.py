@@ -168,6 +168,48 @@ def cr_score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.cohort_maximum(s, "sessions", "most").select("student", F.round(got["c1"], 6).alias("c1"), F.round(got["c2"], 6).alias("c2"), got["c3"].alias("c3"), got["c4"].alias("c4"), got["score"].alias("score"))
 
 
+def _ec_batch_sql() -> dict[str, str]:
+    sub = lambda x: Q.substance(_q(x))
+    n17 = lambda x: Q.scale(_q(x), 1, 7, "midpoint")
+    eng, written = f"({Q.english('f_english', True)}::double - 1) / 4", f"(({sub('suggestion')} + {sub('touch')} + {sub('careers')}) / 3)"
+    marks = " or ".join(f"contains(lower(f_languages), '{m}')" for m in N.LANGUAGE_MARKS)
+    return {
+        "verbal": Q.total([(10, eng), (10, Q.scale("f_rating", 1, 10, "midpoint")), (5, n17("community")), (5, written)]),
+        "written": Q.total([(15, written), (5, sub("skills"))]),
+        "interpersonal": Q.total([(10, n17("listen")), (10, n17("conflict")), (5, f"cast(coalesce({Q.number('f_conflict')}, 4.0) > 3 as double)")]),
+        "cultural": Q.total([(10, n17("include")), (5, Q.yes_no("f_diverse", "communicator")), (3, f"coalesce(cast(({marks}) as double), 0.0)"), (2, eng)]),
+    }
+
+
+@query(
+    f"{_with(_EC)}, p as (select student, {', '.join(f'{x} as {k}' for k, x in _ec_batch_sql().items())} from s) select student, {', '.join(f'round({k}, 6) as {k}' for k in _ec_batch_sql())}, "
+    f"{Q.half_even('least(100.0::double, greatest(0.0::double, verbal + written + interpersonal + cultural))', 2)} as score from p"
+)
+def ec_score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = P.communicator(_c, "batch")
+    return _survey(spark, sf_dir, _EC).select("student", *[F.round(got[k], 6).alias(k) for k in ("verbal", "written", "interpersonal", "cultural")], got["score"].alias("score"))
+
+
+@query(
+    f"""{_with(['languages', 'english'])} select student, coalesce(cast(({" or ".join(f"contains(lower(f_languages), '{m}')" for m in N.LANGUAGE_MARKS)}) as double), 0.0) as marks, {Q.english('f_english', True)} as english from s"""
+)
+def language_answers_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _survey(spark, sf_dir, ["languages", "english"]).select("student", N.language_marks(_c("languages")).alias("marks"), N.english(_c("english"), within=True).alias("english"))
+
+
+_SIX = "select o_orderkey as student, o_custkey % 101 * 1.0::double as ec, (o_orderkey % 97) * 1.0::double as gc, case when o_orderstatus <> 'P' then o_totalprice / 10000 end as ci, o_orderkey % 89 / 2.0::double as ct, o_custkey % 83 / 3.0::double as rff, 50.0::double as cr from orders"
+
+
+@query(f"with t as ({_SIX}), u as (select student, {Q.half_even('(ec + gc + ci + ct + rff + cr) / 6', 2)} as total from t) select student, total, row_number() over (order by total desc nulls last, student) as rank from u")
+def pillar_total_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    six = S.read(spark, sf_dir, "orders").select(
+        k.alias("student"), (c % 101).cast("double").alias("ec"), (k % 97).cast("double").alias("gc"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 10000).alias("ci"),
+        (k % 89 / 2.0).alias("ct"), (c % 83 / 3.0).alias("rff"), F.lit(50.0).alias("cr"),
+    )
+    return P.pillar_total(six, "student", ["ec", "gc", "ci", "ct", "rff", "cr"])
+
+
 def _ec_sql() -> dict[str, str]:
     text = lambda x: f"greatest(1.0::double, {Q.substance(_q(x))} * 5)"
     n15, n17 = (lambda x: f"(({x}) - 1) / 4"), (lambda x: Q.scale(_q(x), 1, 7))
@@ -280,10 +322,10 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("select c_custkey, list_filter(list_transform(string_split(c_name || ', ' || c_mktsegment || ', x, ' || c_mktsegment || ' two, and three', ','), lambda x: trim(x)), lambda x: length(x) > 1 and length(x) <= 40)[1:4] as chips, 'C' as initials from customer")
+@query("select c_custkey, list_filter(list_transform(string_split(c_name || ', ' || c_mktsegment || ', x, ' || c_mktsegment || ' two, and three', ','), lambda x: trim(x)), lambda x: length(x) > 1 and length(x) <= 40)[1:4] as chips, substr(c_mktsegment, 1, 1) || 'C' as initials from customer")
 def report_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat("c_name", F.lit(", "), "c_mktsegment", F.lit(", x, "), "c_mktsegment", F.lit(" two, and three"))
-    return S.read(spark, sf_dir, "customer").select("c_custkey", R.chips(text).alias("chips"), T.initials(F.col("c_name")).alias("initials"))
+    return S.read(spark, sf_dir, "customer").select("c_custkey", R.chips(text).alias("chips"), T.initials(F.concat_ws(" ", F.lower("c_mktsegment"), "c_name", F.lit("third"))).alias("initials"))
 
 
 @query()

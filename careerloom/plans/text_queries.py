@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import norm as N
 from ..functions import text as T
-from ..operators.match import first_rule
+from ..functions import titles
 from ..sources import tables as S
 from .registry import query
 
@@ -109,13 +109,56 @@ def ngrams_1_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.explode(T.ngrams(F.col("w"))).alias("g")).select("conv_id", "turn", "g.pos", "g.n", "g.gram")
 
 
-_TITLES = "case p_partkey % 6 when 0 then 'Software Developer' when 1 then 'Registered Nurse' when 2 then 'Sales Manager' when 3 then 'School Nurse Teacher' when 4 then 'Data ' || p_name else 'Forest Ranger' end"
-RULES = [(r"\bSoftware\b", "technology"), ("Developer", "technology"), (r"\bSales\b", "sales"), ("Teacher", "education"), ("Nurse", "healthcare"), (r"\bData\b", "technology")]
+_TITLES = (
+    "Software Developer", "Registered Nurse", "Sales Manager", "School Nurse Teacher", "Data Analyst", "Forest Ranger", "Civil Engineer", "Engineering Manager", "Engineers", "Cooking Instructor",
+    "Cook, Short Order", "Line Cook", "Hostler", "Host and Hostess", "software tester", "IT Support Clerk", "Tax Preparer", "Truck Driver", "Machine Operator", "Court Reporter", "Fitness Coach",
+    "Security Guard", "Child Care Worker", "Lab Technician", "Community Health Worker", "Astronaut",
+)
+_TITLE = f"case cast(p_partkey % {len(_TITLES)} as int) " + " ".join(f"when {k} then '{t}'" for k, t in enumerate(_TITLES)) + " end || case when p_size % 3 = 0 then ' (' || p_type || ')' else '' end"
+#: What RE2 has in place of the rules' look-aheads.
+_RE2 = {r"\bEngineer(?!$)": r"\bEngineer(?s:.)", r"\bCook(?!ing)": r"\bCook($|[^i]|i$|i[^n]|in$|in[^g])", r"\bHost(?!ler)": r"\bHost($|[^l]|l$|l[^e]|le$|le[^r])"}
 
 
-@query(f"select p_partkey, {_TITLES} as title, case " + " ".join(f"when regexp_matches({_TITLES}, '{p}') then '{f}'" for p, f in RULES) + " else 'unmapped' end as func from part")
+def _title_sql(rules) -> str:
+    cases = " ".join(f"when regexp_matches(title, '{_RE2.get(p, p)}') then '{f}'" for p, f in rules)
+    return f"select p_partkey, title, case {cases} else 'unmapped' end as func from (select p_partkey, {_TITLE} as title from part)"
+
+
+@query(_title_sql(titles.SIGNAL_RULES))
 def title_rules_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.read(spark, sf_dir, "part").select("p_partkey", F.expr(_TITLES).alias("title")).withColumn("func", first_rule(F.col("title"), RULES, "unmapped"))
+    return titles.titled(S.read(spark, sf_dir, "part").select("p_partkey", F.expr(_TITLE).alias("title")), "title")
+
+
+@query(_title_sql(titles.OCCUPATION_RULES))
+def occupation_title_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return titles.titled(S.read(spark, sf_dir, "part").select("p_partkey", F.expr(_TITLE).alias("title")), "title", rules=titles.OCCUPATION_RULES)
+
+
+_CATEGORY = "case cast(p_partkey % 26 as int) " + " ".join(f"when {k} then '{c}'" for k, c in enumerate([*titles.CATEGORIES, "OTHER"])) + " end"
+
+
+@query(f"with m(category, func) as (values {', '.join(str(kv) for kv in titles.CATEGORIES.items())}) select p_partkey, category, func from (select p_partkey, {_CATEGORY} as category from part) join m using (category)")
+def category_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.read(spark, sf_dir, "part").select("p_partkey", F.expr(_CATEGORY).alias("category"))
+    return rows.withColumn("func", titles.category_function(F.col("category"))).where("func is not null")
+
+
+_ANSWERED = "case c_custkey % 9 when 0 then null when 1 then 'I forgot' when 2 then '  idk ' when 3 then 'Ann' when 4 then ' Not Sure ' when 5 then '   ' when 6 then 'unknown' when 7 then 'Bo L' else c_name end"
+_NO_NAMES = ", ".join("'" + n.replace("'", "''") + "'" for n in T.NO_NAMES)
+
+
+@query(f"select c_custkey, name, length(trim(coalesce(name, ''))) >= 4 and lower(trim(name)) not in ({_NO_NAMES}) as ok from (select c_custkey, {_ANSWERED} as name from customer)")
+def valid_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.read(spark, sf_dir, "customer").select("c_custkey", F.expr(_ANSWERED).alias("name")).withColumn("ok", T.valid_name(F.col("name")))
+
+
+_ROLE = "case c_custkey % 5 when 0 then null when 1 then 'Mentee (Intern)' when 2 then 'Career INTERN ' || c_mktsegment when 3 then 'Mentor/CPC' else 'Champion' end"
+
+
+@query(f"select c_custkey, coalesce(regexp_matches(lower(role), 'intern'), false) as intern from (select c_custkey, {_ROLE} as role from customer) where not coalesce(regexp_matches(lower(role), 'mentee|furniture'), false)")
+def role_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = S.read(spark, sf_dir, "customer").select("c_custkey", F.expr(_ROLE).alias("role"))
+    return people.where(T.holds_word(F.col("role"), ["mentee", "furniture"], negate=True)).select("c_custkey", T.holds_word(F.col("role"), ["intern"]).alias("intern"))
 
 
 @query("select doc_id, cast(k as integer) as chunk, substr(text, k * 500 + 1, 500) as part from (select doc_id, text, unnest(range(greatest(cast(ceil(length(text) / 500.0) as bigint), 1))) as k from documents)")
@@ -124,22 +167,22 @@ def chunk_500(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select a.doc_id, case when coalesce(length(a.text), -1) >= coalesce(length(b.text), -1) then a.doc_id else b.doc_id end as longer
-    from documents a left join documents b on b.doc_id = a.doc_id + 1"""
+    """select doc_id, length(t) as n, md5(t) as digest from (select a.doc_id, case when coalesce(length(a.text), -1) >= coalesce(length(b.text), -1) then a.text else b.text end as t
+    from documents a left join documents b on b.doc_id = a.doc_id + 1)"""
 )
 def longest_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = S.read(spark, sf_dir, "documents").select("doc_id", F.char_length("text").alias("n"))
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("next"), F.col("n").alias("m"))
-    n = lambda c: F.coalesce(c, F.lit(-1))
-    return docs.join(after, "doc_id", "left").select("doc_id", F.when(n(F.col("n")) >= n(F.col("m")), F.col("doc_id")).otherwise(F.col("next")).alias("longer"))
+    docs = S.read(spark, sf_dir, "documents").select("doc_id", "text")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("after"))
+    return docs.join(after, "doc_id", "left").select("doc_id", N.longest_of(F.col("text"), F.col("after")).alias("t")).select("doc_id", F.char_length("t").cast("long").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
 @query(
     """select o_orderkey, array_to_string(list_filter([case when o_orderstatus = 'F' then 'final' end, case when o_totalprice > 200000 then 'large' end, case when o_orderpriority < '3' then 'urgent' end], lambda x: x is not null), ', ') as tags from orders"""
 )
 def unpivot_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = {"final": F.col("o_orderstatus") == "F", "large": F.col("o_totalprice") > 200000, "urgent": F.col("o_orderpriority") < "3"}
-    return S.read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.filter(F.array(*[F.when(v, k) for k, v in flags.items()]), lambda x: x.isNotNull()), ", ").alias("tags"))
+    """Labels from the names of the columns that are set, as a form exports its answers."""
+    flags = {"Marks [final]": F.col("o_orderstatus") == "F", "Marks [large]": F.col("o_totalprice") > 200000, "Marks [urgent]": F.col("o_orderpriority") < "3"}
+    return S.read(spark, sf_dir, "orders").select("o_orderkey", *[v.alias(k) for k, v in flags.items()]).select("o_orderkey", T.flag_labels(list(flags)).alias("tags"))
 
 
 @query("select event_id, user_id, cast(json_extract(props, '$.k') as bigint) as k from events")
