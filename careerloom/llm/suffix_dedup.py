@@ -119,6 +119,44 @@ def spans(data: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> tuple
     return of[at[first]], at[first], count, names[at[first]], twice | (count > width)
 
 
+#: Values of a suffix's first sorting key: nine bits each.
+KEY = 7
+
+
+def _first_keys(data: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The first ``KEY`` values of each suffix as one number; what lies behind its end counts as 0."""
+    n = len(data)
+    left = stop - np.arange(n)
+    out = np.zeros(n, np.int64)
+    for k in range(KEY):
+        value = np.zeros(n, np.int64)
+        value[: n - k] = data[k:]
+        value[left < k] = 0
+        out = (out << 9) | value
+    return out
+
+
+def _sorted_directly(at: np.ndarray, keys: np.ndarray, raw: bytes, stop: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes in the order of their first ``depth`` values: by their keys, and those of one key by their bytes."""
+    at = at[np.argsort(keys[at], kind="stable")]
+    own = keys[at]
+    begin = np.flatnonzero(np.diff(own, prepend=-1))
+    size = np.diff(np.append(begin, len(at)))
+    # a key that ends in 0 holds its whole suffix, so those of one key are equal
+    open_ = (size > 1) & (own[begin] & 511 > 0)
+    ends, out = np.minimum(stop[at], at + depth).tolist(), at.tolist()
+    for a, m in zip(begin[open_].tolist(), size[open_].tolist(), strict=True):
+        if m == 2:
+            i, j = out[a], out[a + 1]
+            if raw[i + KEY : ends[a]] > raw[j + KEY : ends[a + 1]]:
+                out[a], out[a + 1] = j, i
+        else:
+            part = out[a : a + m]
+            cut = [raw[i + KEY : j] for i, j in zip(part, ends[a : a + m], strict=True)]
+            out[a : a + m] = [part[k] for k in sorted(range(m), key=cut.__getitem__)]
+    return np.array(out, np.int64)
+
+
 def suffix_array(data: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
     """All suffixes in the order of their first ``depth`` values, by two-stage sorting.
 
@@ -127,7 +165,6 @@ def suffix_array(data: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(data)
     raw = (data - 1).astype(np.uint8).tobytes()
-    ends = stop.tolist()
     following = np.append(data[1:], 0)
     # a suffix is smaller than its successor if the next different value is greater
     change = np.flatnonzero(data != following)
@@ -135,7 +172,7 @@ def suffix_array(data: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
     smaller = following[upcoming] > data[upcoming]
     smaller[data == 0] = True
     direct = np.flatnonzero(smaller & (data > 0))
-    ordered = np.array(sorted(direct.tolist(), key=lambda i: raw[i : min(ends[i], i + depth)]), dtype=np.int64)
+    ordered = _sorted_directly(direct, _first_keys(data, stop), raw, stop, depth)
     rank = np.full(n, -1, np.int64)
     zeros = np.flatnonzero(data == 0)
     sizes = np.bincount(data, minlength=257)
@@ -184,18 +221,10 @@ def repeated(strings_: list[bytes], length: int) -> list[np.ndarray]:
 
 
 def shared_prefix(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Whether adjacent suffixes share ``length`` values: compared piece by piece while they do."""
-    alive = np.arange(max(0, len(order) - 1))
-    out = np.zeros(len(alive), bool)
-    step = 1
-    done = 0
-    while len(alive) and done < length:
-        step = min(step * 4, length - done, 64)
-        grid = np.arange(done, done + step)
-        same = (data[order[alive][:, None] + grid] == data[order[alive + 1][:, None] + grid]).all(axis=1)
-        alive, done = alive[same], done + step
-    out[alive] = True
-    return out
+    """Whether adjacent suffixes, all of ``length`` values at least, share so many."""
+    raw = (data - 1).astype(np.uint8).tobytes()
+    at = order.tolist()
+    return np.fromiter((raw[a : a + length] == raw[b : b + length] for a, b in zip(at, at[1:], strict=False)), bool, max(0, len(at) - 1))
 
 
 def _named_spans(docs: DataFrame, length: int, anchor: int) -> DataFrame:
