@@ -9,13 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch: what a Python worker, and the JVM beside its heap, hold of a task's rows at once.
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application.
+    """Sends this package to the executors, once for each application, and bounds Arrow batches by bytes.
 
     Python workers import functions by name; on a cluster they have no copy of the repository.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
