@@ -6,7 +6,7 @@ the page with a Gaussian, and lines whose smoothed ratio reaches a threshold for
 cluster. The innermost element that leaves out no line of the cluster and no heading, or the first article or
 main on the way to it, is the content region: all its blocks are kept, short ones too. Blocks within elements that by their name or their
 class, id or role are menus, page headers, footers, sidebars, notices, adverts, forms or
-reader comments count as zero and are never kept.
+reader comments count as zero and are never kept; nor is the text of inline elements that are hidden or named as adverts.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 #: Elements whose open tag ends these open ones.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|sidebars?|side-?bar|menus?|nav|navbar|navigation|breadcrumbs?|footers?|site-?header|page-?header|masthead|topbar|cookies?|consent|notices?|alerts?|popups?|modal|overlay|subscribe|subscription|newsletter|signup|login|related|recommended|share|sharing|social|widgets?|pagination|pager|skip|copyright|legal|disclaimer|complementary|contentinfo|search)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|sidebars?|side-?bar|menus?|nav|navbar|navigation|breadcrumbs?|footers?|site-?header|page-?header|masthead|topbar|cookies?|consent|notices?|alerts?|popups?|modal|overlay|subscribe|subscription|newsletter|signup|login|related|recommended|share|sharing|social|widgets?|pagination|pager|skip|complementary|contentinfo)(?:$|[\s_-])",
     re.IGNORECASE,
 )
 #: An article of its own that is an advert or a teaser.
@@ -43,16 +43,25 @@ _HEADER = re.compile(r"(?:^|\s)header(?:\s|$)", re.IGNORECASE)
 _COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|comment\w+|disqus\w*|replies|reply|respond|responses)(?:$|[\s_-])", re.IGNORECASE)
 
 
+#: Names that mark boilerplate around an article, but may name a part of one.
+_OUTER = re.compile(r"(?:^|[\s_-])(?:copyright|legal|disclaimer|search)(?:$|[\s_-])", re.IGNORECASE)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+
+
 class _Page(HTMLParser):
+    """Lines of a page and its tree of elements. Every step is amortised over the tags, however deep they nest."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int]] = []
-        # of each element: parent, name, whether boilerplate, whether reader comments
-        self.parent, self.name, self.boiler, self.comments = [-1], [""], [False], [False]
+        self.open: dict[str, int] = {}  # open elements by name
+        # of each element: parent, name, whether boilerplate, reader comments, within an article, its way up cleared
+        self.parent, self.name, self.boiler, self.comments, self.inside, self.freed = [-1], [""], [False], [False], [False], [True]
         self.lines: list[tuple[str, int, int]] = []  # text, tags, element
         self.text: list[str] = []
         self.tags = 0
         self.unseen = 0
+        self.inline: tuple[str, int, int] | None = None  # an open inline element that is not shown: name, its own kind in it, depth of the stack
 
     def flush(self) -> None:
         line = " ".join("".join(self.text).split())
@@ -61,6 +70,24 @@ class _Page(HTMLParser):
             self.lines.append((line, self.tags, self.stack[-1][1] if self.stack else 0))
             self.tags = 0
 
+    def _push(self, tag: str, element: int) -> None:
+        self.stack.append((tag, element))
+        self.open[tag] = self.open.get(tag, 0) + 1
+
+    def _pop(self) -> None:
+        tag, _ = self.stack.pop()
+        self.open[tag] -= 1
+        self.unseen -= tag in UNSEEN
+        if self.inline and len(self.stack) < self.inline[2]:
+            self.inline = None
+
+    @staticmethod
+    def _said(attrs: list[tuple[str, str | None]]) -> tuple[str, bool]:
+        """An element's class, id and role, and whether it is hidden."""
+        said = dict(attrs)
+        words = " ".join(filter(None, (said.get("class"), said.get("id"), said.get("role"))))
+        return words, "hidden" in said or said.get("aria-hidden") == "true" or bool(_NO_DISPLAY.search(said.get("style") or ""))
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in VOID:
@@ -71,49 +98,57 @@ class _Page(HTMLParser):
             return
         if tag in UNSEEN:
             self.unseen += 1
-            self.stack.append((tag, self.stack[-1][1] if self.stack else 0))
+            self._push(tag, self.stack[-1][1] if self.stack else 0)
             return
-        if tag == "body":
+        if tag == "body" and self.unseen:
             self._leave_unseen()
-        if tag in BLOCK:
-            self.flush()
-            for closed in CLOSES.get(tag, ()):
-                if self.stack and self.stack[-1][0] == closed:
-                    self.stack.pop()
-            if tag == "p":
-                return
-            up = self.stack[-1][1] if self.stack else 0
-            said = dict(attrs)
-            words = " ".join(filter(None, (said.get("class"), said.get("id"), said.get("role"))))
-            talk = bool(words and _COMMENTS.search(words))
-            whole = tag in ("html", "body", "article", "main")
-            hidden = "hidden" in said or said.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", said.get("style") or ""))
-            inside = self._within(up, ("article", "main"))
-            boiler = tag in BOILER or hidden or (not inside and (tag == "header" or bool(words and not whole and _HEADER.search(words))))
-            boiler |= bool(words and (_TEASER if tag == "article" else _HINT).search(words) and (tag == "article" or not whole))
-            if tag in ("article", "main") and not talk and not boiler:
-                self._free(up)
-            self.parent.append(up)
-            self.name.append(tag)
-            self.boiler.append(boiler)
-            self.comments.append(talk)
-            self.stack.append((tag, len(self.name) - 1))
+        if tag not in BLOCK:
+            if self.inline:
+                if self.inline[0] == tag:
+                    self.inline = tag, self.inline[1] + 1, self.inline[2]
+            elif attrs:
+                words, hidden = self._said(attrs)
+                if hidden or (words and _TEASER.search(words)):
+                    self.inline = tag, 1, len(self.stack)
+            return
+        self.flush()
+        if self.stack and self.stack[-1][0] == "p":
+            self._pop()
+        for closed in CLOSES.get(tag, ()):
+            if self.stack and self.stack[-1][0] == closed:
+                self._pop()
+        words, hidden = self._said(attrs) if attrs else ("", False)
+        talk = bool(words and _COMMENTS.search(words))
+        up = self.stack[-1][1] if self.stack else 0
+        inside = self.inside[up] or self.name[up] in ("article", "main")
+        whole = tag in ("html", "body", "article", "main")
+        boiler = tag in BOILER or hidden or (not inside and (tag == "header" or bool(words and not whole and _HEADER.search(words))))
+        if words and not boiler:
+            boiler = bool(_TEASER.search(words)) if tag == "article" else not whole and bool(_HINT.search(words) or (not inside and _OUTER.search(words)))
+        if tag == "p" and not boiler and not talk:
+            return  # its text is its parent's
+        if tag in ("article", "main") and not talk and not boiler:
+            self._free(up)
+        self.parent.append(up)
+        self.name.append(tag)
+        self.boiler.append(boiler)
+        self.comments.append(talk)
+        self.inside.append(inside)
+        self.freed.append(False)
+        self._push(tag, len(self.name) - 1)
 
     def _leave_unseen(self) -> None:
         """The body begins: a head, title or style that was left open ends."""
-        self.stack = [s for s in self.stack if s[0] not in UNSEEN]
-        self.unseen = 0
-
-    def _within(self, at: int, names: tuple[str, ...]) -> bool:
-        while at > 0:
-            if self.name[at] in names:
-                return True
-            at = self.parent[at]
-        return False
+        kept = [s for s in self.stack if s[0] not in UNSEEN]
+        while self.stack:
+            self._pop()
+        for s in kept:
+            self._push(*s)
 
     def _free(self, at: int) -> None:
         """An element around an article, as a form around a page or an advert left open, is no boilerplate."""
-        while at > 0:
+        while at > 0 and not self.freed[at]:
+            self.freed[at] = True
             if self.name[at] not in ("nav", "aside", "footer"):
                 self.boiler[at] = False
             at = self.parent[at]
@@ -127,15 +162,15 @@ class _Page(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.flush()
-        if tag in BLOCK or tag in UNSEEN:
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k][0] == tag:
-                    self.unseen -= sum(s[0] in UNSEEN for s in self.stack[k:])
-                    del self.stack[k:]
-                    break
+        elif self.inline and self.inline[0] == tag:
+            self.inline = (tag, self.inline[1] - 1, self.inline[2]) if self.inline[1] > 1 else None
+        if (tag in BLOCK or tag in UNSEEN) and self.open.get(tag):
+            while self.stack[-1][0] != tag:
+                self._pop()
+            self._pop()
 
     def handle_data(self, data: str) -> None:
-        if not self.unseen:
+        if not self.unseen and not self.inline:
             self.text.append(data)
 
 
@@ -183,8 +218,8 @@ def html_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for ``pages(page_id, url, html)``.
 
     A null or empty page, and a page with nothing but boilerplate, has an empty text. Repeated
-    rows and nulls in the other columns stay as they are; further columns are not read. Pages
-    are parsed whole; broken markup is read as far as the parser makes sense of it.
+    rows and nulls in the other columns stay as they are; further columns are not read; an empty table
+    gives no rows. Pages are parsed whole; broken markup is read as far as the parser makes sense of it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
