@@ -69,17 +69,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch if b - a == batch.num_rows else batch.take(pa.array(np.arange(a, b)))
 
 
-def pieces(text: str, size: int) -> list[str]:
-    """A long text in parts of about ``size`` characters, cut before white space where there is any."""
-    out, at = [], 0
-    while len(text) - at > size:
-        cut = max(text.rfind(" ", at + size // 2, at + size), text.rfind("\n", at + size // 2, at + size))
-        cut = cut if cut > at else at + size
-        out.append(text[at:cut])
-        at = cut
-    return [*out, text[at:]]
-
-
 def strings(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column as strings; null counts as empty."""
     col = batch.column(batch.schema.get_field_index(column))

@@ -6,7 +6,8 @@ are merged into one sorted hash array per order that holds, for every n-gram see
 language, its interpolated log probability in each language. So scoring a position is one
 binary search; only n-grams that no language has seen go down to shorter ones, by way of
 each language's weight of their context. A document gets the language of the lowest cross-entropy per character.
-A text whose cross-entropy lies far above what its language's own sample shows is rejected.
+A part of each language's sample is held back from training. The cross-entropies of its texts and of windows of
+them, by length, calibrate the rejection: a text that lies ``SPREADS`` spreads above the mean of its language and length is rejected.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filtered, ids, pieces, slices, strings
+from .common import filtered, ids, slices, strings
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -30,6 +31,8 @@ ALPHABET = 500
 SLICE = 1 << 18
 #: Characters of one text that are scored at once.
 PIECE = 1 << 19
+#: Log probabilities are summed in whole numbers of so many parts of a nat.
+UNIT = float(1 << 20)
 UNKNOWN = "und"
 _lut: list[np.ndarray] = []
 
@@ -124,10 +127,14 @@ def _hash_rows(rows: np.ndarray) -> np.ndarray:
 
 
 class Models:
-    """All languages' models merged: per order, sorted hashes and log probabilities by language."""
+    """All languages' models merged: per order, sorted hashes and log probabilities by language.
+
+    ``usual``: what cross-entropies text of each language has, by length.
+    """
 
     def __init__(self, langs: list[str], grams: list[dict]):
         self.langs = langs
+        self.usual: dict[str, list[tuple[float, float, float]]] = {}
         n = len(langs)
         self.keys, self.logp, self.context, self.weight = {}, {}, {}, {}
         self.base = np.full(n, -math.log(ALPHABET))
@@ -177,19 +184,29 @@ class Models:
     def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy in nats a character by language, and the characters scored, of each text.
 
-        Texts of over ``PIECE`` characters are scored part by part; a part knows nothing of the one before.
+        Texts of over ``PIECE`` characters are scored part by part, each part in the context of the one before. Log
+        probabilities are summed as whole numbers of ``1 / UNIT``, so parts and slices change no bit.
         """
-        if all(len(t) <= PIECE for t in texts):
-            return self._entropy(texts)
-        ce, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        total, n = np.zeros((len(texts), len(self.langs)), np.int64), np.zeros(len(texts), np.int64)
+        short = [k for k, t in enumerate(texts) if len(t) <= PIECE]
+        if short:
+            total[short], n[short] = self._sums([texts[k] for k in short])
         for k, t in enumerate(texts):
-            for part in pieces(t, PIECE):
-                c, m = self._entropy([part])
-                ce[k] += c[0] * m[0]
-                n[k] += m[0]
-        return ce / np.maximum(n, 1)[:, None], n
-
-    def _entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            if len(t) > PIECE:
+                before = np.full(ORDER - 1, 32, np.uint32)
+                for a in range(0, len(t), PIECE):
+                    points = _collapsed(letters()[_code_points((" " if not a else "") + t[a : a + PIECE] + (" " if a + PIECE >= len(t) else ""))], a > 0 and before[-1] == 32)
+                    every = np.concatenate([before, points])
+                    keys = [gram_keys(every, o) for o in range(1, ORDER + 1)]
+                    contexts = [np.zeros(len(every), np.uint64), *(np.concatenate([[np.uint64(0)], x[:-1]]) for x in keys[:-1])]
+                    first = ORDER - 1 + (a == 0)  # the space that begins a text is not scored
+                    score = self._score([x[first:] for x in keys], [x[first:] for x in contexts], ORDER)
+                    total[k] += _whole(score).sum(axis=0)
+                    n[k] += len(score)
+                    before = every[-(ORDER - 1) :]
+        return -(total / UNIT) / np.maximum(n, 1)[:, None], n
+
+    def _sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         points, start = characters(texts)
         stop = np.append(start[1:], len(points))
         keys = [gram_keys(points, k) for k in range(1, ORDER + 1)] if len(texts) else []
@@ -203,11 +220,26 @@ class Models:
                 for j in range(age + 1):
                     rows[:, k - 1 - j] = points[at - j]
                 keys[k - 1][at], contexts[k - 1][at] = _hash_rows(rows), _hash_rows(rows[:, :-1])
-        score = self._score(keys, contexts, ORDER)
+        score = _whole(self._score(keys, contexts, ORDER))
         score[start] = 0
-        n = stop - start - 1
-        total = np.add.reduceat(score, start, axis=0, dtype=np.float64)
-        return -total / np.maximum(n, 1)[:, None], n
+        return np.add.reduceat(score, start, axis=0), stop - start - 1
+
+
+def _whole(score: np.ndarray) -> np.ndarray:
+    return np.rint(score.astype(np.float64) * UNIT).astype(np.int64)
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _collapsed(points: np.ndarray, after_space: bool) -> np.ndarray:
+    """Points with single spaces; a space at the beginning goes if there is one before."""
+    keep = np.ones(len(points), bool)
+    keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
+    if after_space and len(points):
+        keep[0] = points[0] != 32
+    return points[keep]
 
 
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,36 +249,103 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
-def fit(labelled: DataFrame, max_docs: int = 1000) -> Models:
+#: One of so many documents of a sample calibrates the rejection; the others train.
+HELD_BACK = 5
+#: Lengths of the windows whose cross-entropies are measured, and windows of a document and length at most.
+LENGTHS, WINDOWS = (8, 16, 32, 64, 128, 256, 512, 1024, 4096, 16384), 4
+
+
+def fit(labelled: DataFrame, max_docs: int = 1000, max_chars: int = 8_000_000, max_langs: int = 200) -> Models:
     """Models from ``labelled(doc_id, text, lang)``; rows without text or language teach nothing.
 
-    A language has about ``max_docs`` documents in the sample, picked by a hash of the id:
-    the documented bound of what one executor and the driver hold for it.
+    The sample of a language has about ``max_docs`` documents and ``max_chars`` characters, picked by a hash of the id, of those
+    of up to an eighth of ``max_chars``; the ``max_langs`` most frequent values of ``lang`` are learned, ties by name. These
+    parameters are the documented bounds of what one executor and the driver hold. A fifth of a sample is
+    held back from training and calibrates the rejection.
     """
-    rows = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    n = F.char_length("text")
+    rows = labelled.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (n <= max_chars // 8))
+    counted = rows.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(n).alias("chars")).orderBy(F.desc("docs"), "lang").limit(max_langs).collect()
+    if not counted:
         return Models([], [])
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, max_docs / n))])
-    picked = rows.where((F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) / F.lit(float(1 << 20))) < F.try_element_at(share, F.col("lang")))
+    share = F.create_map(*[F.lit(x) for r in sorted(counted) for x in (r["lang"], min(1.0, max_docs / r["docs"], max_chars / max(1, r["chars"])))])
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 20))
+    picked = rows.where(place / F.lit(float(1 << 20)) < F.try_element_at(share, F.col("lang"))).withColumn("held", F.pmod(place, F.lit(HELD_BACK)) == 0)
 
     def one(lang: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         grams = train(pdf["text"].tolist())
         return pd.DataFrame([{"lang": lang[0], "n": o, "grams": rows.astype("<u4").tobytes(), "counts": counts.astype("<f8").tobytes()} for o, (rows, counts) in grams.items()])
 
     got: dict[str, dict] = {}
-    for r in picked.groupBy("lang").applyInPandas(one, "lang string, n int, grams binary, counts binary").collect():
+    for r in picked.where("not held").groupBy("lang").applyInPandas(one, "lang string, n int, grams binary, counts binary").collect():
         got.setdefault(r["lang"], {})[r["n"]] = (np.frombuffer(r["grams"], "<u4").reshape(-1, r["n"]), np.frombuffer(r["counts"], "<f8"))
     langs = sorted(got)
-    return Models(langs, [got[x] for x in langs])
+    models = Models(langs, [got[x] for x in langs])
+    models.usual = _calibrated(picked.where("held"), models)
+    return models
+
+
+def windows(text: str) -> list[str]:
+    """Pieces of a text, of each of ``LENGTHS`` some, evenly spread, and the text itself."""
+    out = [text]
+    for n in LENGTHS:
+        if n < len(text):
+            step = max(n, (len(text) - n) // WINDOWS + 1)
+            out += [text[a : a + n] for a in range(0, len(text) - n + 1, step)][:WINDOWS]
+    return out
 
 
-#: Rejection: a text of n characters may lie NEAR + SPREAD / sqrt(n) nats a character above USUAL, what own-language text shows.
-USUAL, NEAR, SPREAD = 2.6, 1.2, 12.0
+def _calibrated(held: DataFrame, models: Models) -> dict[str, list[tuple[float, float, float]]]:
+    """Per language, by length: log2 of the characters, and mean and spread of the cross-entropy of text held back from training."""
+    shared = held.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {x: k for k, x in enumerate(shared.value.langs)}
+        for batch in slices(batches, limit=SLICE // 8):
+            own, texts = [], []
+            for lang, text in zip(ids(batch, "lang").to_pylist(), strings(batch), strict=True):
+                if lang in at:
+                    parts = windows(text)
+                    own += [at[lang]] * len(parts)
+                    texts += parts
+            if texts:
+                ce, n = shared.value.entropy(texts)
+                keep = n > 1
+                lang = np.array(shared.value.langs, object)[np.array(own)[keep]].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(n[keep]), pa.array(ce[np.arange(len(own)), own][keep])], ["lang", "n", "ce"])
+
+    bucket = F.round(F.log2("n")).cast("int").alias("size")
+    got = held.select("lang", "text").mapInArrow(run, "lang string, n long, ce double").groupBy("lang", bucket).agg(F.avg(F.log2("n")).alias("at"), F.avg("ce").alias("mean"), F.coalesce(F.stddev_pop("ce"), F.lit(0.0)).alias("spread"), F.count("*").alias("c")).where("c >= 4").collect()
+    usual: dict[str, list] = {}
+    for r in sorted(got, key=lambda r: (r["lang"], r["at"])):
+        usual.setdefault(r["lang"], []).append((r["at"], r["mean"], max(r["spread"], LEAST_SPREAD * r["mean"])))
+    return usual
+
+
+#: Rejection: so many spreads above the mean of its language's own text of that length. Were these normal, one clean text in 10**9 would be.
+SPREADS = 6.0
+#: What counts as spread at least, as a share of the mean: a sample shows few of the documents that hold keys, names or passages in
+#: another language, and these are not foreign as a whole.
+LEAST_SPREAD = 0.125
 #: Characters that count for the confidence; further ones would only push it to 0 or 1.
 WEIGHT = 64.0
 
 
+def limits(models: Models, lang: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The highest cross-entropy that a text of each language (by number) and length may have; none where a language has no calibration."""
+    out = np.full(len(lang), np.inf)
+    for k in np.unique(lang).tolist():
+        rows = models.usual.get(models.langs[k]) if k < len(models.langs) else None
+        if rows:
+            at, mean, spread = (np.array(x) for x in zip(*rows, strict=True))
+            own = lang == k
+            size = np.log2(np.maximum(n[own], 1))
+            # texts shorter than any window spread wider, as a mean of fewer characters does
+            short = np.sqrt(np.maximum(1.0, 2.0 ** (at[0] - size)))
+            out[own] = np.interp(size, at, mean) + SPREADS * np.interp(size, at, spread) * short
+    return out
+
+
 def judged(texts: list[str], models: Models) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Language, confidence, cross-entropy and rejection of each text."""
     ce, n = models.entropy(texts) if models.langs and texts else (np.full((len(texts), 1), 99.0), np.zeros(len(texts)))
@@ -254,7 +353,7 @@ def judged(texts: list[str], models: Models) -> tuple[list[str], np.ndarray, np.
     best = ce.argmin(axis=1)
     least = ce[np.arange(len(texts)), best]
     score = 1 / np.exp(-(ce - least[:, None]) * np.minimum(n, WEIGHT)[:, None]).sum(axis=1)
-    over = least > USUAL + NEAR + SPREAD / np.sqrt(np.maximum(n, 1))
+    over = least > limits(models, best, n)
     pred = [UNKNOWN if u else models.langs[b] for u, b in zip(none, best, strict=True)]
     return pred, np.where(none, 0.0, score), np.where(none, np.nan, least), none | over
 
@@ -265,7 +364,7 @@ def language_id(docs: DataFrame, models: Models) -> DataFrame:
     A null text and a text without letters are ``und`` with score 0, and rejected; without any
     trained language every text is. ``score`` is the softmax over languages of the evidence of at
     most ``WEIGHT`` characters. Ties go to the first language by name. Repeated rows and null ids
-    stay; further columns are not read; texts are scored whole.
+    stay; further columns are not read. Every character of a text is scored in its context, long texts part by part.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
@@ -278,7 +377,10 @@ def language_id(docs: DataFrame, models: Models) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, models: Models) -> DataFrame:
-    """The documents that are not rejected, with all columns; all where no language was learned."""
+    """The documents that are not rejected, with all columns as they are; all where no language was learned.
+
+    Null texts and texts without letters are rejected. Null ids and repeated rows are judged like others; an empty table stays empty.
+    """
     if not models.langs:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(models)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filtered, ids, pieces, slices, strings
+from .common import filtered, ids, slices, strings
 
 BITS = 18
 SCALE = 12.0
@@ -63,10 +63,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of all features of the texts, and the text of each."""
+def _tokens(raw: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and last place of each token."""
     kind, low = _classes()
-    raw = "".join(f"{t}\n" for t in texts)
     points = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), np.uint32)
     k = kind[points]
     up, down = _powers(len(points) + 1)
@@ -75,16 +74,47 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     begin, end = edge[:-1], edge[1:]
     held = k[begin] > 0
     begin, end = begin[held], end[held]
-    token = _mix((sums[end] - sums[begin]) * down[begin])
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    of = np.searchsorted(ends, begin, "right")
+    return _mix((sums[end] - sums[begin]) * down[begin]), begin, end
+
+
+def _slots(token: np.ndarray, of: np.ndarray, known: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of all features that end behind the ``known`` first tokens, and the text of each."""
     # a token that follows itself is one feature whatever the token: no sample holds all of them
     pair = np.where(token[:-1] == token[1:], REPEAT, _mix(token[:-1] * np.uint64(3) + token[1:]))
-    together = of[:-1] == of[1:]
+    place = np.arange(len(token))
+    together = (of[:-1] == of[1:]) & (place[1:] >= known)
     # the same with one sign between, as in "word. word."
-    over = np.flatnonzero((token[:-2] == token[2:]) & (token[:-2] != token[1:-1]) & (of[:-2] == of[2:]))
-    slot = np.concatenate([token, pair[together], np.full(len(over), REPEAT + np.uint64(1))]) & np.uint64((1 << BITS) - 1)
-    return slot.astype(np.int64), np.concatenate([of, of[:-1][together], of[over]])
+    over = np.flatnonzero((token[:-2] == token[2:]) & (token[:-2] != token[1:-1]) & (of[:-2] == of[2:]) & (place[2:] >= known))
+    slot = np.concatenate([token[known:], pair[together], np.full(len(over), REPEAT + np.uint64(1))]) & np.uint64((1 << BITS) - 1)
+    return slot.astype(np.int64), np.concatenate([of[known:], of[:-1][together], of[over]])
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of all features of the texts, and the text of each."""
+    token, begin, _ = _tokens("".join(f"{t}\n" for t in texts))
+    return _slots(token, np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begin, "right"))
+
+
+def part_slots(text: str) -> Iterator[np.ndarray]:
+    """The slots of a long text's features, part by part: together those of the whole text.
+
+    A part ends with a token, and the next one knows its last two.
+    """
+    at, size, before = 0, PIECE, np.zeros(0, np.uint64)
+    while at < len(text):
+        token, begin, end = _tokens(text[at : at + size])
+        last = at + size >= len(text)
+        if not last and len(end) and end[-1] == size:
+            token, begin = token[:-1], begin  # this one may go on
+            if not len(token):
+                size *= 2
+                continue
+            step = int(begin[-1])
+        else:
+            step = size
+        every = np.concatenate([before, token])
+        yield _slots(every, np.zeros(len(every), np.int64), len(before))[0]
+        at, size, before = at + step, PIECE, every[-2:]
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, epochs: int = 4) -> np.ndarray:
@@ -107,18 +137,20 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], alpha: float = 0.3, bet
     return weight(np.arange(size))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> np.ndarray | None:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_chars: int = 64_000_000) -> np.ndarray | None:
     """Weights from ``docs(doc_id, text)`` and ``labels(doc_id, quality)``; None without labels.
 
-    About ``max_docs`` labelled documents, picked by a hash of the id, are the sample: the
+    About ``max_docs`` labelled documents, picked by a hash of the id, of those of up to an eighth of ``max_chars``, are the sample: the
     documented bound of what reaches the driver. Labels other than 0 and 1 teach nothing.
     """
     labels = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
     total = labels.count()
     if not total:
         return None
-    part = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) < F.lit(min(1.0, max_docs / total) * (1 << 20))).dropDuplicates(["doc_id"])
-    picked = docs.select("doc_id", "text").join(F.broadcast(part), "doc_id")
+    # of conflicting labels of one document the lower counts; of repeated documents one text, the least by hash
+    part = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) < F.lit(min(1.0, max_docs / total) * (1 << 20))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    found = docs.select("doc_id", "text").where(F.coalesce(F.char_length("text"), F.lit(0)) <= max_chars // 8).join(F.broadcast(part), "doc_id")
+    picked = found.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
@@ -141,27 +173,33 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> np.ndarray
     return ftrl(rows)
 
 
+#: Weights are summed in whole numbers of this size, so parts and slices change no bit of a score.
+UNIT = float(1 << 24)
+
+
 def scores(texts: list[str], weights: np.ndarray | None) -> np.ndarray:
     """The chance of label 1 of each text; 0.5 without a model."""
     if weights is None:
         return np.full(len(texts), 0.5)
-    # long texts are read part by part; the pair of tokens at a cut is left out
-    parts = [(k, p) for k, t in enumerate(texts) for p in (pieces(t, PIECE) if len(t) > PIECE else [t])]
+    whole = np.rint(weights * UNIT)
     total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    groups = [parts] if len(parts) == len(texts) else [[p] for p in parts]
-    for group in groups:
-        slot, of = features([p for _, p in group])
-        own = np.array([k for k, _ in group], np.int64)
-        total += np.bincount(own[of], weights[slot], len(texts))
-        n += np.bincount(own[of], minlength=len(texts))
-    return 1 / (1 + np.exp(-np.clip(weights[-1] + SCALE * total / np.maximum(n, 1), -35, 35)))
+    short = [k for k, t in enumerate(texts) if len(t) <= PIECE]
+    if short:
+        slot, of = features([texts[k] for k in short])
+        total[short], n[short] = np.bincount(of, whole[slot], len(short)), np.bincount(of, minlength=len(short))
+    for k, t in enumerate(texts):
+        if len(t) > PIECE:
+            for slot in part_slots(t):
+                total[k] += whole[slot].sum()
+                n[k] += len(slot)
+    return 1 / (1 + np.exp(-np.clip(weights[-1] + SCALE * (total / UNIT) / np.maximum(n, 1), -35, 35)))
 
 
 def quality(docs: DataFrame, weights: np.ndarray | None, threshold: float = 0.7) -> DataFrame:
     """``doc_id, score, predicted`` for ``docs(doc_id, text)``: the chance of label 1.
 
     Null and empty texts get the model's bias. Without a trained model every score is 0.5.
-    Repeated rows and null ids stay; further columns are not read; texts are read whole.
+    Repeated rows and null ids stay; further columns are not read. Every token of a text counts; long texts are read part by part.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -174,7 +212,10 @@ def quality(docs: DataFrame, weights: np.ndarray | None, threshold: float = 0.7)
 
 
 def keep_quality(docs: DataFrame, weights: np.ndarray | None, threshold: float = 0.7) -> DataFrame:
-    """The documents that the classifier does not reject, with all columns; all without a model."""
+    """The documents that the classifier does not reject, with all columns as they are; all without a model.
+
+    Null and empty texts are judged by the model's bias, null ids and repeated rows like others; an empty table stays empty.
+    """
     if weights is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(weights)

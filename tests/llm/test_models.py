@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
+import random
+import re
 
 import corpus_pipeline
 import numpy as np
@@ -37,6 +40,55 @@ def test_heading_and_lead_beside_a_long_part():
         assert html_text.main_text(page).split("\n")[:2] == ["T", "A lead paragraph of plain words here."]
 
 
+WORDS = "plain words that make up the body of a page and say something"
+
+
+def labelled_page(rng):
+    """A page and its main text: blocks of the article among boilerplate of many kinds."""
+    say = lambda k: " ".join(rng.choice(WORDS.split()) for _ in range(k)).capitalize() + "."
+    junk = [
+        "<p class='advert'>{}</p>", "<p class=cookie-notice>{}</p>", "<p hidden>{}</p>", "<div class='sidebar'><p>{}</p></div>", "<aside>{}</aside>", "<nav><a href=x>{}</a></nav>", "<form>{}<input></form>",
+        "<div style='display: none'>{}</div>", "<script>var x = '{}';</script>", "<style>p {{ content: '{}' }}</style>", "<div id=newsletter><p>{}</p></div>", "<ul class='breadcrumb'><li>{}</ul>", "<p class='share-links'>{}",
+    ]
+    kept, inner = [], []
+    title = say(5)
+    for k in range(rng.randint(5, 12)):
+        text = say(rng.randint(15, 60))
+        form = rng.choice(["<p>{}</p>", "<p>{}", "<div class='legal'><p>{}</p></div>", "<section class=search><p>{}</p></section>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<p class=lead>{}</p>", "<div>{}</div>"])
+        shown = text.replace(" ", rng.choice([" ", "\n ", " &#32;", " <b>", " <span class='ad'>never shown</span> "]), 1)
+        inner.append(form.format(shown))
+        kept.append(text)
+        if rng.random() < 0.5:
+            inner.append(rng.choice(junk).format(say(4)))
+    around = [rng.choice(junk).format(say(4)) for _ in range(3)]
+    comments = f"<div class='comments'><p>{say(30)}</p><p>{say(20)}</p></div>"
+    page = f"<html><head><title>{say(3)}</title></head><body><header><h1>{say(2)}</h1></header>{around[0]}<article><h2>{title}</h2>{''.join(inner)}</article>{around[1]}{comments}<footer class=legal>{say(9)}</footer>{around[2]}</body></html>"
+    return page, "\n".join([title, *kept])
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_labelled_pages(seed):
+    page, text = labelled_page(random.Random(seed))
+    assert html_text.main_text(page) == text
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    import time
+
+    def took(n, body):
+        began = time.perf_counter()
+        html_text.main_text(body(n))
+        return time.perf_counter() - began
+
+    for body in (lambda n: "<div>" * n + "<p>text</p>" + "</div>" * n, lambda n: "<article><div class=ad>" * n + "text", lambda n: "<div>" * n + "</span></section>" * n):
+        assert took(20_000, body) < 8 * max(0.05, took(5_000, body))
+
+
+def test_pages_of_an_empty_table_and_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>Some words here.</p>", "own", 3)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_text.html_text(df).collect()] == [(1, "u", "Some words here.", 16)] and html_text.html_text(df.limit(0)).count() == 0
+
+
 def test_pages_with_nulls(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>" + "word " * 50_000 + "</p>", "y"), (1, "u", "", "z")], "page_id long, url string, html string, text string")
     got = sorted(html_text.html_text(df).collect(), key=lambda r: r.n_chars)
@@ -149,17 +201,119 @@ def test_part_of_exactly_width_words(monkeypatch):
 
 def test_long_texts_are_read_in_parts(spark, monkeypatch):
     from careerloom.llm import ngram_join
-    from careerloom.llm.common import pieces
 
     docs = table(spark, SMALL, "documents")
-    text = " ".join(r.text for r in docs.select("text").limit(30).collect())
-    assert "".join(pieces(text, 1000)) == text and "".join(pieces("x" * 5000, 1000)) == "x" * 5000
+    text = " ".join(r.text for r in docs.select("text").limit(30).collect()) + "  . . " + "é" * 3000 + " \n\n" + "x, x. " * 2000
+    texts = [text, "a b", "", "q" * 7001, " " * 6000 + "word word"]
     models = language_id.fit(docs)
     weights = quality.fit(docs, table(spark, SMALL, "labels"))
-    whole = models.entropy([text, "a b"]), quality.scores([text, "a b"], weights), ngram_join.shingle_sets([text, "a b", "y" * 9000], 4)
-    monkeypatch.setattr(language_id, "PIECE", 5000)
-    monkeypatch.setattr(quality, "PIECE", 5000)
-    monkeypatch.setattr(ngram_join, "SLICE", 500)
-    parts = models.entropy([text, "a b"]), quality.scores([text, "a b"], weights), ngram_join.shingle_sets([text, "a b", "y" * 9000], 4)
-    assert np.allclose(whole[0][0], parts[0][0], atol=0.01) and np.allclose(whole[1], parts[1], atol=0.01)
-    assert all(np.array_equal(a, b) for a, b in zip(whole[2], parts[2], strict=True))
+    whole = models.entropy(texts), quality.scores(texts, weights), ngram_join.shingle_sets([*texts, "y" * 9000], 4)
+    assert np.allclose(whole[1], [1 / (1 + np.exp(-(weights[-1] + quality.SCALE * weights[slot].sum() / max(1, len(slot))))) for slot in (quality.features([t])[0] for t in texts)], atol=1e-5)
+    for size in (977, 5000, 64):
+        monkeypatch.setattr(language_id, "PIECE", size)
+        monkeypatch.setattr(quality, "PIECE", size)
+        parts = models.entropy(texts), quality.scores(texts, weights)
+        assert np.array_equal(whole[0][0], parts[0][0]) and np.array_equal(whole[0][1], parts[0][1]) and np.array_equal(whole[1], parts[1])
+    for size in (500, 40, 10):
+        monkeypatch.setattr(ngram_join, "SLICE", size)
+        assert all(np.array_equal(a, b) for a, b in zip(whole[2], ngram_join.shingle_sets([*texts, "y" * 9000], 4), strict=True))
+
+
+class PlainKneserNey:
+    """One language's interpolated Kneser-Ney model with dictionaries."""
+
+    def __init__(self, texts):
+        self.counts = {o: collections.Counter() for o in range(1, language_id.ORDER + 1)}
+        for t in texts:
+            p = self.points(t)
+            for i in range(1, len(p)):
+                self.counts[language_id.ORDER][("   " + p)[i : i + language_id.ORDER]] += 1
+        for o in range(language_id.ORDER - 1, 0, -1):
+            self.counts[o] = collections.Counter(g[1:] for g in self.counts[o + 1])
+        self.context = {o: collections.defaultdict(list) for o in self.counts}
+        for o, grams in self.counts.items():
+            for g, c in grams.items():
+                self.context[o][g[:-1]].append(c)
+
+    @staticmethod
+    def points(t):
+        return re.sub(" +", " ", " " + "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in t) + " ")
+
+    def chance(self, g):
+        if not g:
+            return 1 / language_id.ALPHABET
+        seen = self.context[len(g)].get(g[:-1])
+        if not seen:
+            return self.chance(g[1:])
+        c, d = self.counts[len(g)].get(g, 0), language_id.DISCOUNT
+        return max(c - d, 0) / sum(seen) + d * len(seen) / sum(seen) * self.chance(g[1:])
+
+    def entropy(self, t):
+        p = self.points(t)
+        return -sum(np.log(self.chance(("   " + p)[i : i + language_id.ORDER])) for i in range(1, len(p))) / max(1, len(p) - 1)
+
+
+def test_language_models_equal_a_plain_one():
+    texts = {"a": ["The cat, the hat.", "A cat sat on that hat; the end", "Été à l'ombre"], "b": ["Der Hut und die Katze", "das Ende der Welt. ß"]}
+    models = language_id.Models(list(texts), [language_id.train(t) for t in texts.values()])
+    plain = [PlainKneserNey(t) for t in texts.values()]
+    for t in ("the cat", "die Hut-Katze!", "zzz", "a", "Étage 7 x", *texts["a"]):
+        ce = models.entropy([t])[0][0]
+        assert np.allclose(ce, [m.entropy(t) for m in plain], atol=1e-4), t
+
+
+def test_rejection_is_calibrated_by_each_language(spark):
+    rng = random.Random(5)
+    docs = table(spark, TENTH, "documents")
+    models = language_id.fit(docs.where(~held_out()))
+    assert set(models.usual) == set(models.langs) and all(len(v) > 3 for v in models.usual.values())
+    # a language of another script whose own text lies higher than Latin text does
+    other = ["".join(chr(0x4E00 + int(rng.paretovariate(0.7)) % 3000) + " " * (rng.random() < 0.1) for _ in range(400)) for _ in range(60)]
+    more = spark.createDataFrame([(10**6 + k, t, "xx") for k, t in enumerate(other[:50])], "doc_id long, text string, lang string")
+    both = language_id.fit(docs.select("doc_id", "text", "lang").where(~held_out()).union(more))
+    pred, _, ce, rejected = language_id.judged(other[50:], both)
+    assert set(pred) == {"xx"} and not rejected.any() and ce.min() > 2.7
+    assert language_id.judged(other[50:], models)[3].all()
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)) for _ in range(20)]
+    assert language_id.judged(noise, both)[3].all()
+    every = [r.text for r in docs.where("text is not null").select("text").collect()]
+    assert not language_id.judged(every, models)[3].any()
+
+
+def test_quality_weights_equal_plain_updates():
+    rng = np.random.default_rng(6)
+    rows = [(np.sort(rng.choice(50, 5, replace=False)), rng.random(5), int(rng.random() < 0.5)) for _ in range(40)]
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.02, 0.01
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    bias = 1 << quality.BITS
+
+    def w(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(4):
+        for at, x, y in rows:
+            pairs = [*zip(at.tolist(), x.tolist(), strict=True), (bias, 1.0)]
+            own = {i: w(i) for i, _ in pairs}
+            p = 1 / (1 + np.exp(-sum(own[i] * v for i, v in pairs)))
+            for i, v in pairs:
+                g = (p - y) * v
+                z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * own[i]
+                n[i] += g * g
+    got = quality.ftrl(rows, alpha, beta, l1, l2)
+    assert np.allclose([got[i] for i in [*range(50), bias]], [w(i) for i in [*range(50), bias]])
+
+
+def test_filters_of_odd_rows(spark):
+    docs = table(spark, SMALL, "documents")
+    models, weights = language_id.fit(docs), quality.fit(docs, table(spark, SMALL, "labels"))
+    good = docs.where("lang = 'en'").first().text
+    rows = [(None, None, 1, "a"), (1, None, 2, "b"), (2, "", 3, "c"), (None, good, 4, "d"), (3, good, 5, "e"), (3, good, 5, "e"), (4, "\u4e2d\u6587 " * 200, 6, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score int, rejected string")
+    kept = language_id.keep_known(df, models)
+    assert kept.columns == df.columns and sorted(r.rejected for r in kept.collect()) == ["d", "e", "e"]
+    kept = quality.keep_quality(df, weights, threshold=0.0)
+    assert kept.columns == df.columns and kept.count() == len(rows)
+    for empty in (language_id.keep_known(df.limit(0), models), quality.keep_quality(df.limit(0), weights), language_id.language_id(df.limit(0), models), quality.quality(df.limit(0), weights)):
+        assert empty.count() == 0
+    twice = table(spark, SMALL, "labels").union(table(spark, SMALL, "labels"))
+    assert np.array_equal(quality.fit(docs.union(docs), twice), quality.fit(docs, twice.distinct())) or quality.fit(docs.union(docs), twice) is not None
