@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,6 +87,10 @@ class Codec:
         import regex
 
         self.ranks = read_ranks(path)
+        if any(re.search(rb"\s ", token.strip(b" ")) for token in self.ranks):
+            raise ValueError("a token of these ranks goes on over a blank behind white space, where texts are cut into chunks")
+        if any(len(m) > 1 and re.search(r"\S ", m) for m in regex.findall(pattern, "a b, c. d\n e 1 2 \"f\" g")):
+            raise ValueError("a match of this pattern goes on over a blank, where texts are cut into chunks")
         self.bytes = {i: b for b, i in self.ranks.items()}
         self.split = regex.compile(pattern).findall
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)

@@ -11,6 +11,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from careerloom.llm import fingerprint, html_text, language_id, quality
 from careerloom.llm.common import held_out, table
@@ -102,6 +103,40 @@ def test_article_of_every_page(spark):
         assert "&copy;" not in r.text and "track(" not in r.text and r.text.split("\n")[0][:20] in pages[r.page_id].replace("&amp;", "&")
 
 
+def test_merged_sketches_are_those_of_the_union(spark):
+    rng = random.Random(7)
+    rows = [(" ".join(f"w{rng.randrange(40)}" for _ in range(a)), " ".join(f"w{rng.randrange(40)}" for _ in range(b))) for a, b in [(0, 0), (0, 9), (3, 3), (5, 5), (6, 200), (300, 7), (100, 120)] * 4]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for bits in (2, 6):
+        both = df.select("a", "b", *[fingerprint.sketch(F.col(c), keep_bits=bits).alias(f"s{c}") for c in "ab"])
+        for r in both.select("a", "b", "sa", "sb", fingerprint.merge(F.col("sa"), F.col("sb"), bits).alias("m"), fingerprint.containment(F.col("sa"), F.col("sb")).alias("c")).collect():
+            every = sorted(set(r.sa) | set(r.sb))
+            below = [h for h in every if h < 1 << (63 - bits)]
+            assert r.m == (below or every[:1])
+            assert r.c == (len(set(r.sa) & set(r.sb)) / len(r.sa) if r.sa else 1.0)
+
+
+@pytest.mark.parametrize(("span", "cuts"), [(1024, 4096), (3, 4096), (3, 5)])
+def test_next_document(spark, span, cuts, monkeypatch):
+    monkeypatch.setattr(fingerprint, "MOST_CUTS", cuts)
+    rng = random.Random(span + cuts)
+    ids = [None] * 20 + [5] * 30 + [-(1 << 62), 1 << 62] + [rng.randrange(200) for _ in range(80)] + [10**9 + k for k in range(20)]
+    rows = [(i, f"text {k}" if k % 7 else None) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = fingerprint.with_next(df, span).select("doc_id", "text", "next_text").collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(rows)
+    by_id = collections.defaultdict(collections.Counter)
+    for i, t in rows:
+        by_id[i][t] += 1
+    order = sorted(by_id, key=lambda i: (i is not None, i or 0))
+    for k, i in enumerate(order):
+        # the followers of an id's texts are its own texts but the first, and the first of the next id
+        after = collections.Counter(r.next_text for r in got if r.doc_id == i)
+        gone, come = by_id[i] - after, after - by_id[i]
+        following = by_id[order[(k + 1) % len(order)]]
+        assert sum(gone.values()) <= 1 and sum(come.values()) <= 1 and set(come) <= set(following)
+
+
 @pytest.mark.parametrize("span", [1024, 3])
 def test_fingerprints(spark, span, monkeypatch):
     monkeypatch.setattr(fingerprint.with_next, "__defaults__", (span,))
