@@ -31,8 +31,9 @@ freq as (select grp, skill, df, n, ln(n / df::double) as idf from (select grp, s
 heldg as (select distinct o_custkey as cand, min(grp) over (partition by o_custkey) as grp, skill from listed)"""
 
 
-def _parts(spark: SparkSession, sf_dir: str):
-    listed = _listed(spark, sf_dir)
+def _parts(spark: SparkSession, sf_dir: str, stored: bool = False):
+    """Listed skills, distinct ones, their frequency, and what candidates hold; ``stored``: the first as a table, for plans that read it often."""
+    listed = S.stored(_listed(spark, sf_dir), "listed") if stored else _listed(spark, sf_dir)
     sets = listed.select("grp", "posting", "skill").distinct()
     postings = S.read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("grp")).agg(F.count("*").alias("n"))
     freq = C.document_frequency(sets, postings)
@@ -66,7 +67,7 @@ def pmi_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     select cand, skill, pmi, rank from (select *, cast(row_number() over (partition by cand order by pmi desc, skill) as integer) as rank from best b where not exists (select 1 from heldg h where h.cand = b.cand and h.skill = b.skill)) where rank <= 10"""
 )
 def related_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, sets, freq, held = _parts(spark, sf_dir)
+    _, sets, freq, held = _parts(spark, sf_dir, stored=True)
     pairs = C.pair_information(sets, freq, least=0.02).withColumn("pmi", F.round("pmi", 6))
     return W.top_k(C.related_skills(pairs, held), ["cand"], [F.desc("pmi"), F.col("skill")], 10)
 
@@ -80,13 +81,13 @@ def _gap_sql(df: str) -> str:
 
 @query(_gap_sql("df"))
 def market_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, freq, held = _parts(spark, sf_dir)
+    _, _, freq, held = _parts(spark, sf_dir, stored=True)
     return C.market_gaps(freq, held, held.select("cand", "grp").distinct())
 
 
 @query(_gap_sql("df_back"))
 def market_gaps_reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, freq, held = _parts(spark, sf_dir)
+    _, _, freq, held = _parts(spark, sf_dir, stored=True)
     return C.market_gaps(C.reconstructed_frequency(freq), held, held.select("cand", "grp").distinct(), df="df_back")
 
 
@@ -96,7 +97,7 @@ def market_gaps_reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:
       (select c.cand, o_orderpriority as grp, o_orderkey as posting, coalesce(score, 0) as score from (select distinct cand, grp from heldg) c join orders on o_orderpriority = c.grp left join scored s on s.cand = c.cand and s.posting = o_orderkey)) where rank <= 10"""
 )
 def topk_postings_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed, _, freq, held = _parts(spark, sf_dir)
+    listed, _, freq, held = _parts(spark, sf_dir, stored=True)
     postings = S.read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").alias("posting"))
     ranked = C.rank_postings(listed.select("grp", "posting", "skill"), held.withColumn("weight", F.lit(1.0)), freq, postings, 10, 6)
     return ranked.select("cand", "grp", "posting", "score", "rank")
@@ -207,8 +208,7 @@ _SIG = """sig as (select o_custkey as doc, case o_orderstatus when 'F' then 1 wh
 signals as (select doc, signal, func, s / sum(s) over (partition by doc, signal) as p from sig)"""
 
 
-@query(
-    f"""with {_SIG},
+_FUSED = f"""{_SIG},
     tops as (select doc, signal, func as top, p from (select *, row_number() over (partition by doc, signal order by p desc, func) as r from signals) where r = 1),
     votes as (select doc, top, count(*) as votes, min(signal) as first from tops where signal <= 3 group by 1, 2),
     win as (select doc, top as voted, votes from (select *, row_number() over (partition by doc order by votes desc, first) as r from votes) where r = 1),
@@ -217,30 +217,102 @@ signals as (select doc, signal, func, s / sum(s) over (partition by doc, signal)
     wt as (select s.doc, s.voted, s.asked, t.signal, case when votes >= 2 and asked and coalesce(top4 = voted, false) then case when t.top = voted then [0.5, 0.1, 0.25][t.signal] else 0.05 end
       when votes >= 2 then case when t.top = voted then [0.55, 0.12, 0.3][t.signal] else 0.08 end else case when t.top = voted then [0.5, 0.15, 0.35][t.signal] else 0.15 end end as w from state s join tops t on t.doc = s.doc and t.signal <= 3),
     fused as (select g.doc, g.func, s.voted, sum(g.p * case when g.signal = 4 then case when s.asked then 0.15 else 0.0 end else coalesce(wt.w, 0.0) end) as s from signals g join state s on s.doc = g.doc left join wt on wt.doc = g.doc and wt.signal = g.signal group by 1, 2, 3),
-    pct as (select doc, func, voted, case when sum(s) over (partition by doc) > 0 then s / sum(s) over (partition by doc) * 100 else 0 end as pct from fused)
-    select doc, func, round(pct, 6) as pct, cast(row_number() over (partition by doc order by round(pct, 6) desc, func) as integer) as rank, voted from pct"""
-)
+    pct as (select doc, func, voted, case when sum(s) over (partition by doc) > 0 then s / sum(s) over (partition by doc) * 100 else 0 end as pct from fused)"""
+_RANKED = "select doc, func, round(pct, 6) as pct, cast(row_number() over (partition by doc order by round(pct, 6) desc, func) as integer) as rank, voted from pct"
+
+
+@query(f"with {_FUSED} {_RANKED}")
 def ensemble_vote_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    return M.fuse(_signals(spark, sf_dir)).withColumn("pct", F.round("pct", 6))
+
 
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four signals of each customer: shares of the priorities by status, and by count for every second one."""
     orders = S.read(spark, sf_dir, "orders")
     signal = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
     one = orders.groupBy(F.col("o_custkey").alias("doc"), signal.alias("signal"), F.col("o_orderpriority").alias("func")).agg(F.sum("o_totalprice").alias("s"))
     four = orders.where(F.col("o_custkey") % 2 == 0).groupBy(F.col("o_custkey").alias("doc"), F.lit(4).alias("signal"), F.col("o_orderpriority").alias("func")).agg(F.count("*").cast("double").alias("s"))
-    signals = one.union(four).withColumn("p", F.col("s") / F.sum("s").over(Window.partitionBy("doc", "signal"))).drop("s")
-    return M.fuse(signals).withColumn("pct", F.round("pct", 6))
+    return one.union(four).withColumn("p", F.col("s") / F.sum("s").over(W.Window.partitionBy("doc", "signal"))).drop("s")
+
+
+_RESULT = "result as (select doc, max(func) filter (where rank = 1) as function, round_even(max(pct) filter (where rank = 1), 0) as match_pct, coalesce(list(func || ':' || cast(cast(round_even(pct, 0) as integer) as varchar) order by rank) filter (where rank > 1 and pct >= 3), [])[1:5] as alternatives, list(func || ':' || cast(round_even(pct, 1) as varchar) order by rank) filter (where rank <= 10) as probas from ranked group by 1)"
+
+
+def _named(c: str, kind: str):
+    """Arrays of (func, pct) as texts."""
+    return F.transform(c, lambda x: F.concat_ws(":", x["func"], x["pct"].cast(kind).cast("string"))).alias(c)
+
+
+@query(f"with {_FUSED}, ranked as ({_RANKED}), {_RESULT} select doc, function, match_pct, alternatives, probas from result")
+def ensemble_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = M.fuse(_signals(spark, sf_dir)).withColumn("pct", F.round("pct", 6))
+    return M.function_result(fused).select("doc", "function", "match_pct", _named("alternatives", "int"), _named("probas", "double"))
+
+
+@query(f"with {_SIG} select doc, signal, func, round_even(round(p * 100, 9), 0) as pct, rank from (select *, cast(row_number() over (partition by doc, signal order by p desc, func) as integer) as rank from signals) where rank <= 3")
+def signal_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.signal_tops(_signals(spark, sf_dir))
+
+
+#: Words and phrases that speak for a function; a parameter, here words of the documents' languages.
+TERMS = [("technology", "les"), ("technology", "des"), ("technology", "de la"), ("sales", "die"), ("sales", "der"), ("sales", "und der"), ("design", "los"), ("design", "que"), ("ops", "of the"), ("ops", "in the"), ("ops", "une")]
+_HITS = f"""terms(func, term) as (values {", ".join(map(str, TERMS))}), hits as (select doc, func, count(*) as hits from (
+  select distinct doc, func, term from tok join terms on term = token where not contains(term, ' ') union select doc_id, func, term from documents, terms where contains(term, ' ') and contains(lower(text), term)) group by 1, 2)"""
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = S.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return M.word_hits(texts, _tokens(spark, sf_dir).select("doc", "token"), spark.createDataFrame(TERMS, "func string, term string"))
+
+
+@query(f"with {_TOKENS}, {_HITS} select doc, func, hits from hits")
+def function_word_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir)
+
+
+_BEST = f"""f as (select doc, occ, {_FUNCS} as func, score from occ_score),
+    b as (select f.doc, f.occ, f.func, round(score * (1 + coalesce(hits, 0)) * (1 + coalesce(hits, 0)), 6) as score from f left join hits on hits.doc = f.doc and hits.func = f.func),
+    t as (select * from (select *, row_number() over (partition by doc order by score desc, occ) as r from b) where r <= 15),
+    best as (select doc, func, max(score) as best, greatest(1, count(*) filter (where score > 8)) as breadth, arg_min(occ, r) as occ, max(score) * (1::double + 0.1::double * (greatest(1, count(*) filter (where score > 8)) - 1)) as score from t group by 1, 2)"""
+
+
+@query(f"with {_OCC}, {_HITS}, {_BEST} select * from best")
+def bonus_squared_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = _occupations(spark, sf_dir)
+    return M.best_occupations(scores, _hits(spark, sf_dir), _functions(scores), digits=6)
 
 
 @query(
-    f"""with {_OCC}, f as (select doc, occ, {_FUNCS} as func, score from occ_score), bonus as (select doc, {_FUNCS.replace('occ', 'doc')} as func, doc % 3 as hits from (select distinct doc from occ_score)),
-    b as (select f.doc, f.occ, f.func, round(score * (1 + coalesce(hits, 0)) * (1 + coalesce(hits, 0)), 6) as score from f left join bonus b on b.doc = f.doc and b.func = f.func),
-    t as (select * from (select *, row_number() over (partition by doc order by score desc, occ) as r from b) where r <= 15)
-    select doc, func, max(score) as best, greatest(1, count(*) filter (where score > 8)) as breadth, arg_min(occ, r) as occ, max(score) * (1::double + 0.1::double * (greatest(1, count(*) filter (where score > 8)) - 1)) as score from t group by 1, 2"""
+    f"""with {_OCC}, {_HITS}, {_BEST}, p as (select *, round_even(round(score / case when sum(score) over (partition by doc) = 0 then 1 else sum(score) over (partition by doc) end * 100, 9), 0) as pct, row_number() over (partition by doc order by round(score, 9) desc, func) as rank from best)
+    select doc, max(func) filter (where rank = 1) as function, max(occ) filter (where rank = 1) as occ, case when count(*) = 1 then least(max(pct), 95.0) else max(pct) filter (where rank = 1) end as match_pct,
+    coalesce(list(func || ':' || cast(cast(pct as integer) as varchar) order by rank) filter (where rank > 1 and pct >= 5), [])[1:5] as alternatives from p group by 1"""
 )
-def bonus_squared_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+def occupation_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = _occupations(spark, sf_dir)
-    bonus = scores.select("doc").distinct().select("doc", F.expr(_FUNCS.replace("occ", "doc")).alias("func"), (F.col("doc") % 3).alias("hits"))
-    return M.best_occupations(scores, bonus, _functions(scores), digits=6)
+    return M.occupation_result(M.best_occupations(scores, _hits(spark, sf_dir), _functions(scores), digits=6))
+
+
+@query(f"with {_LISTED} select distinct grp, s as raw from (select o_orderpriority as grp, unnest([p_brand, p_type, p_name]) as s from lineitem join part on p_partkey = l_partkey join orders on o_orderkey = l_orderkey) where length(s) > 2")
+def skill_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.vocabulary(_listed(spark, sf_dir))
+
+
+def expected_skills(freq: DataFrame, k: int = 30) -> DataFrame:
+    """The ``k`` most frequent skills of each function but one, which has no expectations: ``func, place, skill``."""
+    place = F.row_number().over(W.Window.partitionBy("grp").orderBy(F.desc("df"), "skill"))
+    return freq.where("grp <> '5-LOW'").select(F.col("grp").alias("func"), place.alias("place"), "skill").where(F.col("place") <= k)
+
+
+_EXPECTED = "expected as (select grp, skill, place from (select grp, skill, row_number() over (partition by grp order by df desc, skill) as place from freq where grp <> '5-LOW') where place <= 30)"
+
+
+@query(
+    f"""with {_LISTED}, {_EXPECTED}, own as (select cand, grp, list_sort(list(skill)) as own from heldg group by 1, 2), want as (select grp, list(skill order by place) as want from expected group by 1)
+    select cand, case when want is null then own[1:15] else list_filter(want, lambda x: list_contains(own, x)) end as has, case when want is null then [] else list_filter(want, lambda x: not list_contains(own, x)) end as missing from own left join want using (grp)"""
+)
+def has_missing_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, freq, held = _parts(spark, sf_dir)
+    return C.has_missing(held.select("cand", "skill"), held.select("cand", F.col("grp").alias("func")).distinct(), expected_skills(freq))
 
 
 @query(

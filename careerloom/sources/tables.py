@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +33,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the folder that driver and executors share, for what several branches of a plan read.
+
+    The folder is ``spark.checkpoint.dir``; where it is unset and all runs in one process, a temporary one.
+    """
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='careerloom-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at.rstrip('/')}/careerloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def pruned(df: DataFrame, columns: list[str], where: Column) -> DataFrame:
     """Columns and filter reach the scan."""
     return df.where(where).select(*columns)
