@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -20,9 +22,18 @@ def grams(df: DataFrame, text: str, longest: int = 2) -> DataFrame:
 
 
 def stratified(df: DataFrame, label: str, key: str, folds: int = 5) -> DataFrame:
-    """Adds ``fold``: rows of a label are dealt in the order of a hash, so each fold has its share of each label."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(42)), key))
-    return df.withColumn("fold", (place % folds).cast("int"))
+    """Adds ``fold``: rows of a label are dealt in the order of a hash, so each fold has its share of each label.
+
+    A label's rows are ranked within 64 parts of the hash, and the parts before are added on, so no task gets a whole label.
+    """
+    h = F.xxhash64(key, F.lit(42))
+    dealt = df.withColumn("_h", h).withColumn("_part", F.shiftright("_h", 58))
+    sizes = dealt.groupBy(label, "_part").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(label).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col(label).alias("_label"), F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_h", key))
+    rows = dealt.withColumn("_place", place).join(before, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_part") == F.col("_of")))
+    return rows.withColumn("fold", F.pmod(F.col("_before") + F.col("_place"), F.lit(folds)).cast("int")).drop("_h", "_part", "_label", "_of", "_before", "_place")
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
@@ -32,31 +43,57 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.join(sizes, label).crossJoin(F.broadcast(total)).withColumn("weight", F.col("_all") / (F.col("_labels") * F.col("_n"))).drop("_n", "_all", "_labels")
 
 
-def pipeline(label: str, terms: int = 10_000, least_df: int = 2) -> Pipeline:
+#: Configurations to choose from: n-grams up to, terms, largest share of documents that a term may be in, strength of the penalty.
+CONFIGS = {"1-grams": (1, 5_000, 1.0, 0.01), "2-grams": (2, 10_000, 1.0, 0.01), "3-grams": (3, 15_000, 0.8, 0.02)}
+
+
+def pipeline(label: str, terms: int = 10_000, least_df: int = 2, most_df: float = 1.0, penalty: float = 0.01) -> Pipeline:
     return Pipeline(
         stages=[
-            StringIndexer(inputCol=label, outputCol="target", stringOrderType="alphabetAsc"),
-            CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=terms, minDF=least_df),
+            StringIndexer(inputCol=label, outputCol="target", stringOrderType="alphabetAsc", handleInvalid="skip"),
+            CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=terms, minDF=least_df, maxDF=most_df if most_df < 1 else float(1 << 62)),
             IDF(inputCol="counts", outputCol="tfidf"),
             Normalizer(inputCol="tfidf", outputCol="features"),
-            LogisticRegression(featuresCol="features", labelCol="target", weightCol="weight", maxIter=20, regParam=0.01),
+            LogisticRegression(featuresCol="features", labelCol="target", weightCol="weight", maxIter=20, regParam=penalty),
         ]
     )
 
 
-def cross_validate(df: DataFrame, text: str, label: str, key: str, folds: int = 5) -> DataFrame:
-    """``fold, n, top1, top3``: accuracy on each fold of a model of the others."""
+def cross_validate(df: DataFrame, text: str, label: str, key: str, folds: int = 5, config: str = "2-grams") -> DataFrame:
+    """``fold, n, top1, top3``: accuracy on each fold of a model of the others. Folds are fitted at the same time."""
+    longest, terms, most_df, penalty = CONFIGS[config]
     # every fold reads the rows again
-    rows = balanced(stratified(grams(df.where(F.col(label).isNotNull() & F.col(text).isNotNull()), text), label, key, folds), label).persist()
-    out = None
-    for k in range(folds):
-        model = pipeline(label).fit(rows.where(F.col("fold") != k))
-        scored = model.transform(rows.where(F.col("fold") == k))
+    rows = balanced(stratified(grams(df.where(F.col(label).isNotNull() & F.col(text).isNotNull()), text, longest), label, key, folds), label).persist()
+
+    def one(k: int) -> tuple:
+        model = pipeline(label, terms, most_df=most_df, penalty=penalty).fit(rows.where(F.col("fold") != k))
         p = vector_to_array("probability")
         better = F.size(F.filter(p, lambda x: x > F.element_at(p, (F.col("target") + 1).cast("int"))))
-        got = scored.agg(F.lit(k).alias("fold"), F.count("*").alias("n"), F.avg((better == 0).cast("double")).alias("top1"), F.avg((better < 3).cast("double")).alias("top3"))
-        out = got if out is None else out.union(got)
-    return out
+        got = model.transform(rows.where(F.col("fold") == k)).agg(F.count("*").alias("n"), F.avg((better == 0).cast("double")).alias("top1"), F.avg((better < 3).cast("double")).alias("top3")).first()
+        return k, got["n"], got["top1"], got["top3"]
+
+    try:
+        with ThreadPoolExecutor(folds) as pool:
+            found = list(pool.map(one, range(folds)))
+    finally:
+        rows.unpersist()
+    return df.sparkSession.createDataFrame(found, "fold int, n long, top1 double, top3 double")
+
+
+def best_config(df: DataFrame, text: str, label: str, key: str, folds: int = 5, configs=tuple(CONFIGS)) -> tuple[str, PipelineModel, dict[str, float]]:
+    """The configuration of the best mean accuracy, the first on a tie; its model of all rows; and all means."""
+    means = {c: cross_validate(df, text, label, key, folds, c).agg(F.avg("top1")).first()[0] for c in configs}
+    best = max(configs, key=lambda c: means[c])
+    longest, terms, most_df, penalty = CONFIGS[best]
+    rows = balanced(grams(df.where(F.col(label).isNotNull() & F.col(text).isNotNull()), text, longest), label)
+    return best, pipeline(label, terms, most_df=most_df, penalty=penalty).fit(rows), means
+
+
+def ranked_labels(scored: DataFrame, model: PipelineModel, key: str, k: int = 10) -> DataFrame:
+    """``key, rank, label, p``: the ``k`` likeliest labels of each scored row, ties by label."""
+    labels = F.array(*[F.lit(x) for x in model.stages[0].labels])
+    pairs = F.zip_with(vector_to_array("probability"), labels, lambda p, x: F.struct((-p).alias("q"), x.alias("label")))
+    return scored.select(key, F.posexplode(F.slice(F.array_sort(pairs), 1, k)).alias("at", "x")).select(key, (F.col("at") + 1).alias("rank"), "x.label", (-F.col("x.q")).alias("p"))
 
 
 def accuracy(df: DataFrame, truth: str, ranked: str) -> DataFrame:

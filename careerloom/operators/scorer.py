@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.norm import substance
+
 #: A scorer takes texts and gives scores from 0 to 1, None where it has none.
 Scorer = Callable[[list[str]], list[float | None]]
 
@@ -19,11 +21,15 @@ def by_length(texts: list[str]) -> list[float | None]:
     return [0.0 if not (n := len(t.strip())) else 0.3 if n < 10 else 0.6 if n <= 100 else 1.0 for t in texts]
 
 
-def score_texts(df: DataFrame, text: str, scorer: Scorer = by_length, out: str = "score", default: float = 0.0, tries: int = 3, wait: float = 2.0, batch: int = 64) -> DataFrame:
-    """Adds scores. Equal texts are scored once; a batch that fails is tried again, with doubled waits, then gets the default.
+def score_texts(df: DataFrame, text: str, scorer: Scorer | None = None, out: str = "score", default: float = 0.0, tries: int = 3, wait: float = 2.0, batch: int = 64) -> DataFrame:
+    """Adds scores: without a scorer, those of the text's length, as an expression.
+
+    For a scorer, equal texts are scored once; a batch that fails is tried again, with doubled waits, then gets the default.
 
     Only texts not in ``df`` twice reach the scorer, and blank ones never do.
     """
+    if scorer is None:
+        return df.withColumn(out, substance(F.col(text)))
     key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     once = df.select(key.alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).dropDuplicates(["_key"])
 
