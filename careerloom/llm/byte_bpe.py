@@ -30,8 +30,8 @@ WORDS = 60_000
 #: Text bytes that a task encodes at once.
 SLICE = 8 << 20
 #: Bytes from which a word is merged with a heap: each round of the query contracts one pair
-#: of a word, so its work grows with the square of a word's length.
-LONG = 256
+#: of a word, so its work grows with the square of a word's length, and its packed places have ten bits.
+LONG = 1000
 
 _ENCODE = """
 create or replace temp table encoded as
