@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careerloom.llm import language_id, quality
-from careerloom.llm.common import held_out, table, written
+from careerloom.llm.common import dropped, held_out, table, written
 from careerloom.llm.ngram_join import keep_one
 from careerloom.llm.packing import best_fit_packing
 from careerloom.llm.suffix_dedup import suffix_dedup
@@ -64,8 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each stage's result is written and read again."""
+    """All stages over the documents; each stage's result is written and read again, and deleted once the next one is there."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        after = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        dropped(docs)
+        docs = after
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    dropped(docs)  # the pieces are a table of their own
+    return packed
