@@ -486,7 +486,9 @@ def _joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
     links = components(_links(docs, members, width, percent), "links")
     dropped(groups, members)
     rows = found.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    return rows.join(links, "node", "left").select("doc_id", "text_hash", "n", "node", F.coalesce("comp", "node").alias("comp"))
+    out = written(rows.join(links, "node", "left").select("doc_id", "text_hash", "n", "node", F.coalesce("comp", "node").alias("comp")), "joined")
+    dropped(found, links)
+    return out
 
 
 def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -499,7 +501,7 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     id is there. An empty table gives no rows. Further columns are not read. Every n-gram of a
     text counts; those of a long text are found part by part.
     """
-    rows = written(_joined(docs, width, percent), "joined")
+    rows = _joined(docs, width, percent)
     # the least id of each class, then of each component: a common class is a partial aggregate
     least = rows.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     with_words = rows.where("n > 0").join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -513,7 +515,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     Of different texts of that id, and of null ids, the one of the least hash stays; of rows equal in id and text, any one.
     Rows without words, null texts too, link with nothing and stay, but for repeated ones. An empty table gives no rows.
     """
-    rows = written(_joined(docs, width, percent), "joined")
+    rows = _joined(docs, width, percent)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     best = rows.where("n > 0").groupBy("comp").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("of_doc"), F.col("x.text_hash").alias("of_text"))
     best = best.unionByName(rows.where("n = 0").select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text")).distinct())

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ids, slices, strings, written
+from .common import dropped, ids, slices, strings, written
 
 LENGTH = 400
 ANCHOR = 160
@@ -368,6 +368,7 @@ def repeat_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -
     whole = found.join(same.where("copies > 1").select("name", "content"), ["name", "content"]).select("doc_id", "text_hash", "start", (F.col("start") + F.col("n")).alias("stop"))
     wanted = same.where("different > 1 or (one.twice and copies = 1)").select("name", "one.*")
     sent = written(_fetched(docs, wanted, length), "fetched")
+    made = [found, same, sent]
     # a name of few spans has one task (salt -1); larger ones are renamed, then dealt
     sizes = same.where(F.col("different") > GROUP).select("name", "different").distinct()
     ready = []
@@ -380,6 +381,7 @@ def repeat_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -
         # places, so they are in different pieces of one name
         kinds = written(pieces.groupBy("name", "content").agg(F.count("*").alias("copies"), F.first(F.struct("gram", "doc_id", "text_hash", "start", "bytes")).alias("one")), "kinds")
         whole = whole.union(pieces.join(kinds.where("copies > 1").select("name", "content"), ["name", "content"]).select("doc_id", "text_hash", "start", (F.col("start") + F.length("bytes") - (length - 1)).alias("stop")))
+        made += [pieces, kinds]
         counts = kinds.groupBy("name").agg(F.count("*").alias("different")).where("different > 1")
         sent = kinds.join(counts.select("name"), "name").select("name", "one.*")
         sizes = counts.where(F.col("different") > GROUP)
@@ -392,7 +394,9 @@ def repeat_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -
     across = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").join(windows.where("not repeat"), "window").select("doc_id", "text_hash", "start", "stop")
     every = whole.unionByName(near).unionByName(across)
     # a set: repeated rows have the same ranges
-    return every.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    out = written(every.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("ranges")), "ranges")
+    dropped(*made, compared)
+    return out
 
 
 def removed_ranges(ranges: list[dict], length: int) -> list[tuple[int, int]]:
