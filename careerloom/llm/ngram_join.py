@@ -431,7 +431,8 @@ def _links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Dat
     placed = members.join(sizes, "comp").withColumn("blocks", F.when(F.col("size") <= GROUP, 1).otherwise(blocks))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"), "node", "comp", "blocks", "block")
     # a text stands for a class; the hash keeps null ids and repeated ids apart
-    joined = docs.join(placed, docs["doc_id"].eqNullSafe(F.col("of_doc")) & (docs["text_hash"] == F.col("of_text"))).select("text", "node", "comp", "blocks", "block")
+    # merged at every size: texts move once, and neither side is held in memory
+    joined = docs.join(placed.hint("merge"), docs["doc_id"].eqNullSafe(F.col("of_doc")) & (docs["text_hash"] == F.col("of_text"))).select("text", "node", "comp", "blocks", "block")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
@@ -520,7 +521,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     best = rows.where("n > 0").groupBy("comp").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("of_doc"), F.col("x.text_hash").alias("of_text"))
     best = best.unionByName(rows.where("n = 0").select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text")).distinct())
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_doc"), F.xxhash64("text").alias("own_text"))
-    out = whole.join(best, F.col("own_doc").eqNullSafe(F.col("of_doc")) & (F.col("own_text") == F.col("of_text")), "left_semi")
+    out = whole.join(best.hint("merge"), F.col("own_doc").eqNullSafe(F.col("of_doc")) & (F.col("own_text") == F.col("of_text")), "left_semi")
     if rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
         out = out.groupBy("own_doc", "own_text").agg(F.first("row").alias("row"))
     return out.select("row.*")
