@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import language_id, quality
+from . import language_id, personal_data, quality
 from .byte_bpe import byte_bpe
 from .common import held_out, table
 from .conversations import damaged, repair
@@ -76,7 +76,13 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20, buckets=10_000, seed=2024)
 
 
-_QUERIES = (op1_token_counts, op2_byte_bpe, op3_near_vectors, op4_html_text, op5_suffix_dedup, op6_fingerprints, op7_language_id, op8_quality, op9_packing, op10_ngram_join, op11_conversations, op12_importance)
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = personal_data.train(personal_data.labelled(docs))
+    return personal_data.digest(personal_data.personal_data(docs, model))
+
+
+_QUERIES = (op1_token_counts, op2_byte_bpe, op3_near_vectors, op4_html_text, op5_suffix_dedup, op6_fingerprints, op7_language_id, op8_quality, op9_packing, op10_ngram_join, op11_conversations, op12_importance, op13_personal_data)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
