@@ -5,14 +5,13 @@ All members of all configurations that share a vectoriser are rows of one matrix
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, StringIndexer
 from pyspark.ml.linalg import Vectors
@@ -20,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ml import balanced, grams, stratified
+from .sums import entries, summed
 
 #: Configurations to choose from: n-grams up to, terms, largest share of documents that a term may be in, strength of fit (C), members that vote.
 CONFIGS: dict[str, tuple[int, int, float, float, tuple[str, ...]]] = {
@@ -36,21 +36,19 @@ PARTS = 3
 EPOCHS, ROUNDS = 5, 25
 #: Rows of a task at least: a fit is many short jobs over the same rows.
 TASK_ROWS = 5_000
-#: Columns of a block of gradients that are summed by one task.
-COLUMNS = 2048
+
+
+def term_vectors(rows: DataFrame, terms: int, least_df: int = 2, most_df: float = 1.0) -> PipelineModel:
+    """Adds ``features``: counts times ln((1 + n) / (1 + df)) + 1, of length one. ``rows`` has ``grams``."""
+    counts = CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=terms, minDF=least_df, maxDF=most_df if most_df < 1 else float(1 << 62)).fit(rows)
+    idf = IDF(inputCol="counts", outputCol="idf").fit(counts.transform(rows).select("counts")).idf.toArray() + 1
+    return PipelineModel([counts, ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="features")])
 
 
 def vectoriser(rows: DataFrame, label: str, terms: int, least_df: int = 2, most_df: float = 1.0) -> PipelineModel:
-    """Adds ``target`` and ``features``: counts times ln((1 + n) / (1 + df)) + 1, of length one. ``rows`` has ``grams``."""
-    first = Pipeline(
-        stages=[
-            StringIndexer(inputCol=label, outputCol="target", stringOrderType="alphabetAsc", handleInvalid="skip"),
-            CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=terms, minDF=least_df, maxDF=most_df if most_df < 1 else float(1 << 62)),
-        ]
-    ).fit(rows)
-    counted = first.transform(rows).select("counts")
-    idf = IDF(inputCol="counts", outputCol="idf").fit(counted).idf.toArray() + 1
-    return PipelineModel([*first.stages, ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="features")])
+    """Adds ``target``, and the ``features`` of ``term_vectors``."""
+    target = StringIndexer(inputCol=label, outputCol="target", stringOrderType="alphabetAsc", handleInvalid="skip").fit(rows)
+    return PipelineModel([target, *term_vectors(rows, terms, least_df, most_df).stages])
 
 
 def sparse(features: str = "features") -> list[Column]:
@@ -62,13 +60,10 @@ def sparse(features: str = "features") -> list[Column]:
 
 def _margins(at: list, x: list, weights: np.ndarray, intercepts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``[row, model]`` margins, and places, values and rows of all entries."""
-    sizes = np.array([len(a) for a in at], np.int64)
-    places = np.concatenate([np.asarray(a, np.int64) for a in at]) if sizes.sum() else np.zeros(0, np.int64)
-    values = np.concatenate([np.asarray(a, float) for a in x]) if sizes.sum() else np.zeros(0)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    out = np.tile(intercepts, (len(sizes), 1))
+    places, values, row = entries(at, x)
+    out = np.tile(intercepts, (len(at), 1))
     for k, w in enumerate(weights):
-        out[:, k] += np.bincount(row, values * w[places], len(sizes))
+        out[:, k] += np.bincount(row, values * w[places], len(at))
     return out, places, values, row
 
 
@@ -80,37 +75,21 @@ def gradients(rows: DataFrame, weights: np.ndarray, intercepts: np.ndarray) -> t
     """Summed gradients of the log-loss by weights and intercepts, and the summed row weights.
 
     ``rows(at, x, target, weight, part)``. Model ``part * classes + class`` tells its class from all others and sees no row of its own part.
-    Each task adds its rows up; blocks of ``COLUMNS`` columns are then added by tasks of their own, so the driver gets one matrix, whatever the table's size.
+    The driver gets one matrix, whatever the table's size.
     """
     models, width = weights.shape
     classes = models // PARTS
-    blocks = -(-width // COLUMNS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, shift, n = np.zeros((models, width)), np.zeros(models), 0.0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            at, x, target, weight, part = (batch.column(k) for k in range(5))
-            m, places, values, row = _margins(at.to_pylist(), x.to_pylist(), weights, intercepts)
-            target, weight, part = (np.asarray(c, float) for c in (target, weight, part))
-            model = np.arange(models)
-            pull = (_logistic(m) - (target[:, None] == model % classes)) * weight[:, None] * (part[:, None] != model // classes)
-            shift += pull.sum(0)
-            n += weight.sum()
-            for k in range(models):
-                total[k] += np.bincount(places, values * pull[row, k], width)
-        if n:
-            sums = [total[:, b * COLUMNS : (b + 1) * COLUMNS].tobytes() for b in range(blocks)] + [np.append(shift, n).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array(range(blocks + 1), pa.int32()), pa.array(sums, pa.binary())], ["block", "sums"])
-
-    def added(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": frame["block"].iloc[:1], "sums": [np.sum([np.frombuffer(s) for s in frame["sums"]], 0).tobytes()]})
-
-    got = {r["block"]: np.frombuffer(r["sums"]) for r in rows.select("at", "x", "target", "weight", "part").mapInArrow(run, "block int, sums binary").groupBy("block").applyInPandas(added, "block int, sums binary").collect()}
-    if not got:
-        return np.zeros_like(weights), np.zeros_like(intercepts), 0.0
-    return np.concatenate([got[b].reshape(models, -1) for b in range(blocks)], 1), got[blocks][:-1], float(got[blocks][-1])
+
+    def part(batch: pa.RecordBatch) -> np.ndarray:
+        at, x, target, weight, mine = (batch.column(k) for k in range(5))
+        m, places, values, row = _margins(at.to_pylist(), x.to_pylist(), weights, intercepts)
+        target, weight, mine = (np.asarray(c, float) for c in (target, weight, mine))
+        model = np.arange(models)
+        pull = (_logistic(m) - (target[:, None] == model % classes)) * weight[:, None] * (mine[:, None] != model // classes)
+        return np.concatenate([*(np.bincount(places, values * pull[row, k], width) for k in range(models)), pull.sum(0), [weight.sum()]])
+
+    got = summed(rows.select("at", "x", "target", "weight", "part"), models * width + models + 1, part)
+    return got[: models * width].reshape(models, width), got[models * width : -1], float(got[-1])
 
 
 def descend(rows: DataFrame, classes: int, width: int, epochs: int | None = None, batches: int = 4, rate: float = 8.0, decay: float = 0.1, penalty: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import corpus as C
+from ..operators import encoder
 from ..operators import match as M
 from ..operators import windows as W
 from ..sources import tables as S
@@ -117,6 +118,49 @@ def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.expand_synonyms(held.select("cand", "skill"), synonyms)
 
 
+#: Chains, a cycle, and two ways of different lengths; a parameter.
+CHAINS = [("brand#1", "brand#2"), ("brand#2", "brand#3"), ("brand#3", "brand#1"), ("brand#x", "brand#4"), ("brand#y", "brand#x"), ("brand#y", "brand#5"), ("brand#z", "brand#y"), ("brand#5", "brand#4")]
+
+
+@query(
+    f"""with recursive {_LISTED}, syn(canonical, alias) as (values {", ".join(map(str, CHAINS))}), own as (select distinct cand, skill from heldg),
+    reach(canonical, alias, steps) as (select canonical, alias, 1 from syn union select s.canonical, r.alias, r.steps + 1 from reach r join syn s on s.alias = r.canonical where r.steps < 10),
+    chain as (select canonical, alias, min(steps) as steps from reach where canonical <> alias group by 1, 2)
+    select cand, skill, 1.0::double as weight, 0 as steps from own union all
+    select cand, canonical, 1.5::double, min(steps) from own join chain on alias = skill where not exists (select 1 from own o where o.cand = own.cand and o.skill = canonical) group by 1, 2"""
+)
+def synonym_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synonyms over chains, where ``synonym_expand`` takes one step."""
+    _, _, _, held = _parts(spark, sf_dir)
+    chains = C.synonym_chains(spark.createDataFrame(CHAINS, "canonical string, alias string"), S.stored)
+    return C.expand_chains(held.select("cand", "skill"), chains)
+
+
+def _growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of orders up to 1996, as a table that was kept, merged with those of the orders since."""
+    listed = _listed(spark, sf_dir)
+    orders = S.read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("grp"), (F.year("o_orderdate") <= 1996).alias("old"))
+    parts = []
+    for old in (True, False):
+        mine = orders.where(F.col("old") == old)
+        sets = listed.select("grp", "posting", "skill").join(mine.select(F.col("o_orderkey").alias("posting")), "posting", "left_semi").select("grp", "posting", "skill").distinct()
+        counts = C.corpus_counts(sets, mine.groupBy("grp").agg(F.count("*").alias("n")))
+        parts.append(S.stored(counts, "corpus-counts") if old else counts)
+    return C.merged_counts(*parts)
+
+
+@query(f"with {_LISTED} select grp, skill, df, n, round(idf, 6) as idf from freq")
+def frequency_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of ``doc_frequency_idf`` from kept counts and those of new postings."""
+    return C.counted_frequency(_growing(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
+
+
+@query(f"with {_LISTED}, {_PAIRS} select grp, a, b, together, round(pmi, 3) as pmi from pmi where pmi > 0.15")
+def pmi_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of ``pmi_pairs`` from kept counts and those of new postings."""
+    return C.counted_information(S.stored(_growing(spark, sf_dir), "merged-counts")).withColumn("pmi", F.round("pmi", 3))
+
+
 _TOKENS = f"tok as (select doc_id as doc, token, count(*) as c from (select doc_id, unnest({WORDS.format(t='text')}) as token from documents) group by 1, 2)"
 
 
@@ -324,3 +368,12 @@ def median_idf_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, freq, held = _parts(spark, sf_dir)
     own = held.join(freq, ["grp", "skill"]).select("cand", "skill", "idf", F.when(F.col("skill").contains("#1"), 2).otherwise(1).alias("words"))
     return C.noise_filter(own).select("cand", "skill", F.round("idf", 6).alias("idf"))
+
+
+@query()
+def text_embedding_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of functions by the likeness of texts to occupations, by an encoder fitted on the documents."""
+    docs = S.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    occupations = S.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("occ"), "text")
+    model = encoder.fit(docs, "text")
+    return encoder.embedding_signal(docs, occupations, _functions(occupations), model).withColumn("p", F.round("p", 4))

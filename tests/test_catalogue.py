@@ -15,7 +15,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_queries_without_sql_are_tested_here():
-    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"classifier_choice", "classifier_cv", "fuzzy_sequence_match", "hash_sample_tail", "top_with_tail"}
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"classifier_choice", "classifier_cv", "fuzzy_sequence_match", "hash_sample_tail", "text_embedding_signal", "top_with_tail"}
 
 
 def test_sequence_matches_equal_all_pairs(spark):
