@@ -135,20 +135,25 @@ def joined_text(df: DataFrame, by: list[str], order: str, text: str, out: str =
     return df.groupBy(*by).agg(F.concat_ws(sep, F.transform(F.array_sort(F.collect_list(F.when(t.isNotNull(), F.struct(order, text)))), lambda x: x[text])).alias(out))
 
 
-def merge_fields(survey: DataFrame, docs: DataFrame) -> DataFrame:
-    """Survey and document values of each field: ``entity, field, value, merged_from``.
+def merged_from(s: Column, d: Column) -> Column:
+    """Whose value a field takes: ``survey``, or the document's as ``filled`` or ``override``.
 
-    A missing survey value is filled; a false one gives way to "TRUE" or "YES", and a smaller
-    number to a larger one. ``survey(entity, field, value)``, ``docs(entity, field, value)``.
+    A missing survey value is filled; a false one gives way to "TRUE" or "YES", and a smaller number to a larger one.
     """
-    a, b = survey.withColumnRenamed("value", "s"), docs.withColumnRenamed("value", "d")
     num = lambda c: F.trim(c).try_cast("double")
-    none = F.col("s").isNull()
-    falsy = none | F.lower(F.trim("s")).isin("", "false", "no", "0", "0.0", "nan", "none")
-    yes = F.upper(F.trim("d")).isin("TRUE", "YES")
-    larger = num(F.col("d")) > F.when(falsy, 0.0).otherwise(num(F.col("s")))
-    how = F.when(F.col("d").isNull(), "survey").when(none, "filled").when((yes & falsy) | F.coalesce(larger, F.lit(False)), "override").otherwise("survey")
-    out = a.join(b, ["entity", "field"], "full").withColumn("merged_from", how)
+    none = s.isNull()
+    falsy = none | F.lower(F.trim(s)).isin("", "false", "no", "0", "0.0", "nan", "none")
+    yes = F.upper(F.trim(d)).isin("TRUE", "YES")
+    larger = num(d) > F.when(falsy, 0.0).otherwise(num(s))
+    return F.when(d.isNull(), "survey").when(none, "filled").when((yes & falsy) | F.coalesce(larger, F.lit(False)), "override").otherwise("survey")
+
+
+def merge_fields(survey: DataFrame, docs: DataFrame) -> DataFrame:
+    """Survey and document values of each field, by ``merged_from``: ``entity, field, value, merged_from``.
+
+    ``survey(entity, field, value)``, ``docs(entity, field, value)``.
+    """
+    out = survey.withColumnRenamed("value", "s").join(docs.withColumnRenamed("value", "d"), ["entity", "field"], "full").withColumn("merged_from", merged_from(F.col("s"), F.col("d")))
     return out.select("entity", "field", F.when(F.col("merged_from") == "survey", F.col("s")).otherwise(F.col("d")).alias("value"), "merged_from")
 
 

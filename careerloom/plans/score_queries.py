@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import norm as N
 from ..functions import text as T
 from ..operators import report as R
+from ..operators import rescore as E
 from ..operators import score as P
 from ..operators import windows as W
 from ..sources import tables as S
@@ -332,3 +333,52 @@ def report_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hash_sample_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.hash_sample(S.read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 50)
 
+
+
+#: Fields that documents speak of; the document's answer is picked by the order's key.
+_TOLD = ["community", "diverse", "introduced", "pursue", "more_prepared", "ready", "stronger", "prepared"]
+
+
+def _told(k: int) -> str:
+    return f"case when o_orderpriority in ('1-URGENT', '2-HIGH') then case (o_orderkey + {k}) % 5 when 0 then '4' when 1 then 'True' when 2 then null when 3 then 'yes' else '12' end end"
+
+
+def _rescored_sql() -> str:
+    fields = sorted({*_GC, *_RFF})
+    falsy = "lower(trim({s})) in ('', 'false', 'no', '0', '0.0', 'nan', 'none')"
+
+    def merged(f: str) -> str:
+        if f not in _TOLD:
+            return f"f_{f}"
+        s, d = f"f_{f}", f"d_{f}"
+        no = falsy.format(s=s)
+        larger = f"coalesce(try_cast(trim({d}) as double) > case when {s} is null or {no} then 0.0 else try_cast(trim({s}) as double) end, false)"
+        return f"case when {d} is null then {s} when {s} is null then {d} when (upper(trim({d})) in ('TRUE', 'YES') and {no}) or {larger} then {d} else {s} end"
+
+    def score(parts: dict[str, str], weights: tuple) -> str:
+        return Q.half_even(Q.total([(w, f"({parts[k]})") for w, k in zip(weights, ("d1", "d2", "d3", "d4", "d5"), strict=True)]) + " * 100", 1)
+
+    gc, rff = score(_gc_sql("agent"), (0.30, 0.20, 0.20, 0.20, 0.10)), score(_rff_sql("agent"), (0.25, 0.25, 0.25, 0.25, 0.0))
+    moved = lambda names: " or ".join(f"m.f_{f} is distinct from s.f_{f}" for f in names if f in _TOLD)
+    return f"""with s as ({survey_sql(fields)}), t as (select o_orderkey as student, {', '.join(f'{_told(k)} as d_{f}' for k, f in enumerate(_TOLD))} from orders),
+    m as (select student, {', '.join(f'{merged(f)} as f_{f}' for f in fields)} from s join t using (student)),
+    b as (select student, {gc} as gc, {rff} as rff from s), a as (select student, {gc} as gc, {rff} as rff from m)
+    select student, a.gc, a.rff, case when a.gc = b.gc then 'survey' else 'survey+docs' end as gc_source, case when a.rff = b.rff then 'survey' else 'survey+docs' end as rff_source,
+      list_filter([case when {moved(_GC)} then 'gc' end, case when {moved(_RFF)} then 'rff' end], lambda x: x is not null) as scored_anew
+    from a join b using (student) join m using (student) join s using (student)"""
+
+
+def _pillars() -> E.Pillars:
+    part = lambda make: lambda c: make(c, "agent")["score"]
+    return {"gc": (_GC, part(P.global_citizen)), "rff": (_RFF, part(P.future_focused))}
+
+
+@query(_rescored_sql())
+def rescored_pillars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pillars after documents have filled and overridden fields; the scores of the survey alone are the ones from before."""
+    fields = sorted({*_GC, *_RFF})
+    survey = _survey(spark, sf_dir, fields).select("student", *[F.col(f"f_{f}").alias(f) for f in fields])
+    docs = S.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("student"), *[F.expr(_told(k)).alias(f) for k, f in enumerate(_TOLD)])
+    before = S.stored(E.scored(survey, "student", _pillars()), "survey-scores")
+    after = E.rescored(E.with_documents(survey, docs, "student", fields), before, "student", _pillars())
+    return E.with_sources(after, before, "student", _pillars()).select("student", "gc", "rff", "gc_source", "rff_source", "scored_anew")
