@@ -7,6 +7,8 @@ cluster. The innermost element that leaves out no line of the cluster and no hea
 main on the way to it, is the content region: all its blocks are kept, short ones too. Blocks within elements that by their name or their
 class, id or role are menus, page headers, footers, sidebars, notices, adverts, forms or
 reader comments count as zero and are never kept; nor is the text of inline elements that are hidden or named as adverts.
+Within an article, a name may be that of the article's subject: unless it is an advert's, an element so named is left out only if much of its text is links or
+none of its lines is in the cluster by itself.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ _HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|sidebars?|side-?bar|menus?|nav|navbar|navigation|breadcrumbs?|footers?|site-?header|page-?header|masthead|topbar|cookies?|consent|notices?|alerts?|popups?|modal|overlay|subscribe|subscription|newsletter|signup|login|related|recommended|share|sharing|social|widgets?|pagination|pager|skip|complementary|contentinfo)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Share of an element's characters that are links, from which a doubtful name is believed.
+LINKED = 1 / 3
+#: Names that are believed within articles too.
+_FIRM = re.compile(r"(?:^|\s)(?:ads?|advert\w*|ad-\w+|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|popups?|modal|overlay|subscribe|subscription|newsletter)(?:$|\s)", re.IGNORECASE)
 #: An article of its own that is an advert or a teaser.
 _TEASER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsored|promo|related|recommended|teaser)(?:$|[\s_-])", re.IGNORECASE)
 _HEADER = re.compile(r"(?:^|\s)header(?:\s|$)", re.IGNORECASE)
@@ -57,7 +63,11 @@ class _Page(HTMLParser):
         self.open: dict[str, int] = {}  # open elements by name
         # of each element: parent, name, whether boilerplate, reader comments, within an article, its way up cleared
         self.parent, self.name, self.boiler, self.comments, self.inside, self.freed = [-1], [""], [False], [False], [False], [True]
+        self.doubt = [False]  # by its name boilerplate, but within an article
         self.lines: list[tuple[str, int, int]] = []  # text, tags, element
+        self.linked: list[int] = []  # characters of each line that are links, white space apart
+        self.links = 0
+        self.link: int | None = None  # depth of the stack at an open link
         self.text: list[str] = []
         self.tags = 0
         self.unseen = 0
@@ -68,7 +78,9 @@ class _Page(HTMLParser):
         self.text.clear()
         if line:
             self.lines.append((line, self.tags, self.stack[-1][1] if self.stack else 0))
+            self.linked.append(self.links)
             self.tags = 0
+        self.links = 0
 
     def _push(self, tag: str, element: int) -> None:
         self.stack.append((tag, element))
@@ -80,6 +92,8 @@ class _Page(HTMLParser):
         self.unseen -= tag in UNSEEN
         if self.inline and len(self.stack) < self.inline[2]:
             self.inline = None
+        if self.link is not None and len(self.stack) < self.link:
+            self.link = None
 
     @staticmethod
     def _said(attrs: list[tuple[str, str | None]]) -> tuple[str, bool]:
@@ -102,6 +116,8 @@ class _Page(HTMLParser):
             return
         if tag == "body" and self.unseen:
             self._leave_unseen()
+        if tag == "a":
+            self.link = len(self.stack)
         if tag not in BLOCK:
             if self.inline:
                 if self.inline[0] == tag:
@@ -123,9 +139,12 @@ class _Page(HTMLParser):
         inside = self.inside[up] or self.name[up] in ("article", "main")
         whole = tag in ("html", "body", "article", "main")
         boiler = tag in BOILER or hidden or (not inside and (tag == "header" or bool(words and not whole and _HEADER.search(words))))
+        doubt = False
         if words and not boiler:
-            boiler = bool(_TEASER.search(words)) if tag == "article" else not whole and bool(_HINT.search(words) or (not inside and _OUTER.search(words)))
-        if tag == "p" and not boiler and not talk:
+            hint = not whole and bool(_HINT.search(words))
+            doubt = hint and inside and not _FIRM.search(words)
+            boiler = bool(_TEASER.search(words)) if tag == "article" else hint and not doubt or (not whole and not inside and bool(_OUTER.search(words)))
+        if tag == "p" and not boiler and not talk and not doubt:
             return  # its text is its parent's
         if tag in ("article", "main") and not talk and not boiler:
             self._free(up)
@@ -133,6 +152,7 @@ class _Page(HTMLParser):
         self.name.append(tag)
         self.boiler.append(boiler)
         self.comments.append(talk)
+        self.doubt.append(doubt)
         self.inside.append(inside)
         self.freed.append(False)
         self._push(tag, len(self.name) - 1)
@@ -162,7 +182,9 @@ class _Page(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.flush()
-        elif self.inline and self.inline[0] == tag:
+        elif tag == "a":
+            self.link = None
+        if tag not in BLOCK and self.inline and self.inline[0] == tag:
             self.inline = (tag, self.inline[1] - 1, self.inline[2]) if self.inline[1] > 1 else None
         if (tag in BLOCK or tag in UNSEEN) and self.open.get(tag):
             while self.stack[-1][0] != tag:
@@ -172,6 +194,8 @@ class _Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.unseen and not self.inline:
             self.text.append(data)
+            if self.link is not None:
+                self.links += len("".join(data.split()))
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -198,6 +222,23 @@ def main_text(html: str) -> str:
     ratios = smoothed(np.array([0.0 if barred[e] else len(t) / max(1, n) for t, n, e in page.lines]))
     kept = np.array([not barred[e] for _, _, e in page.lines])
     cluster = kept & (ratios >= LEVEL * ratios[kept].mean())
+    if any(page.doubt):
+        # characters, linked ones, and lines in the cluster that are not there for their neighbours alone
+        least = LEVEL * ratios[kept].mean()
+        chars, linked, dense = ([0] * len(page.name) for _ in range(3))
+        for (t, tags, e), n, is_dense in zip(page.lines, page.linked, cluster, strict=True):
+            chars[e] += len(t.replace(" ", ""))
+            linked[e] += n
+            dense[e] += bool(is_dense and len(t) >= least * max(1, tags))
+        for k in range(len(page.name) - 1, 0, -1):
+            for sums in (chars, linked, dense):
+                sums[page.parent[k]] += sums[k]
+        for k in range(1, len(page.name)):
+            barred[k] = barred[k] or barred[page.parent[k]] or (page.doubt[k] and (not dense[k] or linked[k] >= LINKED * chars[k]))
+        kept &= np.array([not barred[e] for _, _, e in page.lines])
+        cluster &= kept
+        if not kept.any():
+            return ""
     needed = [0] * len(page.name)
     for (_, _, e), inside, is_open in zip(page.lines, cluster, kept, strict=True):
         needed[e] += bool(inside or (is_open and page.name[e] in ("h1", "h2", "h3", "h4", "h5", "h6")))

@@ -35,6 +35,23 @@ def test_main_text():
     assert html_text.main_text("just text, no tags") == "just text, no tags"
 
 
+def test_names_inside_articles_are_held_against_the_ratio():
+    body = "The long body of the section tells of sails and ports, and of what was bought there."
+    parts = {
+        f'<section id="navigation"><h2>At sea</h2><p>{body}</p></section>': ["At sea", body],
+        f'<div class="share-prices"><p>{body}</p></div>': [body],
+        f'<section class="related"><p>{body}</p></section>': [body],
+        '<section class="related"><h3>Related</h3><ul><li><a href="/a">One other text of many words</a></li><li><a>Two other texts</a></li></ul></section>': [],
+        f'<div class="related"><a href="/x">{body}</a> by Ann</div>': [],
+        f'<div class="share"><a>Tweet</a></div><div class="menu">Home</div><div class="ad">{body}</div><div class="newsletter box">{body}</div>': [],
+    }
+    for part, kept in parts.items():
+        page = f"<nav><a>Home</a></nav><article><h1>Sails</h1><p>{body} One.</p>{part}<p>{body} Two.</p></article>"
+        assert html_text.main_text(page).split("\n") == ["Sails", body + " One.", *kept, body + " Two."]
+    # outside an article a name is enough
+    assert html_text.main_text(f'<div><p>{body}</p></div><div class="related"><p>{body}</p></div>') == body
+
+
 def test_heading_and_lead_beside_a_long_part():
     lead, long = "<h1>T</h1><p>A lead paragraph of plain words here.</p>", "<p>A paragraph of plain words here, longer than the lead.</p>" * 30
     for page in (f"<article>{lead}<div>{long}</div></article>", f"<div><div>{lead}</div><section>{long}</section></div>"):
