@@ -29,6 +29,20 @@ def parquet_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.pruned(line, ["l_orderkey", "l_extendedprice"], (F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp")) & F.col("l_discount").between(0.05, 0.07))
 
 
+_LEVEL = "case l_linenumber when 1 then 'Intern' when 2 then 'ENTRY' when 3 then null when 4 then 'senior' else 'staff' end"
+_COUNTRY = "case l_returnflag when 'N' then 'us' when 'A' then 'DE' end"
+
+
+@query(f"select l_orderkey || '-' || l_linenumber as id, l_returnflag || l_linestatus as function, {_LEVEL} as level, {_COUNTRY} as country_code from lineitem where lower(l_returnflag || l_linestatus) = 'no' and lower(coalesce({_LEVEL}, '')) in ('intern', 'entry', 'junior', '') and upper(coalesce({_COUNTRY}, '')) in ('US', '')")
+def clustered_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entry-level postings of a function, from a corpus that is written in the order of what is asked for."""
+    lines = S.read(spark, sf_dir, "lineitem")
+    postings = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.concat("l_returnflag", "l_linestatus").alias("function"), F.expr(_LEVEL).alias("level"), F.expr(_COUNTRY).alias("country_code"))
+    path = S.shared_path(spark, "clustered-postings")
+    S.write_clustered(postings, path)
+    return S.clustered_entry_postings(spark, path, ["No"])
+
+
 @query(
     """select cast(doc_id as varchar) as id, lang as function, source as level from documents
     union all select 'part-' || p_partkey, lower(p_type), 'entry' from part

@@ -33,21 +33,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the folder that driver and executors share, for what several branches of a plan read.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share.
 
     The folder is ``spark.checkpoint.dir``; where it is unset and all runs in one process, a temporary one.
     """
-    spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='careerloom-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/careerloom/{name}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/careerloom/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table at a shared path, for what several branches of a plan read."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def pruned(df: DataFrame, columns: list[str], where: Column) -> DataFrame:
@@ -74,6 +78,26 @@ def write_by_function(postings: DataFrame, path: str) -> None:
     postings.repartition("function").write.mode("overwrite").partitionBy("function").parquet(path)
 
 
+def write_clustered(postings: DataFrame, path: str, group_rows: int = 20_000) -> None:
+    """Postings in the order of function, level and country, so that the statistics of row groups leave out all others.
+
+    ``function_key``, ``level_key`` and ``country_key`` are the columns without regard to case, null as empty, and come first in the files: a filter on a
+    function of a column could not reach the scan. Ranges are cut by a hash of the id too, so a function that holds a third of all rows lies in many files; groups hold
+    ``group_rows`` rows at most.
+    """
+    keys = {"function_key": F.lower(F.coalesce("function", F.lit(""))), "level_key": F.lower(F.coalesce("level", F.lit(""))), "country_key": F.upper(F.coalesce("country_code", F.lit("")))}
+    keyed = postings.select(*[c.alias(k) for k, c in keys.items()], *postings.columns)
+    order = [*keys, F.xxhash64("id")]
+    keyed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("parquet.block.row.count.limit", group_rows).parquet(path)
+
+
+def clustered_entry_postings(spark: SparkSession, path: str, functions: list[str]) -> DataFrame:
+    """``entry_postings`` of a corpus that ``write_clustered`` wrote: all three filters reach the scan and its row groups."""
+    keyed = spark.read.parquet(path)
+    wanted = F.col("function_key").isin([f.lower() for f in functions]) & F.col("level_key").isin(*ENTRY_LEVELS, "") & F.col("country_key").isin("US", "")
+    return keyed.where(wanted).drop("function_key", "level_key", "country_key")
+
+
 def resolve_partition(df: DataFrame, wanted: str, existing: DataFrame, key: str, fallback: DataFrame) -> DataFrame:
     """Adds ``resolved``: the wanted partition if it exists, else its fallback if that exists, else null.
 

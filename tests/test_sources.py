@@ -98,3 +98,36 @@ def test_prompts_and_reasoning(spark):
     assert {r.reasoning for r in scorer.reasoned(rows, "id", "pillar", ["EC", "GC"]).collect()} == {"Score derived from survey.", "Score derived from survey+docs."}
     said = scorer.reasoned(rows, "id", "pillar", ["EC", "GC"], lambda row, notes: None if row["pillar"] == "RFF" else f"{row['pillar']} after {len(notes)}").collect()
     assert {(r.id, r.pillar, r.reasoning) for r in said} == {(1, "EC", "EC after 0"), (1, "GC", "GC after 1"), (2, "RFF", "Score derived from survey.")}
+
+
+def test_clustered_postings_read_few_row_groups(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from careerloom.sources import tables as S
+
+    functions = [f"Func{k}" for k in range(12)]
+    k = F.col("id")
+    # a third of all rows has one function
+    name = F.when(k % 3 == 0, "Func0").otherwise(F.element_at(F.array(*[F.lit(f) for f in functions]), (k % 11 + 2).cast("int")))
+    postings = spark.range(6000).select(k.cast("string").alias("id"), name.alias("function"), F.element_at(F.array(*[F.lit(x) for x in ("ENTRY", "senior", "", "Staff")]), (k % 4 + 1).cast("int")).alias("level"), F.when(k % 5 > 0, "us").when(k % 10 == 0, "DE").alias("country_code"))
+    postings = postings.union(spark.createDataFrame([("x", None, None, None)], "id string, function string, level string, country_code string"))
+    path = str(tmp_path / "corpus")
+    S.write_clustered(postings, path, group_rows=50)
+    for wanted in (["func3"], ["FUNC0"], ["func5", "func7"], ["none"]):
+        want = S.entry_postings(postings, wanted)
+        got = S.clustered_entry_postings(spark, path, wanted)
+        assert got.columns == postings.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "In(function_key" in plan.split("PushedFilters")[-1] or "EqualTo(function_key" in plan.split("PushedFilters")[-1]
+    # row groups whose ranges the filters allow, by the files' own statistics
+    read = every = 0
+    for f in glob.glob(f"{path}/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            ends = [meta.row_group(g).column(c).statistics for c in range(3)]
+            every += 1
+            read += ends[0].min <= "func3" <= ends[0].max and any(ends[1].min <= x <= ends[1].max for x in (*S.ENTRY_LEVELS, "")) and any(ends[2].min <= x <= ends[2].max for x in ("US", ""))
+    assert every > 100 and read <= every / 10
