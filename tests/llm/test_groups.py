@@ -238,3 +238,18 @@ def test_small_pairs_missed_beside_a_hot_group(spark, monkeypatch):
 def test_query_equals_sql(spark, duck, name):
     df = corpus_queries.queries()[name](spark, SMALL)
     rows_equal([tuple(r) for r in df.collect()], df.columns, duck.execute(corpus_queries.oracle_sql()[name]))
+
+
+def test_audit_ends_where_nothing_links(spark, monkeypatch):
+    """No more queries than ``ASKED`` are asked, and a table beyond them is never compared whole."""
+    rng = np.random.default_rng(12)
+    rows = [(k, [float(x) for x in rng.standard_normal(24)]) for k in range(400)]
+    asked = []
+    whole = near_vectors._asked
+    monkeypatch.setattr(near_vectors, "_asked", lambda nodes, lo, hi: asked.append(hi - lo) or whole(nodes, lo, hi))
+    monkeypatch.setattr(near_vectors, "ASKED", 100)
+    monkeypatch.setattr(near_vectors, "QUERIES", 30)
+    monkeypatch.setattr(near_vectors, "compared", None)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, near_vectors.near_vectors(df).collect()))
+    assert got == [(k, 0, k, True) for k in range(400)] and abs(sum(asked) - 0.25) < 1e-9
