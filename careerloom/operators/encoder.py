@@ -23,12 +23,21 @@ from .sums import entries, summed
 SPREAD = 1 << 15
 
 
-def _through(at: list, x: list, basis: np.ndarray) -> np.ndarray:
+def _through(at: list | pa.Array, x: list | pa.Array, basis: np.ndarray) -> np.ndarray:
     """Sparse rows times the basis."""
     places, values, row = entries(at, x)
-    out = np.zeros((len(at), basis.shape[1]))
-    for k in range(0, len(places), SPREAD):
-        np.add.at(out, row[k : k + SPREAD], values[k : k + SPREAD, None] * basis[places[k : k + SPREAD]])
+    sizes = np.bincount(row, minlength=len(at))
+    ends = np.cumsum(sizes)
+    out, k = np.zeros((len(at), basis.shape[1])), 0
+    while k < len(at):
+        # rows of about SPREAD entries
+        first = int(ends[k] - sizes[k])
+        stop = max(k + 1, int(np.searchsorted(ends, first + SPREAD, "right")))
+        full = np.flatnonzero(sizes[k:stop]) + k
+        if len(full):
+            some = slice(first, int(ends[stop - 1]))
+            out[full] = np.add.reduceat(values[some, None] * basis[places[some]], ends[full] - sizes[full] - first)
+        k = stop
     return out
 
 
@@ -43,7 +52,7 @@ def decomposed(rows: DataFrame, width: int, size: int, extra: int = 8, passes: i
     before = np.zeros(many)
 
     def part(batch: pa.RecordBatch, basis: np.ndarray) -> np.ndarray:
-        at, x = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        at, x = batch.column(0), batch.column(1)
         image = _through(at, x, basis)
         places, values, row = entries(at, x)
         return np.stack([np.bincount(places, values * image[row, k], width) for k in range(many)]).ravel()
@@ -103,7 +112,28 @@ def document_vectors(docs: DataFrame, encoder: Encoder, width: int = 500, title_
 
 
 def embedding_signal(docs: DataFrame, occupations: DataFrame, functions: DataFrame, encoder: Encoder) -> DataFrame:
-    """``doc, func, p``: shares of functions by the best occupation's likeness to the text. ``docs(doc, text)``, ``occupations(occ, text)``, ``functions(occ, func)``."""
+    """``doc, func, p``: shares of functions by the best occupation's likeness to the text. ``docs(doc, text)``, ``occupations(occ, text)``, ``functions(occ, func)``.
+
+    Up to ``match.QUERIES`` occupations, by a count, are one matrix, and a document's scores never are rows; more are joined in blocks.
+    """
     known = encoder.encode(occupations.select(F.col("occ").alias("doc"), "text"), "text", "q").select("doc", "q")
-    scores = match.similar(known, document_vectors(docs, encoder).withColumnRenamed("doc", "occ"))
-    return match.roll_up(scores.select(F.col("occ").alias("doc"), F.col("doc").alias("occ"), "score"), functions, "max")
+    vectors = document_vectors(docs, encoder)
+    if occupations.count() > match.QUERIES:
+        scores = match.similar(known, vectors.withColumnRenamed("doc", "occ"))
+        return match.roll_up(scores.select(F.col("occ").alias("doc"), F.col("doc").alias("occ"), "score"), functions, "max")
+    rows = known.withColumnRenamed("doc", "occ").join(functions.where("func <> 'unmapped'"), "occ").select("func", "q").collect()
+    names = sorted({r["func"] for r in rows})
+    of = np.array([names.index(r["func"]) for r in rows], np.int64)
+    order = np.argsort(of, kind="stable")
+    table, starts = np.array([r["q"] for r in rows])[order], np.flatnonzero(np.diff(of[order], prepend=-1))
+
+    @F.pandas_udf("array<double>")
+    def shares(v: pd.Series) -> pd.Series:
+        best = np.maximum(np.maximum.reduceat(np.stack(v.tolist()) @ table.T, starts, axis=1), 0)
+        total = best.sum(1, keepdims=True)
+        return pd.Series(list(best / np.where(total > 0, total, 1)))
+
+    if not names:
+        return vectors.select("doc", F.lit(None).cast("string").alias("func"), F.lit(0.0).alias("p")).limit(0)
+    told = F.posexplode(shares("v")).alias("at", "p")
+    return vectors.select("doc", told).select("doc", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("at") + 1).alias("func"), "p")

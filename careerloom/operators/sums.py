@@ -32,9 +32,13 @@ def summed(rows: DataFrame, size: int, part: Callable[[pa.RecordBatch], np.ndarr
     return np.concatenate([np.frombuffer(r["sums"]) for r in sorted(got, key=lambda r: r["block"])]) if got else np.zeros(size)
 
 
-def entries(at: list, x: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def entries(at: list | pa.Array, x: list | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places, values and row numbers of sparse rows."""
-    sizes = np.array([len(a) for a in at], np.int64)
-    places = np.concatenate([np.asarray(a, np.int64) for a in at]) if sizes.sum() else np.zeros(0, np.int64)
-    values = np.concatenate([np.asarray(a, float) for a in x]) if sizes.sum() else np.zeros(0)
+    if isinstance(at, pa.Array):
+        sizes = np.diff(np.asarray(at.offsets)).astype(np.int64)
+        places, values = np.asarray(at.flatten()).astype(np.int64), np.asarray(x.flatten()).astype(float)
+    else:
+        sizes = np.array([len(a) for a in at], np.int64)
+        places = np.concatenate([np.asarray(a, np.int64) for a in at]) if sizes.sum() else np.zeros(0, np.int64)
+        values = np.concatenate([np.asarray(a, float) for a in x]) if sizes.sum() else np.zeros(0)
     return places, values, np.repeat(np.arange(len(sizes)), sizes)

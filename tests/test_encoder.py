@@ -45,7 +45,7 @@ def test_rank_and_empty_rows(spark):
     assert np.allclose(values, [np.sqrt(125), 0, 0]) and np.allclose(abs(basis[:, 0]), [0.6, 0, 0.8, 0]) and not basis[:, 1:].any()
 
 
-def test_vectors_of_texts_reach_the_functions(spark):
+def test_vectors_of_texts_reach_the_functions(spark, monkeypatch):
     rng = random.Random(4)
     sets = {"fruit": "apple pear plum sweet ripe", "ship": "sea sail mast port deck"}
     texts = [(k, " ".join(rng.choices(sets["fruit" if k % 2 else "ship"].split(), k=40))) for k in range(30)]
@@ -69,6 +69,10 @@ def test_vectors_of_texts_reach_the_functions(spark):
     functions = spark.createDataFrame([(1, "fruit"), (2, "ship"), (3, "unmapped")], "occ long, func string")
     p = {(r.doc, r.func): r.p for r in encoder.embedding_signal(docs, occupations, functions, model).collect()}
     assert all(p[k, "fruit"] > 0.7 if k % 2 else p[k, "ship"] > 0.7 for k, _ in texts) and p[98, "ship"] == p[98, "fruit"] == 0
+    # the same when there are more occupations than one matrix holds
+    monkeypatch.setattr(match, "QUERIES", 2)
+    joined = {(r.doc, r.func): r.p for r in encoder.embedding_signal(docs, occupations, functions, model).collect()}
+    assert joined.keys() == p.keys() and all(abs(joined[k] - p[k]) < 1e-9 for k in p)
     # a job title counts twice
     text = "Apple Ripe Picker at Port\nsea sail mast"
     (one,) = encoder.document_vectors(spark.createDataFrame([(1, text)], "doc long, text string"), model).collect()
