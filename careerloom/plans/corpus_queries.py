@@ -248,7 +248,7 @@ def weighted_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SIG = """sig as (select o_custkey as doc, case o_orderstatus when 'F' then 1 when 'O' then 2 else 3 end as signal, o_orderpriority as func, sum(o_totalprice) as s from orders group by 1, 2, 3
-  union all select o_custkey, 4, o_orderpriority, count(*)::double from orders where o_custkey % 2 = 0 group by 1, 2, 3),
+  union all select o_custkey, 4, o_orderpriority, count(*)::double from orders where o_orderdate >= timestamp '2000-06-01' group by 1, 2, 3),
 signals as (select doc, signal, func, s / sum(s) over (partition by doc, signal) as p from sig)"""
 
 
@@ -271,11 +271,11 @@ def ensemble_vote_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four signals of each customer: shares of the priorities by status, and by count for every second one."""
+    """Four signals of each customer: shares of the priorities by status, and by count among late orders, which some have none of."""
     orders = S.read(spark, sf_dir, "orders")
     signal = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
     one = orders.groupBy(F.col("o_custkey").alias("doc"), signal.alias("signal"), F.col("o_orderpriority").alias("func")).agg(F.sum("o_totalprice").alias("s"))
-    four = orders.where(F.col("o_custkey") % 2 == 0).groupBy(F.col("o_custkey").alias("doc"), F.lit(4).alias("signal"), F.col("o_orderpriority").alias("func")).agg(F.count("*").cast("double").alias("s"))
+    four = orders.where(F.col("o_orderdate") >= F.lit("2000-06-01").cast("timestamp")).groupBy(F.col("o_custkey").alias("doc"), F.lit(4).alias("signal"), F.col("o_orderpriority").alias("func")).agg(F.count("*").cast("double").alias("s"))
     return one.union(four).withColumn("p", F.col("s") / F.sum("s").over(W.Window.partitionBy("doc", "signal"))).drop("s")
 
 
