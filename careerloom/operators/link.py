@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
+from ..sources import tables as S
 
 
 def resolve_entities(people: DataFrame, records: DataFrame) -> DataFrame:
@@ -80,18 +81,54 @@ def _candidates(left: DataFrame, right: DataFrame, cutoff: float, prefix) -> Dat
     return a.join(b, "gram").where(F.least(n, m) >= cutoff / (2 - cutoff) * F.greatest(n, m) - 1e-9).select("l", "r").distinct()
 
 
-def fuzzy_best(left: DataFrame, right: DataFrame, cutoff: float = 0.8) -> DataFrame:
+#: Edits within which matches are sought first, one stage after the other.
+STAGES = (1, 3)
+
+
+def _within(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """``l, r, edits``: all pairs of at most ``k`` edits, some of them repeatedly.
+
+    A text cut into k + 1 segments keeps one of them whole through k edits, moved by k places at most. So names meet where a segment of the one is a piece
+    of the other at about its place, for each difference of lengths. A text of fewer characters than segments has empty ones, which are in every short text.
+    """
+    segments = F.sequence(F.lit(0), F.lit(k))
+    cut = lambda m, i: F.floor(m * i / (k + 1)).cast("int")  # noqa: E731  where segment i begins, from 0
+    m, n = F.char_length("r"), F.char_length("l")
+    b = right.select("r", m.alias("m"), F.explode(segments).alias("i")).select("r", "m", "i", F.substring("r", cut(F.col("m"), F.col("i")) + 1, cut(F.col("m"), F.col("i") + 1) - cut(F.col("m"), F.col("i"))).alias("piece"))
+    a = left.select("l", n.alias("n"), F.explode(F.sequence(F.greatest(n - k, F.lit(0)), n + k)).alias("m")).select("l", "n", "m", F.explode(segments).alias("i"))
+    first, size = cut(F.col("m"), F.col("i")), cut(F.col("m"), F.col("i") + 1) - cut(F.col("m"), F.col("i"))
+    low, high = F.greatest(first - k, F.lit(0)), F.least(first + k, F.col("n") - size)
+    places = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    pieces = F.array_distinct(F.transform(places, lambda p: F.substring("l", p + 1, size)))
+    a = a.select("l", "m", "i", F.explode(pieces).alias("piece"))
+    return a.join(b, ["m", "i", "piece"]).select("l", "r", F.levenshtein("l", "r", k).alias("edits")).where("edits >= 0")
+
+
+def fuzzy_best(left: DataFrame, right: DataFrame, cutoff: float = 0.8, stored: Callable[[DataFrame, str], DataFrame] = S.stored) -> DataFrame:
     """``l, r, ratio``: the most similar name by edit distance, at least the cutoff; the first by name on a tie.
 
-    ``left(l)``, ``right(r)``. Names within the cutoff are at most d = n (1 - cutoff) / cutoff edits apart, an edit spoils
+    ``left(l)``, ``right(r)``. Pairs of few edits are found first, by segments; a name is done once its best ratio is over all that more edits could give. For
+    the others: names within the cutoff are at most d = n (1 - cutoff) / cutoff edits apart, an edit spoils
     two bigrams, so one of the 2 d + 1 rarest bigrams of each is shared: no similar pair is lost, and no all-pairs join made.
+    Nulls match nothing.
     """
     if cutoff < 0.75:
         raise ValueError("below 0.75, similar names need not share a bigram")
+    left, right = stored(left.select("l").where("l is not null").distinct(), "names"), stored(right.select("r").where("r is not null").distinct(), "names")
+    least = F.min(F.struct((-F.col("ratio")).alias("s"), "r")).alias("x")
+    ratio = lambda edits: F.when(F.greatest(F.char_length("l"), F.char_length("r")) == 0, 1.0).otherwise(1 - edits / F.greatest(F.char_length("l"), F.char_length("r")))
+    out, rest = None, left
+    for k in STAGES:
+        found = _within(rest, right, k).select("l", "r", ratio(F.col("edits")).alias("ratio")).groupBy("l").agg(least)
+        # k + 1 edits or more give no more than this, as the other name is at most so much longer
+        more = 1 - (k + 1) / (F.char_length("l") + k + 1)
+        done = stored(found.where((-F.col("x.s") > more + 1e-9) & (-F.col("x.s") >= cutoff)), "names-done")
+        out = done if out is None else out.union(done)
+        rest = stored(rest.join(done, "l", "left_anti"), "names-left")
     d = lambda n: F.floor(n * ((1 - cutoff) / cutoff) + 1e-9)
-    pairs = _candidates(left, right, cutoff, lambda n: (2 * d(n) + 1).cast("int"))
+    pairs = _candidates(rest, right, cutoff, lambda n: (2 * d(n) + 1).cast("int"))
     best = pairs.withColumn("ratio", levenshtein_ratio(F.col("l"), F.col("r"))).where(F.col("ratio") >= cutoff)
-    return best.groupBy("l").agg(F.min(F.struct((-F.col("ratio")).alias("s"), "r")).alias("x")).select("l", "x.r", (-F.col("x.s")).alias("ratio"))
+    return out.union(best.groupBy("l").agg(least)).select("l", "x.r", (-F.col("x.s")).alias("ratio"))
 
 
 def sequence_best(left: DataFrame, right: DataFrame, cutoff: float = 0.8) -> DataFrame:
