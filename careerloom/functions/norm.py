@@ -43,8 +43,10 @@ def min_max(x: Column, low: Column, high: Column) -> Column:
 
 def yes_no(c: Column, variant: str = "global") -> Column:
     """Yes-or-no answers. ``global``: YES/TRUE/1, else a clamped number; ``communicator``: also y, and any number
-    over 0 is yes; ``reflective``: clamped numbers only, so "True" is 0."""
+    over 0 is yes; ``reflective``: clamped numbers only, so "True" is 0; ``nullable``: as ``global``, and other answers are null."""
     s, x = F.lower(F.trim(c)), number(c)
+    if variant == "nullable":
+        return F.when(s.isin("yes", "true"), 1.0).when(s.isin("no", "false"), 0.0).when(x.isNotNull(), _clamped(x))
     if variant == "reflective":
         return F.coalesce(_clamped(x), F.lit(0.0))
     if variant == "communicator":
@@ -102,6 +104,20 @@ def culture_feel(c: Column) -> Column:
     return out.when(x.isNotNull(), _clamped((x - 1) / 6)).otherwise(0.5)
 
 
+# Answers on culture, in their case, and what they count as.
+CULTURE_EXACT = (
+    ("I feel equally of both", 1.0), ("I feel more of the culture of my country of origin", 0.7), ("I feel more American", 0.6), ("I am confused about my culture", 0.25),
+)
+
+
+def culture_exact(c: Column) -> Column:
+    """Answers on culture as they are written, whole numbers from 2 to 7, and 0.5 for all others and none."""
+    s, out = F.trim(c), None
+    for text, value in CULTURE_EXACT:
+        out = F.when(s == text, value) if out is None else out.when(s == text, value)
+    return out.when(s.rlike("^[2-7]$"), (number(c) - 1) / 6).otherwise(0.5)
+
+
 def english(c: Column, within: bool = False) -> Column:
     s, out = F.lower(F.trim(c)), None
     for text, value in ENGLISH_WITHIN if within else ENGLISH_EXACT:

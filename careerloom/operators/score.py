@@ -43,6 +43,18 @@ def global_citizen(c, variant: str = "agent") -> dict[str, Column]:
     return {"d1": d1, "d2": d2, "d3": d3, "d4": d4, "d5": d5, "score": score}
 
 
+def global_citizen_nullable(c, low: Column, high: Column) -> dict[str, Column]:
+    """The cohort's form that keeps nulls: a dimension with a missing answer is null, and so is its score; the network counts by its place between the cohort's ends."""
+    n = lambda x: N.scale(c(x), 1, 7, "null")
+    b = lambda x: N.yes_no(c(x), "nullable")
+    d1 = _sum([(0.05, n(x)) for x in ("pre1", "pre2", "pre3", "pre4", "pre5", "pre6")] + [(0.15, n("post1")), (0.15, n("post2")), (0.15, n("post3")), (0.20, n("post4"))])
+    d2 = _sum([(0.15, n("community_pre")), (0.40, n("community")), (0.45, N.culture_exact(c("culture")))])
+    d3 = _sum([(0.30, n("values")), (0.30, b("diverse")), (0.40, b("introduced"))])
+    d4 = _sum([(0.15, b(x)) for x in ("belong", "network_value", "engaged", "friends")] + [(0.40, N.min_max(N.number(c("network")), low, high))])
+    d5 = _sum([(0.35, b("volunteered")), (0.65, N.hours_bin(c("hours"), "null"))])
+    return {"d1": d1, "d2": d2, "d3": d3, "d4": d4, "d5": d5, "score": N.half_even(_sum([(0.30, d1), (0.20, d2), (0.20, d3), (0.20, d4), (0.10, d5)]) * 100, 1)}
+
+
 def future_focused(c, variant: str = "agent") -> dict[str, Column]:
     t = lambda x: N.substance(c(x))
     if variant == "agent":

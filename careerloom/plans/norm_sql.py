@@ -23,6 +23,8 @@ def scale(c, low, high, missing="zero"):
 
 def yes_no(c, variant="global"):
     s = f"lower(trim({c}))"
+    if variant == "nullable":
+        return f"(case when {s} in ('yes', 'true') then 1.0 when {s} in ('no', 'false') then 0.0 else {clamp_null(number(c))} end)::double"
     if variant == "reflective":
         return f"coalesce({clamp_null(number(c))}, 0.0::double)"
     if variant == "communicator":
@@ -64,6 +66,11 @@ def culture_feel(c):
     return _cases(N.CULTURE_FEEL, lambda t: f"{s} = '{t}'", f"when {number(c)} is not null then {inner} else 0.5", "double")
 
 
+def culture_exact(c):
+    s = f"trim({c})"
+    return _cases(N.CULTURE_EXACT, lambda t: f"{s} = '{t}'", f"when regexp_full_match({s}, '[2-7]') then ({number(c)} - 1) / 6.0::double else 0.5", "double")
+
+
 def english(c, within=False):
     s = f"lower(trim({c}))"
     return _cases(N.ENGLISH_WITHIN if within else N.ENGLISH_EXACT, (lambda t: f"contains({s}, '{t}')") if within else (lambda t: f"{s} = '{t}'"), "else 3", "int")

@@ -335,6 +335,30 @@ def hash_sample_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def _gc_null_sql() -> str:
+    n, b = (lambda x: Q.scale(_q(x), 1, 7, "null")), (lambda x: Q.yes_no(_q(x), "nullable"))
+    network = Q.number("f_network")
+    parts = {
+        "d1": Q.total([(0.05, n(f"pre{k}")) for k in range(1, 7)] + [(w, n(f"post{k}")) for k, w in ((1, 0.15), (2, 0.15), (3, 0.15), (4, 0.20))]),
+        "d2": Q.total([(0.15, n("community_pre")), (0.40, n("community")), (0.45, Q.culture_exact("f_culture"))]),
+        "d3": Q.total([(0.30, n("values")), (0.30, b("diverse")), (0.40, b("introduced"))]),
+        "d4": Q.total([(0.15, b(x)) for x in ("belong", "network_value", "engaged", "friends")] + [(0.40, f"(case when hi > lo then ({network} - lo) / (hi - lo) when {network} is not null then 0.5 end)")]),
+        "d5": Q.total([(0.35, b("volunteered")), (0.65, Q.hours_bin("f_hours", "null"))]),
+    }
+    total = Q.total(list(zip((0.30, 0.20, 0.20, 0.20, 0.10), parts, strict=True))) + " * 100"
+    return f"""{_with(_GC)}, ends as (select min({network}) as lo, max({network}) as hi from s), d as (select student, {', '.join(f'{x} as {k}' for k, x in parts.items())} from s, ends)
+    select student, {', '.join(f'round({k}, 6) as {k}' for k in parts)}, {Q.half_even(total, 1)} as score from d"""
+
+
+@query(_gc_null_sql())
+def gc_score_nullable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cohort's form with nulls kept."""
+    s = _survey(spark, sf_dir, _GC)
+    ends = s.agg(F.min(N.number(_c("network"))).alias("lo"), F.max(N.number(_c("network"))).alias("hi"))
+    got = P.global_citizen_nullable(_c, F.col("lo"), F.col("hi"))
+    return s.crossJoin(F.broadcast(ends)).select("student", *[F.round(got[k], 6).alias(k) for k in ("d1", "d2", "d3", "d4", "d5")], got["score"].alias("score"))
+
+
 #: Fields that documents speak of; the document's answer is picked by the order's key.
 _TOLD = ["community", "diverse", "introduced", "pursue", "more_prepared", "ready", "stronger", "prepared"]
 
