@@ -18,7 +18,10 @@ def grams(df: DataFrame, text: str, longest: int = 2) -> DataFrame:
     """Adds ``grams``: words and word pairs, stop words left out."""
     words = df.withColumn("_words", T.words(F.col(text)))
     # the array is a column of its own: within the lambda, an expression would be computed for each position
-    return words.select(*df.columns, F.filter(F.flatten(F.transform("_words", lambda w, i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.array_join(F.slice(F.col("_words"), i + 1, n), " ")))), lambda g: g != "").alias("grams"))
+    # and grams are put together word by word: a slice would copy the array for each position
+    gram = lambda i, n: F.concat_ws(" ", *[F.get("_words", i + j) for j in range(n)])
+    every = F.flatten(F.transform("_words", lambda w, i: F.array(*[gram(i, n) for n in range(1, longest + 1)])))
+    return words.select(*df.columns, F.filter(every, lambda g: g != "").alias("grams"))
 
 
 def stratified(df: DataFrame, label: str, key: str, folds: int = 5) -> DataFrame:
