@@ -18,6 +18,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import tables as S
 from .ml import balanced, grams, stratified
 from .sums import entries, summed
 
@@ -282,7 +283,7 @@ def cross_validate(df: DataFrame, text: str, label: str, key: str, folds: int =
     Rows without text or label are left out; ties of probabilities count for the label. Null keys are rows of their own.
     """
     configs = configs or CONFIGS
-    rows = balanced(stratified(df.where(F.col(label).isNotNull() & F.col(text).isNotNull()), label, key, folds), label).persist()
+    rows = S.stored(balanced(stratified(df.where(F.col(label).isNotNull() & F.col(text).isNotNull()), label, key, folds), label), "classifier-rows")
 
     def one(job: tuple[int, dict]) -> list[tuple]:
         fold, group = job
@@ -302,11 +303,8 @@ def cross_validate(df: DataFrame, text: str, label: str, key: str, folds: int =
         scored.unpersist()
         return out
 
-    try:
-        with ThreadPoolExecutor(3) as pool:
-            found = [r for rs in pool.map(one, [(k, g) for k in range(folds) for g in by_vectoriser(configs)]) for r in rs]
-    finally:
-        rows.unpersist()
+    with ThreadPoolExecutor(3) as pool:
+        found = [r for rs in pool.map(one, [(k, g) for k in range(folds) for g in by_vectoriser(configs)]) for r in rs]
     return df.sparkSession.createDataFrame(found, "config string, fold int, n long, top1 double, top3 double, gap double")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import tables as S
 
 
 def grams(df: DataFrame, text: str, longest: int = 2) -> DataFrame:
@@ -65,8 +66,8 @@ def pipeline(label: str, terms: int = 10_000, least_df: int = 2, most_df: float
 def cross_validate(df: DataFrame, text: str, label: str, key: str, folds: int = 5, config: str = "2-grams") -> DataFrame:
     """``fold, n, top1, top3``: accuracy on each fold of a model of the others. Folds are fitted at the same time."""
     longest, terms, most_df, penalty = CONFIGS[config]
-    # every fold reads the rows again
-    rows = balanced(stratified(grams(df.where(F.col(label).isNotNull() & F.col(text).isNotNull()), text, longest), label, key, folds), label).persist()
+    # every fold reads the rows again, at the same time: a table, as threads that plan over one cache that is being filled can break each other's closures
+    rows = S.stored(balanced(stratified(grams(df.where(F.col(label).isNotNull() & F.col(text).isNotNull()), text, longest), label, key, folds), label), "classifier-rows")
 
     def one(k: int) -> tuple:
         model = pipeline(label, terms, most_df=most_df, penalty=penalty).fit(rows.where(F.col("fold") != k))
@@ -75,11 +76,8 @@ def cross_validate(df: DataFrame, text: str, label: str, key: str, folds: int =
         got = model.transform(rows.where(F.col("fold") == k)).agg(F.count("*").alias("n"), F.avg((better == 0).cast("double")).alias("top1"), F.avg((better < 3).cast("double")).alias("top3")).first()
         return k, got["n"], got["top1"], got["top3"]
 
-    try:
-        with ThreadPoolExecutor(folds) as pool:
-            found = list(pool.map(one, range(folds)))
-    finally:
-        rows.unpersist()
+    with ThreadPoolExecutor(folds) as pool:
+        found = list(pool.map(one, range(folds)))
     return df.sparkSession.createDataFrame(found, "fold int, n long, top1 double, top3 double")
 
 
