@@ -298,7 +298,8 @@ def cohort_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("c_acctbal")
     return S.read(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(
         F.count("*").alias("n"), F.countDistinct("c_nationkey").alias("nations"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"),
-        F.median(x).alias("median"), F.min_by("c_custkey", x).alias("lowest"), F.max_by("c_custkey", x).alias("highest"),
+        # of equal values the first customer, whatever the order in which rows are met; a missing value is neither lowest nor highest
+        F.median(x).alias("median"), F.min_by("c_custkey", F.when(x.isNotNull(), F.struct(x, "c_custkey"))).alias("lowest"), F.max_by("c_custkey", F.when(x.isNotNull(), F.struct(x, -F.col("c_custkey")))).alias("highest"),
     )
 
 
