@@ -15,8 +15,8 @@ Equal vectors are one node, whatever their number.
 Recall is audited against brute force: the links of queries, picked by a hash, are sought among all
 vectors, in passes, until enough of the queries outside the largest components have links or ``ASKED`` vectors, in a
 smaller table all, were asked: the audit's work grows with the table, whatever its links. While recall is too low, more buckets and
-rounds follow; each start has buckets enough for 1 - ``RECALL`` of the pairs at the threshold to be missed by it alone. Only a table of up to
-``ASKED`` vectors, of which the audit asks every one, is at last compared whole; in a larger one the recall that was reached is logged.
+rounds follow; each start has buckets enough for 1 - ``RECALL`` of the pairs at the threshold to be missed by it alone. A table of any size whose
+recall is still too low after ``STARTS`` starts is at last compared whole, in passes of ``MOST_QUERIES`` queries: the work is quadratic, memory is bounded.
 """
 
 from __future__ import annotations
@@ -498,10 +498,9 @@ def near_vectors(table: DataFrame, threshold: float = 0.95) -> DataFrame:
         if recall >= RECALL:
             break
     else:
-        logging.getLogger(__name__).warning("recall is %.4f after %d starts", recall, STARTS)
-        if n <= ASKED:  # the audit has asked them all
-            groups = written(components(compared(nodes, n, threshold), "near"), "groups")
-            counted = written(_counted(nodes, groups, threshold), "counted")
+        logging.getLogger(__name__).warning("recall is %.4f after %d starts; all vectors are compared", recall, STARTS)
+        groups = written(components(compared(nodes, n, threshold), "near"), "groups")
+        counted = written(_counted(nodes, groups, threshold), "counted")
     least = nodes.select("node", "least").join(groups, "node").groupBy("comp").agg(F.min("least").alias("component_id"))
     of_node = nodes.join(groups, "node", "left").join(least, "comp", "left").join(counted, "node", "left")
     of_node = of_node.select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
