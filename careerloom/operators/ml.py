@@ -36,7 +36,7 @@ def stratified(df: DataFrame, label: str, key: str, folds: int = 5) -> DataFrame
     ahead = Window.partitionBy(label).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select(F.col(label).alias("_label"), F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_h", key))
-    rows = dealt.withColumn("_place", place).join(before, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_part") == F.col("_of")))
+    rows = dealt.withColumn("_place", place).join(F.broadcast(before), F.col(label).eqNullSafe(F.col("_label")) & (F.col("_part") == F.col("_of")))
     return rows.withColumn("fold", F.pmod(F.col("_before") + F.col("_place"), F.lit(folds)).cast("int")).drop("_h", "_part", "_label", "_of", "_before", "_place")
 
 
@@ -44,7 +44,8 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     """Adds ``weight``: n / (labels * rows of the label)."""
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_all"), F.count("*").alias("_labels"))
-    return df.join(sizes, label).crossJoin(F.broadcast(total)).withColumn("weight", F.col("_all") / (F.col("_labels") * F.col("_n"))).drop("_n", "_all", "_labels")
+    # a row for each label, as many as a model has classes: broadcast, as a join by label would deal all rows of a label to one task
+    return df.join(F.broadcast(sizes), label).crossJoin(F.broadcast(total)).withColumn("weight", F.col("_all") / (F.col("_labels") * F.col("_n"))).drop("_n", "_all", "_labels")
 
 
 #: Configurations to choose from: n-grams up to, terms, largest share of documents that a term may be in, strength of the penalty.
@@ -67,7 +68,9 @@ def cross_validate(df: DataFrame, text: str, label: str, key: str, folds: int =
     """``fold, n, top1, top3``: accuracy on each fold of a model of the others. Folds are fitted at the same time."""
     longest, terms, most_df, penalty = CONFIGS[config]
     # every fold reads the rows again, at the same time: a table, as threads that plan over one cache that is being filled can break each other's closures
-    rows = S.stored(balanced(stratified(grams(df.where(F.col(label).isNotNull() & F.col(text).isNotNull()), text, longest), label, key, folds), label), "classifier-rows")
+    # n-grams come last, so that only the rows themselves are dealt out
+    known = df.select(label, key, text).where(F.col(label).isNotNull() & F.col(text).isNotNull())
+    rows = S.stored(grams(balanced(stratified(known, label, key, folds), label), text, longest).drop(text), "classifier-rows")
 
     def one(k: int) -> tuple:
         model = pipeline(label, terms, most_df=most_df, penalty=penalty).fit(rows.where(F.col("fold") != k))
