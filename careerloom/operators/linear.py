@@ -5,15 +5,16 @@ All members of all configurations that share a vectoriser are rows of one matrix
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml import PipelineModel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, StringIndexer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StringIndexer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,17 +40,40 @@ EPOCHS, ROUNDS = 5, 25
 TASK_ROWS = 5_000
 
 
+def term_counts(rows: DataFrame, by: str | None = None, least_df: int = 2) -> DataFrame:
+    """``gram, by, tf, df``: how often a term stands in ``rows(grams)`` and in how many of them, by a column, in one pass; terms of fewer than ``least_df`` rows in all are left out."""
+    grams_ = F.col("grams")
+    each = F.concat(F.transform(grams_, lambda g: F.struct(g.alias("gram"), F.lit(1).alias("tf"), F.lit(0).alias("df"))), F.transform(F.array_distinct(grams_), lambda g: F.struct(g.alias("gram"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))
+    got = rows.select((F.lit(0) if by is None else F.col(by)).alias("by"), F.explode(each).alias("x"))
+    counts = got.groupBy("x.gram", "by").agg(F.sum("x.tf").alias("tf"), F.sum("x.df").alias("df")).groupBy("gram").agg(F.collect_list(F.struct("by", "tf", "df")).alias("x"), F.sum("df").alias("_all"))
+    return counts.where(F.col("_all") >= least_df).select("gram", F.inline("x"))
+
+
+def known_terms(counts: DataFrame, n: int, terms: int, least_df: int = 2, most_df: float = 1.0) -> PipelineModel:
+    """Adds ``features``: counts times ln((1 + n) / (1 + df)) + 1, of length one, for the ``terms`` most frequent terms of ``term_counts`` of ``n`` rows, of equal ones the first."""
+    most = most_df * n if most_df < 1 else float(1 << 62)
+    each = counts.groupBy("gram").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).where((F.col("df") >= least_df) & (F.col("df") <= most))
+    got = each.orderBy(F.desc("tf"), "gram").limit(terms).collect()
+    if not got:
+        raise ValueError("no term is in as many rows as a vocabulary asks for")
+    idf = [math.log((n + 1) / (r["df"] + 1)) + 1 for r in got]
+    known = CountVectorizerModel.from_vocabulary([r["gram"] for r in got], inputCol="grams", outputCol="counts")
+    return PipelineModel([known, ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="features")])
+
+
 def term_vectors(rows: DataFrame, terms: int, least_df: int = 2, most_df: float = 1.0) -> PipelineModel:
-    """Adds ``features``: counts times ln((1 + n) / (1 + df)) + 1, of length one. ``rows`` has ``grams``."""
-    counts = CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=terms, minDF=least_df, maxDF=most_df if most_df < 1 else float(1 << 62)).fit(rows)
-    idf = IDF(inputCol="counts", outputCol="idf").fit(counts.transform(rows).select("counts")).idf.toArray() + 1
-    return PipelineModel([counts, ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="features")])
+    """``known_terms`` of ``rows(grams)``."""
+    return known_terms(term_counts(rows, None, least_df), rows.count(), terms, least_df, most_df)
+
+
+def indexed(rows: DataFrame, label: str) -> Transformer:
+    """Adds ``target``."""
+    return StringIndexer(inputCol=label, outputCol="target", stringOrderType="alphabetAsc", handleInvalid="skip").fit(rows)
 
 
 def vectoriser(rows: DataFrame, label: str, terms: int, least_df: int = 2, most_df: float = 1.0) -> PipelineModel:
     """Adds ``target``, and the ``features`` of ``term_vectors``."""
-    target = StringIndexer(inputCol=label, outputCol="target", stringOrderType="alphabetAsc", handleInvalid="skip").fit(rows)
-    return PipelineModel([target, *term_vectors(rows, terms, least_df, most_df).stages])
+    return PipelineModel([indexed(rows, label), *term_vectors(rows, terms, least_df, most_df).stages])
 
 
 def sparse(features: str = "features") -> list[Column]:
@@ -59,7 +83,7 @@ def sparse(features: str = "features") -> list[Column]:
     return [F.coalesce(v["indices"], dense).alias("at"), v["values"].alias("x")]
 
 
-def _margins(at: list, x: list, weights: np.ndarray, intercepts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _margins(at: list | pa.Array, x: list | pa.Array, weights: np.ndarray, intercepts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``[row, model]`` margins, and places, values and rows of all entries."""
     places, values, row = entries(at, x)
     out = np.tile(intercepts, (len(at), 1))
@@ -83,7 +107,7 @@ def gradients(rows: DataFrame, weights: np.ndarray, intercepts: np.ndarray) -> t
 
     def part(batch: pa.RecordBatch) -> np.ndarray:
         at, x, target, weight, mine = (batch.column(k) for k in range(5))
-        m, places, values, row = _margins(at.to_pylist(), x.to_pylist(), weights, intercepts)
+        m, places, values, row = _margins(at, x, weights, intercepts)
         target, weight, mine = (np.asarray(c, float) for c in (target, weight, mine))
         model = np.arange(models)
         pull = (_logistic(m) - (target[:, None] == model % classes)) * weight[:, None] * (mine[:, None] != model // classes)
@@ -220,15 +244,26 @@ class Fitted:
         return rows.select("_row.*", scored(*sparse()).alias("probabilities"))
 
 
-def fit(rows: DataFrame, text: str, label: str, key: str, configs: dict[str, tuple]) -> Fitted:
-    """Fits configurations of one vectoriser. Members that several have in common are fitted once. ``rows`` has ``weight``."""
+def dealt(df: DataFrame, label: str, key: str) -> DataFrame:
+    """Adds ``part``: texts are dealt out here, before n-grams are made of them."""
+    return stratified(df, label, key, PARTS).withColumnRenamed("fold", "part")
+
+
+def fit(rows: DataFrame, text: str, label: str, key: str, configs: dict[str, tuple], counts: DataFrame | None = None) -> Fitted:
+    """Fits configurations of one vectoriser. Members that several have in common are fitted once. ``rows`` has ``weight``.
+
+    ``counts``: the rows' ``term_counts``, if they are known; ``rows`` then has ``part`` and is cheap to read.
+    """
     longest, terms, most_df = {c[:3] for c in configs.values()}.pop()
-    held = grams(rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()), text, longest)
-    held = stratified(held, label, key, PARTS).withColumnRenamed("fold", "part")
-    tasks = -(-held.count() // TASK_ROWS)
-    held = held.coalesce(max(1, tasks))
-    vector = vectoriser(held, label, terms, most_df=most_df)
-    rows = vector.transform(held).select("features", "target", "weight", "part", *sparse(), F.pmod(F.xxhash64(key, F.lit(7)), F.lit(4)).alias("batch")).persist()
+    rows = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull())
+    if counts is None:
+        rows = S.stored(dealt(rows, label, key), "classifier-parts")
+        counts = term_counts(grams(rows, text, longest))
+    held, n = grams(rows, text, longest), rows.count()
+    vector = PipelineModel([indexed(rows, label), *known_terms(counts, n, terms, most_df=most_df).stages])
+    # n-grams are made where the texts lie; only features go to the few tasks of a fit
+    made = vector.transform(held).select("features", "target", "weight", "part", *sparse(), F.pmod(F.xxhash64(key, F.lit(7)), F.lit(4)).alias("batch"))
+    rows = made.repartition(max(1, -(-n // TASK_ROWS))).persist()
     try:
         n = rows.agg(F.sum("weight")).first()[0]
         labels, width = len(vector.stages[0].labels), len(vector.stages[1].vocabulary)
@@ -283,11 +318,20 @@ def cross_validate(df: DataFrame, text: str, label: str, key: str, folds: int =
     Rows without text or label are left out; ties of probabilities count for the label. Null keys are rows of their own.
     """
     configs = configs or CONFIGS
-    rows = S.stored(balanced(stratified(df.where(F.col(label).isNotNull() & F.col(text).isNotNull()), label, key, folds), label), "classifier-rows")
+    known = df.select(*dict.fromkeys([label, text, key])).where(F.col(label).isNotNull() & F.col(text).isNotNull())
+    rows = balanced(stratified(known, label, key, folds), label).withColumnRenamed("fold", "_fold")
+    for k in range(folds):
+        # the parts of a fold's training rows: they are told from the fold's own, so that all are dealt out at once
+        rows = dealt(rows.withColumn("_strata", F.struct(F.col(label), F.col("_fold") == k)), "_strata", key).withColumnRenamed("part", f"_part{k}").drop("_strata")
+    rows = S.stored(rows.withColumnRenamed("_fold", "fold"), "classifier-rows")
+    groups = by_vectoriser(configs)
+    # a vocabulary of n-grams is counted once for all folds
+    counts = {n: S.stored(term_counts(grams(rows, text, n), "fold"), "classifier-terms") for n in {c[0] for g in groups for c in g.values()}}
 
     def one(job: tuple[int, dict]) -> list[tuple]:
         fold, group = job
-        model = fit(rows.where(F.col("fold") != fold), text, label, key, group)
+        mine = rows.where(F.col("fold") != fold).withColumn("part", F.col(f"_part{fold}"))
+        model = fit(mine, text, label, key, group, counts[next(iter(group.values()))[0]].where(F.col("by") != fold))
         known = F.array_position(F.array(*[F.lit(x) for x in model.labels]), F.col(label)).cast("int")
         scored = model.transform(rows.where(F.col("fold") == fold), text).withColumn("_at", known).persist()
         out = []
@@ -304,7 +348,7 @@ def cross_validate(df: DataFrame, text: str, label: str, key: str, folds: int =
         return out
 
     with ThreadPoolExecutor(3) as pool:
-        found = [r for rs in pool.map(one, [(k, g) for k in range(folds) for g in by_vectoriser(configs)]) for r in rs]
+        found = [r for rs in pool.map(one, [(k, g) for k in range(folds) for g in groups]) for r in rs]
     return df.sparkSession.createDataFrame(found, "config string, fold int, n long, top1 double, top3 double, gap double")
 
 
