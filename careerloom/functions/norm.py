@@ -11,10 +11,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What every text begins with that a cast to a number takes; of others the cast would throw and catch an error for each row.
+_NUMERIC = r"^[\x00-\x20]*[-+]?([.0-9]|[iI][nN][fF]|[nN][aA][nN])"
+
+
 def number(c: Column) -> Column:
-    """The answer as a number; null where it is none."""
-    x = F.trim(c.cast("string")).try_cast("double")
-    return F.when(~F.isnan(x), x)
+    """The answer as a number; null where it is none. It is parsed once: ``nanvl`` reads its argument one time, a condition on it would read it again."""
+    s = c.cast("string")
+    return F.nanvl(F.when(s.rlike(_NUMERIC), F.trim(s).try_cast("double")), F.lit(None).cast("double"))
 
 
 def half_even(x: Column, digits: int) -> Column:
@@ -23,6 +27,7 @@ def half_even(x: Column, digits: int) -> Column:
 
 
 def _clamped(x: Column) -> Column:
+    """From 0 to 1; null counts as 0, as ``greatest`` leaves nulls out."""
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
 
 
@@ -32,8 +37,8 @@ def scale(c: Column, low: int, high: int, missing: str = "zero") -> Column:
     if missing == "midpoint":
         middle = {(1, 7): 4.0, (1, 5): 3.0, (0, 10): 5.0, (1, 10): 5.0}[low, high]
         return (F.coalesce(x, F.lit(middle)) - low) / width
-    out = F.when(x.isNotNull(), _clamped((x - low) / width))
-    return F.coalesce(out, F.lit(0.0)) if missing == "zero" else out
+    out = _clamped((x - low) / width)
+    return out if missing == "zero" else F.when(x.isNotNull(), out)
 
 
 def min_max(x: Column, low: Column, high: Column) -> Column:
@@ -48,10 +53,10 @@ def yes_no(c: Column, variant: str = "global") -> Column:
     if variant == "nullable":
         return F.when(s.isin("yes", "true"), 1.0).when(s.isin("no", "false"), 0.0).when(x.isNotNull(), _clamped(x))
     if variant == "reflective":
-        return F.coalesce(_clamped(x), F.lit(0.0))
+        return _clamped(x)
     if variant == "communicator":
         return F.when(s.isin("1", "true", "yes", "y", "1.0"), 1.0).when(s.isin("0", "false", "no", "n", "0.0"), 0.0).otherwise(F.coalesce((x > 0).cast("double"), F.lit(0.0)))
-    return F.when(s.isin("yes", "true", "1"), 1.0).when(s.isin("no", "false", "0"), 0.0).otherwise(F.coalesce(_clamped(x), F.lit(0.0)))
+    return F.when(s.isin("yes", "true", "1"), 1.0).when(s.isin("no", "false", "0"), 0.0).otherwise(_clamped(x))
 
 
 def hours_low(c: Column) -> Column:

@@ -39,20 +39,15 @@ def scored(fields: DataFrame, key: str, pillars: Pillars) -> DataFrame:
 def rescored(fields: DataFrame, before: DataFrame, key: str, pillars: Pillars) -> DataFrame:
     """What ``scored`` gives, and ``scored_anew``: the pillars whose score was computed.
 
-    ``before`` is a table of ``scored`` or ``rescored``. A pillar whose digest is as before keeps its score; entities of which nothing changed
-    take a way through the plan that has no scorer in it. Entities that are new are scored whole; those that ``fields`` lacks are left out.
+    ``before`` is a table of ``scored`` or ``rescored``. A pillar whose digest is as before keeps its score, and its scorer is not
+    evaluated for that entity. All entities are joined once and stay where they lie. Entities that are new are scored whole; those that ``fields`` lacks are left out.
     """
     old = before.select(key, *[F.col(p).alias(f"_old_{p}") for p in pillars], *[F.col(f"digest_{p}").alias(f"_old_digest_{p}") for p in pillars], F.lit(True).alias("_known"))
     now = fields.select("*", *digests(fields, pillars)).join(old, key, "left")
-    other = {p: F.col("_known").isNull() | ~F.col(f"digest_{p}").eqNullSafe(F.col(f"_old_digest_{p}")) for p in pillars}
-    moved = None
-    for c in other.values():
-        moved = c if moved is None else moved | c
-    shown = [F.col(f"digest_{p}") for p in pillars]
-    same = now.where(~moved).select(key, *[F.col(f"_old_{p}").alias(p) for p in pillars], *shown, F.array().cast("array<string>").alias("scored_anew"))
-    anew = F.array_compact(F.array(*[F.when(other[p], F.lit(p)) for p in pillars])).alias("scored_anew")
-    redone = now.where(moved).select(key, *[F.when(other[p], score(F.col)).otherwise(F.col(f"_old_{p}")).alias(p) for p, (_, score) in pillars.items()], *shown, anew)
-    return same.union(redone)
+    now = now.withColumns({f"_other_{p}": F.col("_known").isNull() | ~F.col(f"digest_{p}").eqNullSafe(F.col(f"_old_digest_{p}")) for p in pillars})
+    scores = [F.when(F.col(f"_other_{p}"), score(F.col)).otherwise(F.col(f"_old_{p}")).alias(p) for p, (_, score) in pillars.items()]
+    anew = F.array_compact(F.array(*[F.when(F.col(f"_other_{p}"), F.lit(p)) for p in pillars])).alias("scored_anew")
+    return now.select(key, *scores, *[F.col(f"digest_{p}") for p in pillars], anew)
 
 
 def with_sources(after: DataFrame, survey: DataFrame, key: str, pillars: Pillars) -> DataFrame:

@@ -14,11 +14,11 @@ from ..operators import windows as W
 from ..sources import tables as S
 from . import norm_sql as Q
 from .registry import query
-from .survey import field, survey_sql
+from .survey import looked_up, survey_sql
 
 
 def _survey(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
-    return S.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("student"), *[F.expr(field(n)).alias(f"f_{n}") for n in names])
+    return S.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("student"), *[F.expr(looked_up(n)).alias(f"f_{n}") for n in names])
 
 
 def _c(name: str):
@@ -398,12 +398,20 @@ def _pillars() -> E.Pillars:
     return {"gc": (_GC, part(P.global_citizen)), "rff": (_RFF, part(P.future_focused))}
 
 
+#: Orders whose pillars a task scores: few enough that tasks end together, whatever bytes their keys have.
+SCORED = 50_000
+
+
 @query(_rescored_sql())
 def rescored_pillars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pillars after documents have filled and overridden fields; the scores of the survey alone are the ones from before."""
     fields = sorted({*_GC, *_RFF})
-    survey = _survey(spark, sf_dir, fields).select("student", *[F.col(f"f_{f}").alias(f) for f in fields])
-    docs = S.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("student"), *[F.expr(_told(k)).alias(f) for k, f in enumerate(_TOLD)])
+    # orders are dealt out as keys, before their answers are made of them: scoring then takes all cores however few files there are, and no answer is shuffled
+    orders = S.read(spark, sf_dir, "orders")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-orders.count() // SCORED))
+    dealt = lambda *more: orders.select("o_orderkey", *more).repartition(parts, "o_orderkey")
+    survey = dealt("o_custkey").select(F.col("o_orderkey").alias("student"), *[F.expr(looked_up(f)).alias(f) for f in fields])
+    docs = dealt("o_orderpriority").select(F.col("o_orderkey").alias("student"), *[F.expr(_told(k)).alias(f) for k, f in enumerate(_TOLD)])
     before = S.stored(E.scored(survey, "student", _pillars()), "survey-scores")
     after = E.rescored(E.with_documents(survey, docs, "student", fields), before, "student", _pillars())
     return E.with_sources(after, before, "student", _pillars()).select("student", "gc", "rff", "gc_source", "rff_source", "scored_anew")

@@ -40,5 +40,12 @@ def field(name: str) -> str:
     return f"case cast((o_orderkey * {k + 3} + o_custkey * {2 * k + 1} + {k}) % {len(values)} as int) {cases} end"
 
 
+def looked_up(name: str) -> str:
+    """``field`` as Spark evaluates it faster: one remainder and a look-up in place of a comparison for each value."""
+    k, values = list(FIELDS).index(name) + 1, _VALUES[FIELDS[name]]
+    listed = ", ".join("null" if v is None else f"'{v}'" for v in values)
+    return f"get(array({listed}), cast((o_orderkey * {k + 3} + o_custkey * {2 * k + 1} + {k}) % {len(values)} as int))"
+
+
 def survey_sql(names: list[str]) -> str:
     return "select o_orderkey as student, " + ", ".join(f'{field(n)} as f_{n}' for n in names) + " from orders"
