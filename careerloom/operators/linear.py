@@ -6,6 +6,7 @@ All members of all configurations that share a vectoriser are rows of one matrix
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -19,6 +20,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..sources import tables as S
 from .ml import balanced, grams, stratified
 from .sums import entries, summed
@@ -42,23 +44,46 @@ TASK_ROWS = 5_000
 
 def term_counts(rows: DataFrame, by: str | None = None, least_df: int = 2) -> DataFrame:
     """``gram, by, tf, df``: how often a term stands in ``rows(grams)`` and in how many of them, by a column, in one pass; terms of fewer than ``least_df`` rows in all are left out."""
-    grams_ = F.col("grams")
-    each = F.concat(F.transform(grams_, lambda g: F.struct(g.alias("gram"), F.lit(1).alias("tf"), F.lit(0).alias("df"))), F.transform(F.array_distinct(grams_), lambda g: F.struct(g.alias("gram"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))
-    got = rows.select((F.lit(0) if by is None else F.col(by)).alias("by"), F.explode(each).alias("x"))
-    counts = got.groupBy("x.gram", "by").agg(F.sum("x.tf").alias("tf"), F.sum("x.df").alias("df")).groupBy("gram").agg(F.collect_list(F.struct("by", "tf", "df")).alias("x"), F.sum("df").alias("_all"))
+    rows = rows.select((F.lit(0) if by is None else F.col(by)).cast("long").alias("by"), "grams").where("grams is not null")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            words = lists.flatten().dictionary_encode()
+            kinds, code = len(words.dictionary), np.asarray(words.indices, dtype=np.int64)
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths(), dtype=np.int64))
+            of, which = np.unique(np.asarray(batch.column(0).fill_null(0)), return_inverse=True)
+            if not kinds:
+                continue
+            each, tf = np.unique(row * kinds + code, return_counts=True)
+            cell, at = np.unique(which[each // kinds] * kinds + each % kinds, return_inverse=True)
+            tfs, dfs = np.bincount(at, tf).astype(np.int64), np.bincount(at).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(cell % kinds)), pa.array(of[cell // kinds], pa.int64()), pa.array(tfs), pa.array(dfs)], ["gram", "by", "tf", "df"])
+
+    got = rows.mapInArrow(counted, "gram string, by long, tf long, df long")
+    counts = got.groupBy("gram", "by").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).groupBy("gram").agg(F.collect_list(F.struct("by", "tf", "df")).alias("x"), F.sum("df").alias("_all"))
     return counts.where(F.col("_all") >= least_df).select("gram", F.inline("x"))
 
 
-def known_terms(counts: DataFrame, n: int, terms: int, least_df: int = 2, most_df: float = 1.0) -> PipelineModel:
-    """Adds ``features``: counts times ln((1 + n) / (1 + df)) + 1, of length one, for the ``terms`` most frequent terms of ``term_counts`` of ``n`` rows, of equal ones the first."""
+def chosen_terms(counts: DataFrame, n: int, terms: int, least_df: int = 2, most_df: float = 1.0) -> dict[str, float]:
+    """The ``terms`` most frequent terms of ``term_counts`` of ``n`` rows, of equal ones the first, and ln((1 + n) / (1 + df)) + 1 of each."""
     most = most_df * n if most_df < 1 else float(1 << 62)
     each = counts.groupBy("gram").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).where((F.col("df") >= least_df) & (F.col("df") <= most))
     got = each.orderBy(F.desc("tf"), "gram").limit(terms).collect()
     if not got:
         raise ValueError("no term is in as many rows as a vocabulary asks for")
-    idf = [math.log((n + 1) / (r["df"] + 1)) + 1 for r in got]
-    known = CountVectorizerModel.from_vocabulary([r["gram"] for r in got], inputCol="grams", outputCol="counts")
-    return PipelineModel([known, ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="features")])
+    return {r["gram"]: math.log((n + 1) / (r["df"] + 1)) + 1 for r in got}
+
+
+def weighted_terms(idf: list[float]) -> list[Transformer]:
+    """Adds ``features``: ``counts`` times ``idf``, of length one."""
+    return [ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="features")]
+
+
+def known_terms(counts: DataFrame, n: int, terms: int, least_df: int = 2, most_df: float = 1.0) -> PipelineModel:
+    """Adds ``features``: counts of ``chosen_terms``, weighted by their ``weighted_terms``."""
+    idf = chosen_terms(counts, n, terms, least_df, most_df)
+    return PipelineModel([CountVectorizerModel.from_vocabulary(list(idf), inputCol="grams", outputCol="counts"), *weighted_terms(list(idf.values()))])
 
 
 def term_vectors(rows: DataFrame, terms: int, least_df: int = 2, most_df: float = 1.0) -> PipelineModel:
@@ -224,15 +249,18 @@ class Fitted:
     weights: np.ndarray
     intercepts: np.ndarray
     votes: dict[str, list[Member]]
+    #: Rows that are scored have ``counts`` already.
+    counted: bool = False
 
     @property
     def labels(self) -> list[str]:
         return list(self.vector.stages[0].labels)
 
-    def transform(self, df: DataFrame, text: str) -> DataFrame:
+    def transform(self, df: DataFrame, text: str | None) -> DataFrame:
         """Adds ``probabilities``: a struct of an array for each configuration, in the order of ``labels``. Null texts have no words."""
         classes, weights, intercepts, votes = len(self.labels), self.weights, self.intercepts, self.votes
-        rows = grams(df.select(F.struct(*df.columns).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text")), "_text", self.longest).drop("_text")
+        whole = F.struct(*df.columns).alias("_row")
+        rows = df.select(whole, "counts") if self.counted else grams(df.select(whole, F.coalesce(F.col(text), F.lit("")).alias("_text")), "_text", self.longest).drop("_text")
         for stage in self.vector.stages[1:]:  # the labels of what is scored need not be known
             rows = stage.transform(rows)
 
@@ -249,24 +277,26 @@ def dealt(df: DataFrame, label: str, key: str) -> DataFrame:
     return stratified(df, label, key, PARTS).withColumnRenamed("fold", "part")
 
 
-def fit(rows: DataFrame, text: str, label: str, key: str, configs: dict[str, tuple], counts: DataFrame | None = None) -> Fitted:
+def fit(rows: DataFrame, text: str | None, label: str, key: str, configs: dict[str, tuple], idf: list[float] | None = None) -> Fitted:
     """Fits configurations of one vectoriser. Members that several have in common are fitted once. ``rows`` has ``weight``.
 
-    ``counts``: the rows' ``term_counts``, if they are known; ``rows`` then has ``part`` and is cheap to read.
+    ``idf``: the weights of the places of ``counts``, if ``rows`` has that and ``part`` in place of texts; a term that the rows do not know weighs nothing.
     """
     longest, terms, most_df = {c[:3] for c in configs.values()}.pop()
-    rows = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    if counts is None:
-        rows = S.stored(dealt(rows, label, key), "classifier-parts")
-        counts = term_counts(grams(rows, text, longest))
-    held, n = grams(rows, text, longest), rows.count()
-    vector = PipelineModel([indexed(rows, label), *known_terms(counts, n, terms, most_df=most_df).stages])
+    if idf is None:
+        rows = S.stored(dealt(rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()), label, key), "classifier-parts")
+        held, n = grams(rows, text, longest), rows.count()
+        known = known_terms(term_counts(held), n, terms, most_df=most_df).stages
+        width = len(known[0].vocabulary)
+    else:
+        held, n, known, width = rows, rows.count(), weighted_terms(idf), len(idf)
+    vector = PipelineModel([indexed(rows, label), *known])
     # n-grams are made where the texts lie; only features go to the few tasks of a fit
     made = vector.transform(held).select("features", "target", "weight", "part", *sparse(), F.pmod(F.xxhash64(key, F.lit(7)), F.lit(4)).alias("batch"))
     rows = made.repartition(max(1, -(-n // TASK_ROWS))).persist()
     try:
         n = rows.agg(F.sum("weight")).first()[0]
-        labels, width = len(vector.stages[0].labels), len(vector.stages[1].vocabulary)
+        labels = len(vector.stages[0].labels)
         # two classes have one margin
         classes = 1 if labels == 2 else labels
         weights, intercepts, members = [], [], {}
@@ -286,7 +316,7 @@ def fit(rows: DataFrame, text: str, label: str, key: str, configs: dict[str, tup
                 weights.append(w)
                 intercepts.append(b)
                 members[kind, strength] = Member(first, first + len(b), curves)
-        return Fitted(vector, longest, np.concatenate(weights), np.concatenate(intercepts), {name: [members[k, c[3]] for k in c[4]] for name, c in configs.items()})
+        return Fitted(vector, longest, np.concatenate(weights), np.concatenate(intercepts), {name: [members[k, c[3]] for k in c[4]] for name, c in configs.items()}, idf is not None)
     finally:
         rows.unpersist()
 
@@ -323,17 +353,26 @@ def cross_validate(df: DataFrame, text: str, label: str, key: str, folds: int =
     for k in range(folds):
         # the parts of a fold's training rows: they are told from the fold's own, so that all are dealt out at once
         rows = dealt(rows.withColumn("_strata", F.struct(F.col(label), F.col("_fold") == k)), "_strata", key).withColumnRenamed("part", f"_part{k}").drop("_strata")
-    rows = S.stored(rows.withColumnRenamed("_fold", "fold"), "classifier-rows")
+    # words are found once: that takes longer than what follows from them
+    rows = S.stored(rows.withColumnRenamed("_fold", "fold").withColumn(text, T.words(F.col(text))), "classifier-rows")
     groups = by_vectoriser(configs)
-    # a vocabulary of n-grams is counted once for all folds
+    sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
+    # n-grams are made twice, whatever the folds: to count a vocabulary, and to count what of all folds' vocabularies a row has
     counts = {n: S.stored(term_counts(grams(rows, text, n), "fold"), "classifier-terms") for n in {c[0] for g in groups for c in g.values()}}
 
-    def one(job: tuple[int, dict]) -> list[tuple]:
-        fold, group = job
-        mine = rows.where(F.col("fold") != fold).withColumn("part", F.col(f"_part{fold}"))
-        model = fit(mine, text, label, key, group, counts[next(iter(group.values()))[0]].where(F.col("by") != fold))
+    def vocabularies(group: dict) -> tuple[DataFrame, list[list[float]]]:
+        longest, terms, most_df = next(iter(group.values()))[:3]
+        chosen = [chosen_terms(counts[longest].where(F.col("by") != k), sum(sizes.values()) - sizes.get(k, 0), terms, most_df=most_df) for k in range(folds)]
+        every = sorted(set().union(*chosen))
+        found = CountVectorizerModel.from_vocabulary(every, inputCol="grams", outputCol="counts").transform(grams(rows, text, longest))
+        return S.stored(found.drop(text, "grams"), "classifier-counts"), [[c.get(t, 0.0) for t in every] for c in chosen]
+
+    def one(job: tuple[int, dict, DataFrame, list[float]]) -> list[tuple]:
+        fold, group, counted, idf = job
+        mine = counted.where(F.col("fold") != fold).withColumn("part", F.col(f"_part{fold}"))
+        model = fit(mine, None, label, key, group, idf)
         known = F.array_position(F.array(*[F.lit(x) for x in model.labels]), F.col(label)).cast("int")
-        scored = model.transform(rows.where(F.col("fold") == fold), text).withColumn("_at", known).persist()
+        scored = model.transform(counted.where(F.col("fold") == fold), None).withColumn("_at", known).select("_at", "probabilities").persist()
         out = []
         for name in group:
             p = F.col("probabilities")[name]
@@ -348,7 +387,8 @@ def cross_validate(df: DataFrame, text: str, label: str, key: str, folds: int =
         return out
 
     with ThreadPoolExecutor(3) as pool:
-        found = [r for rs in pool.map(one, [(k, g) for k in range(folds) for g in groups]) for r in rs]
+        made = list(pool.map(vocabularies, groups))
+        found = [r for rs in pool.map(one, [(k, g, table, idf[k]) for k in range(folds) for g, (table, idf) in zip(groups, made, strict=True)]) for r in rs]
     return df.sparkSession.createDataFrame(found, "config string, fold int, n long, top1 double, top3 double, gap double")
 
 

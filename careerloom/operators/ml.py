@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer
@@ -12,17 +15,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import ship
 from ..sources import tables as S
 
 
 def grams(df: DataFrame, text: str, longest: int = 2) -> DataFrame:
-    """Adds ``grams``: words and word pairs, stop words left out."""
-    words = df.withColumn("_words", T.words(F.col(text)))
-    # the array is a column of its own: within the lambda, an expression would be computed for each position
-    # and grams are put together word by word: a slice would copy the array for each position
-    gram = lambda i, n: F.concat_ws(" ", *[F.get("_words", i + j) for j in range(n)])
-    every = F.flatten(F.transform("_words", lambda w, i: F.array(*[gram(i, n) for n in range(1, longest + 1)])))
-    return words.select(*df.columns, F.filter(every, lambda g: g != "").alias("grams"))
+    """Adds ``grams``: words and word pairs, stop words left out. ``text``: texts, or arrays of their words."""
+    ship(df.sparkSession)
+
+    @F.arrow_udf("array<string>")
+    def made(words: pa.Array) -> pa.Array:
+        flat, size = words.flatten(), np.asarray(pc.fill_null(pc.list_value_length(words), 0), dtype=np.int64)
+        row, n = np.repeat(np.arange(len(size)), size), len(flat)
+        at = np.arange(n)
+        # the word some places on, null where the text has ended: a join leaves nulls out
+        ahead = [flat]
+        for k in range(1, longest):
+            on = np.minimum(at + k, max(n - 1, 0))
+            ahead.append(flat.take(pa.array(on, mask=(at + k >= n) | (row[on] != row))))
+        every = [pc.binary_join_element_wise(*ahead[:k], " ", null_handling="skip") for k in range(1, longest + 1)]
+        grams_ = pa.chunked_array(every).combine_chunks().take(pa.array(np.arange(n * longest).reshape(longest, n).T.ravel()))
+        offsets = np.concatenate([[0], np.cumsum(size * longest)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), grams_, mask=words.is_null())
+
+    words = df.withColumn("_words", F.col(text) if df.schema[text].dataType.typeName() == "array" else T.words(F.col(text)))
+    return words.select(*df.columns, made("_words").alias("grams"))
 
 
 def stratified(df: DataFrame, label: str, key: str, folds: int = 5) -> DataFrame:
